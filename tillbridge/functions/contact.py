@@ -58,7 +58,7 @@ def split_name(value: Column) -> tuple[Column, Column]:
 
 def pos_ids_in_tags(tags: Column) -> Column:
     """Lower-cased customer numbers from ``POS ID:`` labels in a comma list."""
-    labels = F.transform(F.split(clean_text(tags), ","), F.trim)
+    labels = F.transform(F.split(clean_text(tags), ","), lambda x: F.trim(x))
     wanted = F.filter(labels, lambda t: t.rlike(r"(?i)^pos id\s*:"))
     ids = F.transform(wanted, lambda t: F.lower(clean_text(F.regexp_replace(t, r"^[^:]*:", ""))))
     return F.filter(ids, lambda t: t.isNotNull())

@@ -46,7 +46,7 @@ def build_images(*columns: Column) -> Column:
 
 def media_inputs(urls: Column, title: Column, sku: Column) -> Column:
     """One media entry per distinct URL, with a derived file name and alt text."""
-    trimmed = F.array_distinct(F.filter(F.transform(urls, F.trim), lambda u: u != ""))
+    trimmed = F.array_distinct(F.filter(F.transform(urls, lambda x: F.trim(x)), lambda u: u != ""))
 
     def entry(url: Column, i: Column) -> Column:
         path = F.substring_index(url, "?", 1)
@@ -228,7 +228,7 @@ def normalize_products(products: DataFrame) -> DataFrame:
     error = F.when(F.size(skus) != F.size(F.array_distinct(skus)), "duplicate_variant_sku").when(
         F.size(barcodes) != F.size(F.array_distinct(barcodes)), "duplicate_variant_barcode"
     )
-    tags = F.filter(F.transform(F.col("tags"), F.trim), lambda t: t != "")
+    tags = F.filter(F.transform(F.col("tags"), lambda x: F.trim(x)), lambda t: t != "")
     return (
         products.withColumns({
             "variants": variants, "tags": tags, "sku": _trimmed(F.col("sku")),

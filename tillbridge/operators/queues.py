@@ -184,7 +184,7 @@ def truncate_text(value: Column, limit: int = TEXT_LIMIT) -> Column:
 def canonical_path(path: Column) -> Column:
     """Drop blank segments from sync routes; leave other paths alone."""
     trimmed = F.trim(path)
-    segments = F.filter(F.transform(F.split(trimmed, "/"), F.trim), lambda s: s != "")
+    segments = F.filter(F.transform(F.split(trimmed, "/"), lambda x: F.trim(x)), lambda s: s != "")
     return F.when(is_sync_route(trimmed), F.concat(F.lit("/"), F.array_join(segments, "/"))).otherwise(path)
 
 

@@ -47,7 +47,7 @@ def named_values(value: Column) -> Column:
         _list_items(value),
         lambda x: F.trim(F.when(x.startswith("{"), F.get_json_object(x, "$.name")).otherwise(x)),
     )
-    split = F.transform(F.split(value, ","), F.trim)
+    split = F.transform(F.split(value, ","), lambda x: F.trim(x))
     names = F.coalesce(listed, split, F.array().cast("array<string>"))
     return F.filter(names, lambda x: x.isNotNull() & (x != ""))
 
@@ -62,7 +62,7 @@ def image_urls(value: Column) -> Column:
             ).otherwise(x)
         ),
     )
-    urls = F.coalesce(listed, F.transform(F.split(value, ","), F.trim), F.array().cast("array<string>"))
+    urls = F.coalesce(listed, F.transform(F.split(value, ","), lambda x: F.trim(x)), F.array().cast("array<string>"))
     return F.filter(urls, lambda x: x.isNotNull() & (x != ""))
 
 
