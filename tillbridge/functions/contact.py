@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tillbridge.functions.text import clean_text, smart_title_case
+from tillbridge.functions.text import clean_text, let, smart_title_case
 
 # State names and their postal codes.
 STATE_CODES = {
@@ -31,29 +31,30 @@ def literal_map(mapping: dict[str, str]) -> Column:
 
 
 def normalize_email(value: Column, reject_urls: bool = True) -> Column:
-    email = F.lower(clean_text(value))
-    ok = email.rlike(EMAIL)
-    if reject_urls:
-        ok = ok & ~email.rlike(r"^(www\.|https?://)")
-    return F.when(ok, email)
+    def check(email: Column) -> Column:
+        ok = email.rlike(EMAIL)
+        return F.when(ok & ~email.rlike(r"^(www\.|https?://)") if reject_urls else ok, email)
+
+    return let(F.lower(clean_text(value)), check)
 
 
 def normalize_us_phone(value: Column) -> Column:
-    digits = F.regexp_replace(value, r"\D+", "")
-    digits = F.when(digits.rlike(r"^1\d{10}$"), F.substring(digits, 2, 10)).otherwise(digits)
-    ok = digits.rlike(r"^\d{10}$") & ~digits.rlike(r"^(\d)\1{9}$")
-    return F.when(ok, F.concat(F.lit("+1"), digits))
+    def check(digits: Column) -> Column:
+        ten = F.regexp_extract(digits, r"^1?(\d{10})$", 1)
+        return F.when((ten != "") & ~ten.rlike(r"^(\d)\1{9}$"), F.concat(F.lit("+1"), ten))
+
+    return let(F.regexp_replace(value, r"\D+", ""), check)
+
 
+def split_name(value: Column) -> Column:
+    """struct(first, last): a single word is a last name."""
+    def split(text: Column) -> Column:
+        words = F.split(text, " ")
+        n = F.size(words)
+        rest = F.array_join(F.slice(words, F.least(n, F.lit(2)), n), " ")
+        return F.struct(F.when(n > 1, words[0]).alias("first"), F.when(n > 0, rest).alias("last"))
 
-def split_name(value: Column) -> tuple[Column, Column]:
-    """(first, last): a single word is a last name."""
-    text = F.nullif(smart_title_case(value), F.lit(""))
-    words = F.split(text, " ")
-    n = F.size(words)
-    first = F.when(text.isNotNull() & (n > 1), words[0])
-    last = F.when(text.isNotNull(), F.when(n == 1, words[0]).otherwise(
-        F.array_join(F.slice(words, 2, F.greatest(n - 1, F.lit(1))), " ")))
-    return first, last
+    return let(F.nullif(smart_title_case(value), F.lit("")), split)
 
 
 def pos_ids_in_tags(tags: Column) -> Column:
@@ -72,16 +73,17 @@ def csv_text(value: Column) -> Column:
 
 
 def country_code(value: Column) -> Column:
-    text = F.upper(csv_text(value))
-    return F.when(F.length(text) == 2, text).otherwise("US")
+    return let(F.upper(csv_text(value)), lambda text: F.when(F.length(text) == 2, text).otherwise("US"))
 
 
 def province_code(value: Column, country: Column) -> Column:
-    text = F.upper(csv_text(value))
-    named = F.coalesce(F.try_element_at(literal_map(STATE_CODES), text), F.lit(""))
-    return (
-        F.when(text == "", "")
-        .when(country == "US", F.when(F.length(text) == 2, text).otherwise(named))
-        .when(F.length(text) <= 3, text)
-        .otherwise("")
-    )
+    def code(text: Column) -> Column:
+        named = F.coalesce(F.try_element_at(literal_map(STATE_CODES), text), F.lit(""))
+        return (
+            F.when(text == "", "")
+            .when(country == "US", F.when(F.length(text) == 2, text).otherwise(named))
+            .when(F.length(text) <= 3, text)
+            .otherwise("")
+        )
+
+    return let(F.upper(csv_text(value)), code)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ KEEP_UPPER = (
 ANY_SPACE = r"(?U)[\s\x1c-\x1f]+"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.transform(F.array(value), body)[0]
+
+
 def normalize_spaces(value: Column) -> Column:
     return F.trim(F.regexp_replace(value.cast("string"), ANY_SPACE, " "))
 
@@ -65,7 +72,7 @@ _WORD = r"^([^A-Za-z0-9']*)([A-Za-z0-9'.]+)([^A-Za-z0-9']*)$"
 
 def _case_piece(piece: Column) -> Column:
     lead, core, tail = (F.regexp_extract(piece, _WORD, i) for i in (1, 2, 3))
-    return F.when(piece.rlike(_WORD), F.concat(lead, case_core(core), tail)).otherwise(piece)
+    return F.when(piece.rlike(_WORD), F.concat(lead, let(core, case_core), tail)).otherwise(piece)
 
 
 def smart_title_case(value: Column) -> Column:
@@ -97,8 +104,10 @@ def letter_words(value: Column) -> Column:
 
 
 def mentions_type(text: Column, phrase: Column) -> Column:
-    wanted = letter_words(phrase)
-    return (F.size(wanted) > 0) & (F.size(F.array_except(wanted, letter_words(text))) == 0)
+    return let(
+        letter_words(phrase),
+        lambda wanted: (F.size(wanted) > 0) & (F.size(F.array_except(wanted, letter_words(text))) == 0),
+    )
 
 
 def escape_html(value: Column) -> Column:

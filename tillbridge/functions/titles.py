@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tillbridge.functions.contact import literal_map
 from tillbridge.functions.text import (
-    case_core, clean_text, contains_phrase, mentions_type, normalize_spaces,
+    case_core, clean_text, contains_phrase, let, mentions_type, normalize_spaces,
     singular, smart_title_case,
 )
 
@@ -50,8 +50,7 @@ def group_product_type(code: Column) -> Column:
     return F.try_element_at(literal_map(GROUP_TYPES), F.upper(F.trim(code)))
 
 
-def color_for_title(value: Column) -> Column:
-    upper = F.upper(clean_text(value))
+def _color(upper: Column) -> Column:
     known = {k: v for k, v in COLOR_VALUES.items() if v is not None}
     silent = [k for k, v in COLOR_VALUES.items() if v is None]
     pieces = F.regexp_extract_all(F.replace(upper, F.lit("."), F.lit(" ")), F.lit("[/ ]|[^/ ]+"), 0)
@@ -69,30 +68,33 @@ def color_for_title(value: Column) -> Column:
     )
 
 
+def color_for_title(value: Column) -> Column:
+    return let(F.upper(clean_text(value)), _color)
+
+
 def size_for_title(value: Column) -> Column:
-    upper = F.upper(clean_text(value))
-    return (
-        F.when(upper == "OVER CALF", "Over Calf")
-        .when(
-            upper.isin(*STANDARD_SIZES)
-            | upper.rlike(r"^\d{1,3}/\d{1,3}$")
-            | upper.rlike(r"^\d{1,3}(\.\d)?[A-Z]{0,2}$"),
-            upper,
-        )
+    shapes = r"^(\d{1,3}/\d{1,3}|\d{1,3}(\.\d)?[A-Z]{0,2})$"
+    return let(
+        F.upper(clean_text(value)),
+        lambda upper: F.when(upper == "OVER CALF", "Over Calf").when(
+            upper.isin(*STANDARD_SIZES) | upper.rlike(shapes), upper
+        ),
     )
 
 
+def _second(text: Column) -> Column:
+    no_word = ~text.rlike("[A-Za-z]{4,}")
+    coded = text.rlike(r"\d") | F.upper(text).rlike(r"^[A-Z0-9./' -]+$")
+    generic = F.upper(text).isin(*GENERIC_SECOND)
+    return F.when(text.isNotNull() & ~generic & ~(coded & no_word), smart_title_case(text))
+
+
 def second_description(value: Column) -> Column:
     """A readable second description, or null when it is only a code."""
-    text = clean_text(value)
-    upper = F.upper(text)
-    no_word = ~text.rlike("[A-Za-z]{4,}")
-    coded = text.rlike(r"\d") | upper.rlike(r"^[A-Z0-9./' -]+$")
-    return F.when(text.isNotNull() & ~upper.isin(*GENERIC_SECOND) & ~(coded & no_word), smart_title_case(text))
+    return let(clean_text(value), _second)
 
 
-def looks_code_heavy(value: Column) -> Column:
-    tokens = F.regexp_extract_all(F.upper(value), F.lit("[A-Za-z0-9./'-]+"), 0)
+def _code_heavy(tokens: Column) -> Column:
     n = F.size(tokens)
     score = F.size(F.filter(tokens, lambda t: t.rlike(r"[\d/-]")))
     lone = (n == 1) & tokens[0].rlike("[A-Z]") & (F.length(tokens[0]) >= 5)
@@ -100,25 +102,39 @@ def looks_code_heavy(value: Column) -> Column:
     return (n > 0) & (score >= F.greatest(F.lit(1), F.floor(n / 2)))
 
 
+def looks_code_heavy(value: Column) -> Column:
+    return let(F.regexp_extract_all(F.upper(value), F.lit("[A-Za-z0-9./'-]+"), 0), _code_heavy)
+
+
 def strip_vendor_prefix(description: Column, vendor_code: Column) -> Column:
-    desc = normalize_spaces(description)
-    code = F.coalesce(vendor_code, F.lit(""))
-    rest = F.substring(desc, F.length(code) + 1, F.length(desc))
-    stripped = F.trim(F.regexp_replace(rest, r"^[\s/-]+", ""))
-    hit = (code != "") & F.startswith(F.lower(desc), F.lower(code)) & rest.rlike(r"^[\s/-]") & (stripped != "")
-    return F.when(hit, stripped).otherwise(desc)
+    def strip(v: Column) -> Column:
+        rest = F.substring(v["desc"], F.length(v["code"]) + 1, F.length(v["desc"]))
+        bare = F.trim(F.regexp_replace(rest, r"^[\s/-]+", ""))
+        hit = (v["code"] != "") & F.startswith(F.lower(v["desc"]), F.lower(v["code"])) & rest.rlike(r"^[\s/-]")
+        return F.when(hit & (bare != ""), bare).otherwise(v["desc"])
+
+    given = F.struct(normalize_spaces(description).alias("desc"), F.coalesce(vendor_code, F.lit("")).alias("code"))
+    return let(given, strip)
 
 
 def simplify_vendor(vendor_name: Column, product_type: Column) -> Column:
     """Vendor name without a trailing product type."""
-    vendor = smart_title_case(F.nullif(vendor_name, F.lit("")))
-    kind = smart_title_case(F.nullif(product_type, F.lit("")))
-    vw, tw = F.split(vendor, " "), F.split(kind, " ")
-    n, k = F.size(vw), F.size(tw)
-    keep = F.greatest(n - k, F.lit(0))
-    tail = F.transform(F.slice(vw, keep + 1, k), singular)
-    trimmed = F.array_join(F.slice(vw, F.lit(1), keep), " ")
-    return F.when(kind.isNotNull() & (n > k) & (tail == F.transform(tw, singular)), trimmed).otherwise(vendor)
+    def simplify(v: Column) -> Column:
+        vw, tw = F.split(v["vendor"], " "), F.split(v["kind"], " ")
+        n, k = F.size(vw), F.size(tw)
+        keep = F.greatest(n - k, F.lit(0))
+        tail = F.transform(F.slice(vw, keep + 1, k), singular)
+        trimmed = F.array_join(F.slice(vw, F.lit(1), keep), " ")
+        ends = v["kind"].isNotNull() & (n > k) & (tail == F.transform(tw, singular))
+        return F.when(ends, trimmed).otherwise(v["vendor"])
+
+    return let(
+        F.struct(
+            smart_title_case(F.nullif(vendor_name, F.lit(""))).alias("vendor"),
+            smart_title_case(F.nullif(product_type, F.lit(""))).alias("kind"),
+        ),
+        simplify,
+    )
 
 
 def smart_title(
@@ -126,23 +142,33 @@ def smart_title(
     size: Column, color: Column, second: Column,
 ) -> Column:
     """Title from description, vendor, type, second description, colour and size."""
-    bare = strip_vendor_prefix(description, vendor_code)
-    pretty = smart_title_case(bare)
-    vendor = simplify_vendor(vendor_name, product_type)
-    kind = smart_title_case(F.nullif(product_type, F.lit("")))
-    coded = looks_code_heavy(bare)
-    branded = F.coalesce(contains_phrase(pretty, vendor), F.lit(False))
-    add_kind = coded & ~contains_phrase(pretty, kind) & ~mentions_type(pretty, kind) & ~branded
-    title = F.concat_ws(" ", F.when(~branded, vendor), F.when(add_kind, kind), pretty)
-    note = second_description(second)
-    title = F.when(coded & ~contains_phrase(title, note), F.concat(title, F.lit(" - "), note)).otherwise(title)
-    shade, fit = color_for_title(color), size_for_title(size)
-    extras = F.concat_ws(
-        " / ", F.when(~contains_phrase(title, shade), shade), F.when(~contains_phrase(title, fit), fit)
-    )
-    return normalize_spaces(
-        F.when(extras != "", F.concat(title, F.lit(" - "), extras)).otherwise(title)
+    def with_lead(v: Column) -> Column:
+        branded = F.coalesce(contains_phrase(v["pretty"], v["vendor"]), F.lit(False))
+        plain = ~contains_phrase(v["pretty"], v["kind"]) & ~mentions_type(v["pretty"], v["kind"])
+        lead = F.when(v["coded"] & plain & ~branded, v["kind"])
+        return F.struct(
+            F.concat_ws(" ", F.when(~branded, v["vendor"]), lead, v["pretty"]).alias("title"),
+            v["coded"].alias("coded"), second_description(second).alias("note"),
+        )
+
+    def with_note(v: Column) -> Column:
+        add = v["coded"] & ~contains_phrase(v["title"], v["note"])
+        title = F.when(add, F.concat(v["title"], F.lit(" - "), v["note"])).otherwise(v["title"])
+        return F.struct(title.alias("title"), color_for_title(color).alias("shade"), size_for_title(size).alias("fit"))
+
+    def with_extras(v: Column) -> Column:
+        extras = F.concat_ws(" / ", *[F.when(~contains_phrase(v["title"], v[x]), v[x]) for x in ("shade", "fit")])
+        return normalize_spaces(F.concat_ws(" - ", v["title"], F.nullif(extras, F.lit(""))))
+
+    start = let(
+        strip_vendor_prefix(description, vendor_code),
+        lambda bare: F.struct(
+            smart_title_case(bare).alias("pretty"), looks_code_heavy(bare).alias("coded"),
+            simplify_vendor(vendor_name, product_type).alias("vendor"),
+            smart_title_case(F.nullif(product_type, F.lit(""))).alias("kind"),
+        ),
     )
+    return let(let(let(start, with_lead), with_note), with_extras)
 
 
 def plain_title_case(value: Column) -> Column:
@@ -159,10 +185,10 @@ def plain_title_case(value: Column) -> Column:
 
 def archive_title(description: Column, vendor: Column, size: Column, color: Column) -> Column:
     """The plainer title of the archive profile."""
-    title = plain_title_case(description)
-    lead = (F.coalesce(vendor, F.lit("")) != "") & ~F.contains(F.lower(title), F.lower(vendor))
-    title = F.when(lead, F.concat(vendor, F.lit(" "), title)).otherwise(title)
-    extras = F.concat_ws(" / ", *[plain_title_case(v) for v in (color, size)])
-    return normalize_spaces(
-        F.when(extras != "", F.concat(title, F.lit(" - "), extras)).otherwise(title)
-    )
+    def build(title: Column) -> Column:
+        lead = (F.coalesce(vendor, F.lit("")) != "") & ~F.contains(F.lower(title), F.lower(vendor))
+        extras = F.concat_ws(" / ", plain_title_case(color), plain_title_case(size))
+        named = F.when(lead, F.concat(vendor, F.lit(" "), title)).otherwise(title)
+        return normalize_spaces(F.concat_ws(" - ", named, F.nullif(extras, F.lit(""))))
+
+    return let(plain_title_case(description), build)

@@ -209,43 +209,40 @@ def build_products(
     rows = rows.join(vendors.select(F.col("vendor_id").alias("_v1"), F.col("company").alias("_c1")), F.col("_code") == F.col("_v1"), "left")
     rows = rows.join(vendors.select(F.col("vendor_id").alias("_v2"), F.col("company").alias("_c2")), F.col("_change_code") == F.col("_v2"), "left")
 
-    department = text("GROUP")
     price = amount("PRICE") if archive else amount("PRICE", "pc_PRICE")
     tiers = [*PRICE_TIERS, "PRICE_W"] if archive else [t for p in PRICE_TIERS for t in (p, f"pc_{p}")]
-    compare_at = choose_compare_at(price, *[_amount(rows, t) for t in tiers])
     cost = amount("COST", "LAST_COST", "VEND_COST", "BASE_COST", "vi_BASE_COST")
     item_quantity = amount("QTY")
+    # built in steps, so that every step is computed once
+    changed = (lambda *names: text(*names[:1])) if archive else text
+    rows = rows.withColumns({
+        "department": text("GROUP"), "size_text": changed("SIZE", "pc_SIZE"), "color_text": changed("COLOR", "pc_COLOR"),
+        "style_text": changed("STYLE", "pc_STYLE"), "vendor_item": changed("VEND_ID", "pc_VEND_ID", "vi_VEND_SKU"),
+        "barcode_text": text("ALT_SKU", "BARCODE") if archive else text("ALT_SKU"), "second": text("DESC2"),
+        "raw_desc": text("DESC"), "price_exact": price, "cost_exact": cost, "sku_key": F.col("_sku"), "vendor_code": F.col("_code"),
+    })
+    rows = rows.withColumn("compare_exact", choose_compare_at(F.col("price_exact"), *[_amount(rows, t) for t in tiers]))
+    group_kind = group_product_type(F.col("department"))
     if archive:
-        vendor = first_nonempty(F.col("_c1"), plain_title_case(first_nonempty(text("PFIELD2"), F.col("_code"))))
-        kind = first_nonempty(group_product_type(department), plain_title_case(first_nonempty(text("PFIELD1"), department)))
-        tag_kind, size, color, style = kind, text("SIZE"), text("COLOR"), text("STYLE")
-        vendor_item = text("VEND_ID")
-        barcode = text("ALT_SKU", "BARCODE")
-        quantity = F.coalesce(select_quantity(item_quantity, F.col("cell_quantity"), "best"), F.lit(0))
-        title = archive_title(text("DESC"), vendor, size, color)
+        rows = rows.withColumns({
+            "type_tag": first_nonempty(group_kind, plain_title_case(first_nonempty(text("PFIELD1"), F.col("department")))),
+            "vendor_name": first_nonempty(F.col("_c1"), plain_title_case(first_nonempty(text("PFIELD2"), F.col("_code")))),
+            "item_stock": F.coalesce(select_quantity(item_quantity, F.col("cell_quantity"), "best"), F.lit(0)),
+        })
+        rows = rows.withColumn("product_type", F.col("type_tag"))
+        title = archive_title(F.col("raw_desc"), F.col("vendor_name"), F.col("size_text"), F.col("color_text"))
     else:
-        raw_kind = first_nonempty(group_product_type(department), text("PFIELD1"), department)
-        vendor = simplify_vendor(
-            resolve_vendor_name(F.col("_c1"), field(rows, "PFIELD2"), F.col("_c2"), F.col("_code")), raw_kind
+        rows = rows.withColumn("type_tag", first_nonempty(group_kind, text("PFIELD1"), F.col("department")))
+        company = resolve_vendor_name(F.col("_c1"), field(rows, "PFIELD2"), F.col("_c2"), F.col("_code"))
+        rows = rows.withColumns({
+            "vendor_name": simplify_vendor(company, F.col("type_tag")), "product_type": smart_title_case(F.col("type_tag")),
+            "item_stock": select_quantity(item_quantity, F.col("cell_quantity"), options.quantity_source),
+        })
+        title = F.col("raw_desc") if options.raw_titles else smart_title(
+            F.col("raw_desc"), F.col("vendor_name"), F.col("vendor_code"), F.col("product_type"), F.col("size_text"),
+            F.col("color_text"), F.col("second"),
         )
-        kind, tag_kind = smart_title_case(raw_kind), raw_kind
-        size, color, style = text("SIZE", "pc_SIZE"), text("COLOR", "pc_COLOR"), text("STYLE", "pc_STYLE")
-        vendor_item = text("VEND_ID", "pc_VEND_ID", "vi_VEND_SKU")
-        barcode = text("ALT_SKU")
-        quantity = select_quantity(item_quantity, F.col("cell_quantity"), options.quantity_source)
-        title = text("DESC") if options.raw_titles else smart_title(
-            text("DESC"), vendor, F.col("_code"), kind, size, color, text("DESC2")
-        )
-
-    rows = rows.select(
-        *rows.columns,
-        F.col("_sku").alias("sku_key"), text("DESC").alias("raw_desc"), title.alias("title"),
-        vendor.alias("vendor_name"), F.col("_code").alias("vendor_code"), kind.alias("product_type"),
-        tag_kind.alias("type_tag"), department.alias("department"), size.alias("size_text"),
-        color.alias("color_text"), style.alias("style_text"), vendor_item.alias("vendor_item"),
-        text("DESC2").alias("second"), barcode.alias("barcode_text"), price.alias("price_exact"),
-        compare_at.alias("compare_exact"), cost.alias("cost_exact"), quantity.alias("item_stock"),
-    )
+    rows = rows.withColumn("title", title)
     variant_count, stock = F.lit(0), F.col("item_stock")
     if matrix is not None:
         rows = rows.join(

@@ -38,10 +38,9 @@ def address(
     province: Column, zip_code: Column, phone: Column,
 ) -> Column:
     """Address struct, or null when no part gives a place."""
-    first, last = split_name(name)
     parts = [clean_text(c) for c in (address1, address2, city, province, zip_code)]
     built = F.struct(
-        first.alias("first_name"), last.alias("last_name"), F.nullif(company, F.lit("")).alias("company"),
+        split_name(name)["first"].alias("first_name"), split_name(name)["last"].alias("last_name"), F.nullif(company, F.lit("")).alias("company"),
         parts[0].alias("address1"), parts[1].alias("address2"), smart_title_case(parts[2]).alias("city"),
         F.upper(parts[3]).alias("province_code"), parts[4].alias("zip"), F.lit("US").alias("country_code"),
         phone.alias("phone"),

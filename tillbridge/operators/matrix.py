@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tillbridge.functions.keys import base_sku, child_sku, is_matrix_child
 from tillbridge.functions.money import decimal_or_none, stock_quantity
-from tillbridge.functions.text import clean_text, normalize_spaces
+from tillbridge.functions.text import clean_text, let, normalize_spaces
 from tillbridge.operators.ordering import number_within
 
 # The stock states every location must report as zero before a repair.
@@ -73,21 +73,21 @@ def parse_cell(cell: Column, row_count: Column, column_count: Column) -> Column:
     A compact text has one candidate split per digit, so nothing here grows
     with the grid.
     """
-    text = clean_text(cell)
-
     def reading(row: Column, column: Column) -> Column:
-        r, c = row.try_cast("int"), column.try_cast("int")
         plain = row.rlike("^[1-9][0-9]*$") & column.rlike("^[1-9][0-9]*$")
+        r, c = row.try_cast("int"), column.try_cast("int")
         return F.when(plain & (r <= row_count) & (c <= column_count), F.struct(r.alias("row"), c.alias("column")))
 
-    spaced = F.array(reading(F.regexp_extract(text, "^([0-9]+) ([0-9]+)$", 1), F.regexp_extract(text, "^([0-9]+) ([0-9]+)$", 2)))
-    n = F.length(text)
-    compact = F.when(
-        text.rlike("^[0-9]{2,20}$"),
-        F.transform(F.sequence(F.lit(1), n - 1), lambda i: reading(F.substring(text, 1, i), F.substring(text, i + 1, n))),
-    )
-    fits = F.array_compact(F.coalesce(compact, spaced))
-    return F.when(F.size(fits) == 1, fits[0])
+    def readings(text: Column) -> Column:
+        spaced = F.array(reading(F.substring_index(text, " ", 1), F.substring_index(text, " ", -1)))
+        n = F.length(text)
+        splits = F.transform(F.sequence(F.lit(1), n - 1), lambda i: reading(F.substring(text, 1, i), F.substring(text, i + 1, n)))
+        return F.array_compact(
+            F.when(text.rlike("^[0-9]{2,20}$"), splits).when(text.rlike("^[0-9]+ [0-9]+$"), spaced)
+        )
+
+    fits = let(clean_text(cell), readings)
+    return let(fits, lambda f: F.when(F.size(f) == 1, f[0]))
 
 
 def build_matrix(cells: DataFrame, headers: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillbridge.functions.money import decimal_or_none, nonzero_money_text, stock_quantity, till_money
-from tillbridge.functions.text import clean_text, compare_text, escape_html, first_nonempty
+from tillbridge.functions.text import clean_text, compare_text, escape_html, first_nonempty, let
 from tillbridge.functions.titles import second_description
 
 METAFIELDS = "array<struct<namespace:string,key:string,value:string,type:string>>"
@@ -64,21 +64,18 @@ def media_inputs(urls: Column, title: Column, sku: Column) -> Column:
 
 def metafields(entries: Sequence[tuple[str, Column, str]], namespace: str = "pos") -> Column:
     """Typed key/value entries; null, blank and NUL-bearing values are dropped."""
-    def value(column: Column, kind: str) -> Column:
-        if kind == JSON:
-            return F.nullif(column, F.lit("{}"))
-        text = clean_text(column.cast("string"))
-        return F.when(~F.contains(text, F.lit("\x00")), text)
-
     clean = "".join(ch if ch.isascii() and (ch.isalnum() or ch in "_-") else "_" for ch in namespace.strip()).strip("_")
-    built = [
-        F.struct(
-            F.lit(clean or "pos").alias("namespace"), F.lit(key).alias("key"),
-            value(column, kind).alias("value"), F.lit(kind).alias("type"),
-        )
+    given = F.array(*[
+        F.struct(F.lit(key).alias("key"), column.cast("string").alias("value"), F.lit(kind).alias("type"))
         for key, column, kind in entries
-    ]
-    return F.filter(F.array(*built), lambda m: m["value"].isNotNull())
+    ])
+
+    def entry(m: Column) -> Column:
+        plain = let(clean_text(m["value"]), lambda text: F.when(~F.contains(text, F.lit("\x00")), text))
+        value = F.when(m["type"] == JSON, F.nullif(m["value"], F.lit("{}"))).otherwise(plain)
+        return F.struct(F.lit(clean or "pos").alias("namespace"), m["key"].alias("key"), value.alias("value"), m["type"].alias("type"))
+
+    return F.filter(F.transform(given, entry), lambda m: m["value"].isNotNull())
 
 
 def compact_json(df: DataFrame, prefix: str = "") -> Column:
@@ -93,8 +90,7 @@ def compact_json(df: DataFrame, prefix: str = "") -> Column:
         elif isinstance(f.dataType, T.NumericType):
             kept = F.when(column != 0, column.cast("string"))
         elif isinstance(f.dataType, T.StringType):
-            text = clean_text(column)
-            kept = F.when(~F.contains(text, F.lit("\x00")), text)
+            kept = let(clean_text(column), lambda text: F.when(~F.contains(text, F.lit("\x00")), text))
         else:
             continue
         parts.append(kept.alias(f.name[len(prefix):]))
@@ -156,15 +152,16 @@ def dedupe_metafields(rows: DataFrame, owner: Sequence[str], order: Sequence[str
 
 def detail_list(details: Sequence[tuple[str, Column]]) -> Column:
     """``<ul>`` of the details that are neither blank nor zero; blank when none is left."""
-    items = [
-        F.when(
-            ~F.coalesce(v.cast("string"), F.lit("")).isin("", "0", "0.00"),
-            F.concat(F.lit("<li><strong>"), escape_html(F.lit(label)), F.lit(":</strong> "), escape_html(v), F.lit("</li>")),
-        )
-        for label, v in details
-    ]
-    body = F.concat_ws("", *items)
-    return F.when(body != "", F.concat(F.lit("<ul>"), body, F.lit("</ul>"))).otherwise("")
+    given = F.array(*[F.struct(F.lit(label).alias("label"), v.cast("string").alias("value")) for label, v in details])
+    told = F.filter(given, lambda d: ~F.coalesce(d["value"], F.lit("")).isin("", "0", "0.00"))
+    items = F.transform(
+        told,
+        lambda d: F.concat(F.lit("<li><strong>"), escape_html(d["label"]), F.lit(":</strong> "), escape_html(d["value"]), F.lit("</li>")),
+    )
+    return let(
+        F.array_join(items, ""),
+        lambda body: F.when(body != "", F.concat(F.lit("<ul>"), body, F.lit("</ul>"))).otherwise(""),
+    )
 
 
 def description_html(rows: DataFrame, stock: Column) -> Column:
@@ -196,7 +193,7 @@ def description_html(rows: DataFrame, stock: Column) -> Column:
     ]
     return F.concat(
         F.lit("<p>"), escape_html(F.col("title")), F.lit("</p>"),
-        F.when(summary != "", F.concat(F.lit("<p>"), summary, F.lit("</p>"))).otherwise(""),
+        let(summary, lambda x: F.when(x != "", F.concat(F.lit("<p>"), x, F.lit("</p>"))).otherwise("")),
         detail_list(details),
     )
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillbridge.functions.text import let
 from tillbridge.operators.ordering import previous_value, stored_time_before
 
 CHANNELS = ("inventory", "orders", "catalog")
@@ -148,29 +149,37 @@ def list_log(df: DataFrame, shop_column: str, order: Sequence[str], limit: int,
 
 
 def mask_api_key(value: Column) -> Column:
-    text = F.nullif(F.trim(value), F.lit(""))
-    short = F.concat(F.substring(text, 1, 8), F.lit("..."), F.substring(text, -4, 4))
-    return F.when(F.length(text) <= 10, text).otherwise(short)
+    def shorten(text: Column) -> Column:
+        short = F.concat(F.substring(text, 1, 8), F.lit("..."), F.substring(text, -4, 4))
+        return F.when(F.length(text) <= 10, text).otherwise(short)
+
+    return let(F.nullif(F.trim(value), F.lit("")), shorten)
 
 
 def _form_encode(value: Column) -> Column:
     return F.replace(F.replace(F.url_encode(value), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
 
 
+def _decoded(text: Column) -> Column:
+    return F.coalesce(F.try_url_decode(text), text)
+
+
+def _masked_pair(v: Column) -> Column:
+    name = F.lower(v["key"])
+    shown = (
+        F.when(name.isin(*SECRET_KEYS), "***")
+        .when(name.isin(*SHORT_KEYS), F.coalesce(mask_api_key(v["value"]), F.lit("")))
+        .otherwise(v["value"])
+    )
+    return F.concat(_form_encode(v["key"]), F.lit("="), _form_encode(shown))
+
+
 def mask_query(query: Column) -> Column:
     """Hide secrets and shorten keys in a query string."""
     def masked(pair: Column) -> Column:
         raw = F.substring_index(pair, "=", 1)
-        key = F.coalesce(F.try_url_decode(raw), raw)
         rest = F.substring(pair, F.length(raw) + 2, F.length(pair))
-        value = F.coalesce(F.try_url_decode(rest), rest)
-        name = F.lower(key)
-        shown = (
-            F.when(name.isin(*SECRET_KEYS), "***")
-            .when(name.isin(*SHORT_KEYS), F.coalesce(mask_api_key(value), F.lit("")))
-            .otherwise(value)
-        )
-        return F.concat(_form_encode(key), F.lit("="), _form_encode(shown))
+        return let(F.struct(_decoded(raw).alias("key"), _decoded(rest).alias("value")), _masked_pair)
 
     pairs = F.filter(F.split(query, "&"), lambda p: p != "")
     return F.when(F.coalesce(query, F.lit("")) != "", F.array_join(F.transform(pairs, masked), "&"))

@@ -193,7 +193,7 @@ items AS (
     CAST(CASE WHEN p_partkey % 11 <> 0 THEN CASE WHEN p_partkey % 13 = 0 THEN 0 ELSE CAST(p_retailprice AS DECIMAL(18,2)) END END AS DECIMAL(18,2)) AS price,
     CAST(CAST(p_retailprice AS DECIMAL(18,2)) * CASE WHEN p_partkey % 2 = 0 THEN 2 ELSE 4 END AS DECIMAL(18,2)) AS price_r,
     CASE WHEN p_partkey % 9 <> 0 THEN CAST(CAST(p_retailprice AS DECIMAL(18,2)) * CAST(0.5 AS DECIMAL(2,1)) AS DECIMAL(18,2)) END AS cost,
-    CAST(p_size - 10 AS BIGINT) AS qty, CASE WHEN p_partkey % 10 = 0 THEN 'M' ELSE 'S' END AS kind,
+    CAST(p_size - 10 AS BIGINT) AS qty, CASE WHEN p_partkey % 10 = 0 THEN 'M' ELSE 'S' END AS item_type,
     CASE WHEN p_partkey % 3 = 0 THEN 'http://img.example/' || p_partkey || '.jpg' ELSE 'local.jpg' END AS image,
     CASE WHEN p_partkey % 6 = 0 THEN 'http://img.example/' || p_partkey || '.jpg' ELSE 'HTTPS://img.example/b' || p_partkey END AS image2,
     p_partkey AS rec_no
