@@ -220,32 +220,23 @@ def new_numeric_skus(
 ) -> DataFrame:
     """Digit-only SKUs above the high-water mark that are not known yet.
 
-    Output (sku, previous_high, new_high, width); the two scalars come from
-    one-row aggregates, joined as such.
+    Output (sku, previous_high, new_high, width); width and marks are scalar
+    subqueries over the same frames.
     """
-    sku = F.trim("sku")
-    numeric = items.select(sku.alias("sku"), *[o for o in order if o != "sku"]).where(F.col("sku").rlike(r"^\d+$"))
-    last_width = numeric.agg(F.max_by(F.length("sku"), F.struct(*order)).alias("width"))
-    if width is not None:
-        last_width = numeric.agg(F.lit(width).alias("width"))
-    # one row: an aggregate without grouping
-    sized = numeric.crossJoin(F.broadcast(last_width)).where(F.length("sku") == F.col("width"))
-    observed = sized.agg(F.max(F.col("sku").cast("decimal(38,0)")).alias("observed"))
-    old = (
-        known.select(sku.alias("sku")).where(F.col("sku").rlike(r"^\d+$"))
-        .crossJoin(F.broadcast(last_width)).where(F.length("sku") == F.col("width"))
-        .agg(F.coalesce(F.max(F.col("sku").cast("decimal(38,0)")), F.lit(0)).alias("previous_high"))
-    )
-    if high_water is not None:
-        old = old.select(F.lit(high_water).cast("decimal(38,0)").alias("previous_high"))
-    marks = F.broadcast(old.crossJoin(observed))
-    above = sized.select("sku", "width").distinct().crossJoin(marks).where(
-        F.col("sku").cast("decimal(38,0)") > F.col("previous_high")
-    )
-    fresh = above.join(known.select(sku.alias("sku")).distinct(), "sku", "left_anti")
+    wide = "decimal(38,0)"
+    numeric = items.select(F.trim("sku").alias("sku"), *[o for o in order if o != "sku"]).where(F.col("sku").rlike(r"^\d+$"))
+    last_width = numeric.agg(F.max_by(F.length("sku"), F.struct(*order))).scalar() if width is None else F.lit(width)
+    sized = numeric.where(F.length("sku") == last_width).select("sku").distinct()
+    old = known.select(F.trim("sku").alias("sku")).where(F.col("sku").rlike(r"^\d+$"))
+    if high_water is None:
+        before = old.where(F.length("sku") == last_width).agg(F.coalesce(F.max(F.col("sku").cast(wide)), F.lit(0))).scalar()
+    else:
+        before = F.lit(high_water)
+    observed = sized.agg(F.max(F.col("sku").cast(wide))).scalar()
+    fresh = sized.where(F.col("sku").cast(wide) > before).join(old.distinct(), "sku", "left_anti")
     return fresh.select(
-        "sku", F.col("previous_high").cast("bigint").alias("previous_high"),
-        F.greatest("previous_high", "observed").cast("bigint").alias("new_high"), "width",
+        "sku", before.cast("bigint").alias("previous_high"), F.greatest(before, observed).cast("bigint").alias("new_high"),
+        F.length("sku").alias("width"),
     )
 
 
