@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillbridge.functions.contact import (
     country_code, csv_text, normalize_email, normalize_us_phone, pos_ids_in_tags, province_code, split_name,
@@ -91,15 +92,15 @@ def build_customers(rows: DataFrame, shipping: DataFrame | None = None, tags: Se
         return F.nullif(smart_title_case(get(name)), F.lit(""))
 
     base = rows.select(
-        "*", get("CUST_NUM").alias("pos_customer_number"), cased("FIRST_NAME").alias("first_name"),
-        cased("LAST_NAME").alias("last_name"), cased("COMPANY").alias("company"),
-        normalize_email(field(rows, "INTERNET")).alias("email"),
-        normalize_us_phone(first_nonempty(get("PHONE"), get("PHONE_H"), get("PHONE_W"))).alias("phone"),
+        "*", get("CUST_NUM").alias("_num"), cased("FIRST_NAME").alias("_first"),
+        cased("LAST_NAME").alias("_last"), cased("COMPANY").alias("_company"),
+        normalize_email(field(rows, "INTERNET")).alias("_email"),
+        normalize_us_phone(first_nonempty(get("PHONE"), get("PHONE_H"), get("PHONE_W"))).alias("_phone"),
     )
     if shipping is not None:
-        base = base.join(shipping.withColumnRenamed("cust_num", "_ship_num"), F.col("pos_customer_number") == F.col("_ship_num"), "left")
-    company, phone = F.col("company"), F.col("phone")
-    full_name = F.nullif(F.concat_ws(" ", "first_name", "last_name"), F.lit(""))
+        base = base.join(shipping.withColumnRenamed("cust_num", "_ship_num"), F.col("_num") == F.col("_ship_num"), "left")
+    company, phone = F.col("_company"), F.col("_phone")
+    full_name = F.nullif(F.concat_ws(" ", "_first", "_last"), F.lit(""))
     primary = address(
         first_nonempty(full_name, get("SHIPNAME")), company,
         *[field(rows, n) for n in ("ADDRESS", "ADDRESS2", "CITY_STATE", "STATE", "ZIP")], phone,
@@ -136,11 +137,12 @@ def build_customers(rows: DataFrame, shipping: DataFrame | None = None, tags: Se
         *[(k, field(rows, n), LINE) for k, n in plain_after],
         *[(k, nonzero_money_text(field(rows, n)), LINE) for k, n in amounts],
     ]
-    no_identity = F.coalesce("email", "phone", "first_name", "last_name", "company").isNull()
+    no_identity = F.coalesce("_email", "_phone", "_first", "_last", "_company").isNull()
     skip = F.when(is_deleted(field(rows, "DELETED")), "deleted").when(no_identity, "missing_identity")
     arrival = [c for c in ("source_rank", "_rec_no") if c in rows.columns]
     return base.select(
-        "source", *arrival, "pos_customer_number", "first_name", "last_name", "company", "email", "phone",
+        "source", *arrival, F.col("_num").alias("pos_customer_number"), F.col("_first").alias("first_name"),
+        F.col("_last").alias("last_name"), company.alias("company"), F.col("_email").alias("email"), phone.alias("phone"),
         dedupe_addresses(places).alias("addresses"), all_tags.alias("tags"), tax_exempt.alias("tax_exempt"),
         note.alias("note"), metafields(entries).alias("metafields"), get("LAST_ACT").alias("last_activity"),
         bought.alias("total_purchased"), skip.alias("skip"),
@@ -284,7 +286,7 @@ def split_by_bytes(rows: DataFrame, order: Sequence[str], line: str, max_bytes:
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).select(
         "*", F.octet_length(F.col(line)).cast("bigint").alias("line_bytes"), F.spark_partition_id().alias("part_range")
     )
-    schema = ranged.schema.add("part_number", "bigint")
+    schema = T.StructType([*ranged.schema.fields, T.StructField("part_number", T.LongType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, size = 0, header_bytes

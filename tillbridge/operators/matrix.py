@@ -150,20 +150,25 @@ def variant_totals(variants: DataFrame) -> DataFrame:
 def validate_variants(variants: DataFrame) -> DataFrame:
     """Problems: missing codes, barcodes used twice, missing or repeated options."""
     options = F.array_join(F.transform(F.array_sort(F.map_entries("option_values")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
-    rows = variants.withColumn("_options", options)
-    blank = rows.where(clean_text(F.col("sku")).isNull() | clean_text(F.col("barcode")).isNull())
-    missing = blank.groupBy("base").agg(F.count(F.lit(1)).alias("rows")).select("base", F.lit("missing_code").alias("problem"), F.lit("").alias("value"), "rows")
-    copies = (
-        rows.where(clean_text(F.col("barcode")).isNotNull()).groupBy(clean_text(F.col("barcode")).alias("value"))
-        .agg(F.count(F.lit(1)).alias("rows"), F.min("base").alias("base")).where("rows > 1")
-        .select("base", F.lit("duplicate_barcode").alias("problem"), "value", "rows")
+    code = clean_text(F.col("barcode"))
+    rows = variants.select("base", options.alias("options"), code.alias("code"), clean_text(F.col("sku")).alias("sku"))
+
+    def claim(problem: str, owner: Column, value: Column) -> Column:
+        return F.struct(F.lit(problem).alias("problem"), owner.alias("owner"), value.alias("value"))
+
+    none = F.lit("")
+    claims = F.array(
+        F.when(F.col("sku").isNull() | F.col("code").isNull(), claim("missing_code", F.col("base"), none)),
+        F.when(F.col("code").isNotNull(), claim("duplicate_barcode", none, F.col("code"))),
+        F.when(F.col("options") == "", claim("missing_option", F.col("base"), none))
+        .otherwise(claim("duplicate_option", F.col("base"), F.col("options"))),
     )
-    combos = (
-        rows.groupBy("base", F.col("_options").alias("value")).agg(F.count(F.lit(1)).alias("rows"))
-        .where("rows > 1 OR value = ''")
-        .select("base", F.when(F.col("value") == "", "missing_option").otherwise("duplicate_option").alias("problem"), "value", "rows")
+    # one pass: every rule is a key that may be claimed once, or not at all
+    counted = (
+        rows.select("base", F.explode(F.array_compact(claims)).alias("c"))
+        .groupBy("c.problem", "c.owner", "c.value").agg(F.count(F.lit(1)).alias("rows"), F.min("base").alias("base"))
     )
-    return missing.unionByName(copies).unionByName(combos)
+    return counted.where("rows > 1 OR problem LIKE 'missing%'").select("base", "problem", "value", "rows")
 
 
 def resolve_variant_row(rows: DataFrame, known: DataFrame) -> DataFrame:
