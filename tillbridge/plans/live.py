@@ -1 +1,129 @@
-"""Placeholder."""
+"""DBF files and streams, fed from the supplied tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tillbridge.operators import orders
+from tillbridge.plans import proxies as p
+from tillbridge.plans.online import STABLE_SQL
+from tillbridge.plans.registry import Tables, query
+from tillbridge.session import scratch_path
+from tillbridge.sources import dbf, profile
+from tillbridge.streaming import folds, inbox
+
+ITEM_LAYOUT = [("SKU", "C", 16, 0), ("DESC", "C", 30, 0), ("PRICE", "N", 12, 2), ("QTY", "N", 8, 0), ("SELLWEB", "L", 1, 0), ("LAST_ACT", "D", 8, 0)]
+
+
+def item_files(t: Tables, table: str = "Item") -> str:
+    """Parts fitted to a layout and written as DBF files, one per task."""
+    dbf.register(t.spark)
+    k = F.col("p_partkey")
+    rows = t.part.select(
+        p.code("P", "p_partkey").alias("SKU"), F.when(k % 5 != 0, F.col("p_name")).alias("DESC"), F.col("p_retailprice").cast("decimal(18,2)").alias("PRICE"), F.col("p_size").alias("QTY"),
+        (k % 2 == 0).alias("SELLWEB"), F.lit("2024-02-29").alias("LAST_ACT"),
+    )
+    path = scratch_path(t.spark, "dbf")
+    fitted = orders.fit_fixed_width(rows, ITEM_LAYOUT).select(*[name for name, *_ in ITEM_LAYOUT])
+    fitted.repartition(4, "SKU").write.format("dbf").option("layout", dbf.layout_text(ITEM_LAYOUT)).option("table", table).mode("append").save(path)
+    return path
+
+
+ITEM_SQL = """
+SELECT 'P' || p_partkey AS sku, CASE WHEN p_partkey % 5 <> 0 THEN p_name END AS descr, CAST(p_retailprice AS DECIMAL(12,2)) AS price, CAST(p_size AS DECIMAL(8,0)) AS qty, p_partkey % 2 = 0 AS sellweb"""
+
+
+def named(rows: DataFrame) -> DataFrame:
+    return rows.withColumnsRenamed({"SKU": "sku", "DESC": "descr", "PRICE": "price", "QTY": "qty", "SELLWEB": "sellweb", "LAST_ACT": "last_act"}).drop("_rec_no", "_file", "_reset")
+
+
+@query("dbf_scan", f"{ITEM_SQL}, '2024-02-29' AS last_act FROM part")
+def dbf_scan(t: Tables) -> DataFrame:
+    return named(dbf.read_dbf(t.spark, item_files(t), splitRecords="100"))
+
+
+@query("dbf_strict_scan", f"{ITEM_SQL}, DATE '2024-02-29' AS last_act FROM part")
+def dbf_strict_scan(t: Tables) -> DataFrame:
+    return named(dbf.read_dbf(t.spark, item_files(t), mode="strict", layout=dbf.layout_text(ITEM_LAYOUT)))
+
+
+@query("dbf_key_filter", "SELECT 'P' || p_partkey AS sku, CAST(p_size AS DECIMAL(8,0)) AS qty FROM part WHERE p_partkey IN (3, 50, 77)")
+def dbf_key_filter(t: Tables) -> DataFrame:
+    rows = dbf.read_dbf(t.spark, item_files(t), columns="SKU,QTY").where(F.col("SKU").isin("P3", "P50", "P77"))
+    return named(rows)
+
+
+@query("dbf_selected_rows", "SELECT 'P' || p_partkey AS sku, CAST(p_size AS DECIMAL(8,0)) AS qty FROM part WHERE p_size = 7")
+def dbf_selected_rows(t: Tables) -> DataFrame:
+    wanted = t.part.where("p_size = 7").select(p.code("P", "p_partkey").alias("key"))
+    return named(dbf.read_selected(t.spark, item_files(t), "SKU", wanted, ["QTY"]))
+
+
+@query("dbf_appended_rows", f"{ITEM_SQL}, '2024-02-29' AS last_act FROM part")
+def dbf_appended_rows(t: Tables) -> DataFrame:
+    """Event files streamed from their first record."""
+    landed = inbox.drain(dbf.read_dbf_stream(t.spark, item_files(t), startingRecord="0"), "appended", mode="append")
+    return named(landed.drop("batch"))
+
+
+@query("profile_tables", """
+SELECT 'products_inventory' AS category, 'Item' AS name, CAST(count(*) AS BIGINT) AS records, 'LAST_ACT' AS last_field, '' AS sensitive FROM part""")
+def profile_tables(t: Tables) -> DataFrame:
+    rows = profile.profile_tables(t.spark, item_files(t))
+    return rows.groupBy("category", F.substring_index("table", "-", 1).alias("name")).agg(
+        F.sum("records").alias("records"), F.max(F.element_at("fields", -1)).alias("last_field"), F.max(F.concat_ws(";", "sensitive_fields")).alias("sensitive"),
+    )
+
+
+@query("category_totals", "SELECT 'products_inventory' AS category, count(*) AS records, CAST(0 AS BIGINT) AS sensitive_tables FROM part")
+def category_totals(t: Tables) -> DataFrame:
+    return profile.category_totals(profile.profile_tables(t.spark, item_files(t))).drop("tables")
+
+
+def event_stream(t: Tables) -> DataFrame:
+    return t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
+
+
+@query("stream_fold_inventory", f"""
+WITH {p.FOLD_SQL} SELECT shop || '/' || item AS key, version, quantity FROM folded""")
+def stream_fold_inventory(t: Tables) -> DataFrame:
+    rows = event_stream(t)
+    at = p.micros(F.col("ts")) - (F.col("event_id") % 7) * 3_600_000_000
+    keyed = rows.select(
+        F.concat(F.lit("shop"), (F.col("user_id") % 3).cast("string"), F.lit("/I"), F.col("user_id").cast("string")).alias("key"), F.col("event_id").alias("seq"),
+        F.when(F.col("event_id") % 11 != 0, at).alias("at"), F.floor("value").cast("bigint").alias("quantity"),
+    )
+    return inbox.current_rows(inbox.drain(folds.fold_inventory_stream(keyed), "fold"), "key").select("key", "version", "quantity")
+
+
+@query("stream_fold_orders", """
+SELECT user_id, count(*) AS version, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1""")
+def stream_fold_orders(t: Tables) -> DataFrame:
+    return inbox.current_rows(inbox.drain(folds.fold_order_stream(event_stream(t), "user_id", "event_id", "event_type"), "orders"), "user_id")
+
+
+@query("stream_stable_payloads", f"""
+WITH {STABLE_SQL}, n AS (SELECT sku, scan, row_number() OVER (PARTITION BY sku, g ORDER BY scan) AS observations FROM gr)
+SELECT *, observations >= 2 AS ready FROM n""")
+def stream_stable_payloads(t: Tables) -> DataFrame:
+    rows = event_stream(t).select(
+        F.concat(F.lit("S"), (F.col("user_id") % 60).cast("string")).alias("sku"), F.col("event_id").alias("scan"), F.when(F.col("value") < 30, "a").otherwise(F.col("event_type")).alias("title"),
+    )
+    return inbox.drain(folds.stable_payload_stream(rows, ["title"]), "stable", mode="append").select("sku", "scan", "observations", "ready")
+
+
+@query("stream_repair_stage")
+def stream_repair_stage(t: Tables) -> DataFrame:
+    """Repair events per base; checked against a plain fold in the tests."""
+    k, u = F.col("event_id"), F.col("user_id")
+
+    def one_of(column, *values):
+        return F.element_at(F.array(*[F.lit(v) for v in values]), (column + 1).cast("int"))
+
+    rows = event_stream(t).select(
+        p.code("B", "user_id").alias("base"), k.alias("seq"), one_of(k % 3, "scan", "payload", "result").alias("kind"), F.when(F.col("value") < 60, "x").otherwise("y").alias("print"),
+        one_of(F.floor("value") % 3, "correct", "scalar", "blocked").alias("shape"), one_of(F.floor("value") % 4, "repaired", "quantity_mismatch", "blocked", "failed").alias("status"),
+        (k % 2 == 0).alias("confirmed"), F.date_format("ts", "yyyy-MM-dd").alias("day"),
+    )
+    return inbox.drain(folds.repair_stage_stream(rows), "stages", mode="append").drop("batch")
