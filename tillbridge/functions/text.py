@@ -72,7 +72,15 @@ _WORD = r"^([^A-Za-z0-9']*)([A-Za-z0-9'.]+)([^A-Za-z0-9']*)$"
 
 def _case_piece(piece: Column) -> Column:
     lead, core, tail = (F.regexp_extract(piece, _WORD, i) for i in (1, 2, 3))
-    return F.when(piece.rlike(_WORD), F.concat(lead, let(core, case_core), tail)).otherwise(piece)
+    capital = F.concat(F.upper(F.substring(piece, 1, 1)), F.lower(F.substring(piece, 2, 1 << 30)))
+    # plain words of three letters or more are most words: one test, no further parts
+    plain = F.when(F.upper(piece).isin(*KEEP_UPPER), F.upper(piece)).otherwise(capital)
+    return (
+        F.when(piece == " ", piece)
+        .when(piece.rlike("^[A-Za-z]{3,}$"), plain)
+        .when(piece.rlike(_WORD), F.concat(lead, let(core, case_core), tail))
+        .otherwise(piece)
+    )
 
 
 def smart_title_case(value: Column) -> Column:
@@ -117,19 +125,17 @@ def escape_html(value: Column) -> Column:
     return out
 
 
-def truncate_bytes_cp1252(value: Column, start: int, length: int) -> Column:
-    """Slice in a single-byte encoding: unencodable characters count as one '?'."""
-    return F.nullif(F.substring(to_cp1252(value), start, length), F.lit(""))
-
-
 # Characters above U+00FF that the single-byte encoding holds.
 CP1252_HIGH = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
 _NOT_CP1252 = rf"[^\x00-\x7f\xa0-\xff{CP1252_HIGH}]"
 
 
 def has_unencodable(value: Column) -> Column:
-    return value.rlike(_NOT_CP1252)
+    """Characters the encoding lacks; plain ASCII is decided by its length alone."""
+    return (F.octet_length(value) != F.length(value)) & value.rlike(_NOT_CP1252)
 
 
 def to_cp1252(value: Column) -> Column:
+    """Unencodable characters become '?'. One character is one byte, so a
+    text may be cut before it is converted."""
     return F.regexp_replace(value, _NOT_CP1252, "?")

@@ -13,7 +13,7 @@ from tillbridge.functions.contact import (
     country_code, csv_text, normalize_email, normalize_us_phone, pos_ids_in_tags, province_code, split_name,
 )
 from tillbridge.functions.money import decimal_or_none, nonzero_money_text, nonzero_or_text, till_money
-from tillbridge.functions.text import clean_text, first_nonempty, smart_title_case
+from tillbridge.functions.text import clean_text, first_nonempty, let, smart_title_case
 from tillbridge.operators.catalog import field
 from tillbridge.operators.ordering import order_key
 from tillbridge.operators.payloads import LINE, metafields
@@ -41,7 +41,7 @@ def address(
     """Address struct, or null when no part gives a place."""
     parts = [clean_text(c) for c in (address1, address2, city, province, zip_code)]
     built = F.struct(
-        split_name(name)["first"].alias("first_name"), split_name(name)["last"].alias("last_name"), F.nullif(company, F.lit("")).alias("company"),
+        split_name(name).alias("name"), F.nullif(company, F.lit("")).alias("company"),
         parts[0].alias("address1"), parts[1].alias("address2"), smart_title_case(parts[2]).alias("city"),
         F.upper(parts[3]).alias("province_code"), parts[4].alias("zip"), F.lit("US").alias("country_code"),
         phone.alias("phone"),
@@ -55,9 +55,11 @@ def address_key(a: Column) -> Column:
 
 def dedupe_addresses(addresses: Column) -> Column:
     """First copy of each place, at most ten."""
-    present = F.array_compact(addresses)
-    keys = F.transform(present, address_key)
-    return F.slice(F.filter(present, lambda a, i: F.array_position(keys, address_key(a)) == i + 1), 1, MAX_ADDRESSES)
+    def firsts(v: Column) -> Column:
+        return F.filter(v["places"], lambda _, i: F.array_position(v["keys"], v["keys"][i]) == i + 1)
+
+    keyed = let(F.array_compact(addresses), lambda a: F.struct(a.alias("places"), F.transform(a, address_key).alias("keys")))
+    return F.slice(let(keyed, firsts), 1, MAX_ADDRESSES)
 
 
 def shipping_addresses(rows: DataFrame, order: Sequence[str] = ("_rec_no",)) -> DataFrame:
@@ -109,7 +111,8 @@ def build_customers(rows: DataFrame, shipping: DataFrame | None = None, tags: Se
         get("SHIPNAME"), company,
         *[field(rows, n) for n in ("SHIPADD", "SHIPADD2", "SHIPCITY", "SHIPSTATE", "SHIPZIP")], phone,
     )
-    places = F.array(primary, ship_to)
+    base = base.withColumns({"_primary": primary, "_ship_to": ship_to})
+    places = F.array("_primary", "_ship_to")
     if shipping is not None:
         places = F.concat(places, F.coalesce("shipping", F.array().cast(shipping.schema["shipping"].dataType)))
     labels = [("POS Class", "CLASS"), ("POS Location", "LOC"), ("POS Price Level", "PRICE_LEV")]

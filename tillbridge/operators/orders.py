@@ -78,9 +78,8 @@ def _joined(*columns: Column) -> Column:
 
 def split_note(note: Column) -> tuple[Column, Column, Column]:
     """(first 254 bytes, next 254 bytes, changed) in a single-byte encoding."""
-    text = to_cp1252(note)
-    first = F.nullif(F.substring(text, 1, 254), F.lit(""))
-    second = F.nullif(F.substring(text, 255, 254), F.lit(""))
+    first = F.nullif(to_cp1252(F.substring(note, 1, 254)), F.lit(""))
+    second = F.nullif(to_cp1252(F.substring(note, 255, 254)), F.lit(""))
     return first, second, F.coalesce(has_unencodable(note) | (F.length(note) > 508), F.lit(False))
 
 
@@ -370,7 +369,7 @@ def fit_fixed_width(df: DataFrame, layout: Sequence[tuple[str, str, int, int]])
         value = F.col(name) if name in df.columns else F.lit(None).cast("string")
         if kind == "C":
             text = value.cast("string")
-            fitted = F.nullif(F.rtrim(F.substring(to_cp1252(text), 1, width)), F.lit(""))
+            fitted = F.nullif(F.rtrim(to_cp1252(F.substring(text, 1, width))), F.lit(""))
             moved = has_unencodable(text) | (F.length(text) > width)
         elif kind == "N":
             text = F.nullif(value.cast("string"), F.lit(""))

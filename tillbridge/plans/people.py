@@ -71,8 +71,8 @@ def shipping_lists(t: Tables) -> DataFrame:
     rows = customers.shipping_addresses(ship_rows(t))
     first = F.col("shipping")[0]
     return rows.select(
-        "cust_num", F.array_join(F.transform("shipping", lambda a: a["address1"]), ";").alias("streets"), first["first_name"].alias("first_name"),
-        first["last_name"].alias("last_name"), first["province_code"].alias("province"),
+        "cust_num", F.array_join(F.transform("shipping", lambda a: a["address1"]), ";").alias("streets"), first["name"]["first"].alias("first_name"),
+        first["name"]["last"].alias("last_name"), first["province_code"].alias("province"),
     )
 
 
