@@ -156,16 +156,16 @@ def build_products(t: Tables) -> DataFrame:
 
 
 @query("product_titles", f"""
-WITH {BUILD_SQL}
-SELECT sku, kind_title AS product_type,
-  (CASE WHEN contains(lower(regexp_replace(name_title, '[^A-Za-z0-9]', '', 'g')), lower(regexp_replace(vendor_title, '[^A-Za-z0-9]', '', 'g'))) THEN '' ELSE vendor_title || ' ' END)
-    || name_title || CASE WHEN shade IS NULL AND fit IS NULL THEN '' ELSE ' - ' || concat_ws(' / ', shade, fit) END AS title
-FROM (
-  SELECT sku, array_to_string(list_transform(string_split(kind, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS kind_title,
+WITH {BUILD_SQL},
+words AS (
+  SELECT sku, size, array_to_string(list_transform(string_split(kind, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS kind_title,
     array_to_string(list_transform(string_split(descr, ' '), lambda w: CASE WHEN length(w) <= 2 THEN upper(w) ELSE upper(w[1]) || lower(w[2:]) END), ' ') AS name_title,
-    CASE WHEN company LIKE 'V%' THEN company ELSE company END AS vendor_title,
-    CASE color WHEN 'BLK' THEN 'Black' WHEN 'navy' THEN 'Navy' END AS shade, size AS fit
-  FROM built WHERE NOT missing)""")
+    company AS vendor_title, CASE color WHEN 'BLK' THEN 'Black' WHEN 'navy' THEN 'Navy' END AS shade
+  FROM built WHERE NOT missing),
+led AS (
+  SELECT *, CASE WHEN contains(lower(regexp_replace(name_title, '[^A-Za-z0-9]', '', 'g')), lower(regexp_replace(vendor_title, '[^A-Za-z0-9]', '', 'g'))) THEN name_title ELSE vendor_title || ' ' || name_title END AS lead FROM words),
+flat AS (SELECT *, lower(regexp_replace(lead, '[^A-Za-z0-9]', '', 'g')) AS plain FROM led)
+SELECT sku, kind_title AS product_type, concat_ws(' - ', lead, nullif(concat_ws(' / ', CASE WHEN NOT contains(plain, lower(shade)) THEN shade END, CASE WHEN NOT contains(plain, size) THEN size END), '')) AS title FROM flat""")
 def product_titles(t: Tables) -> DataFrame:
     return products(t).where("NOT missing").select("sku", "product_type", "title")
 

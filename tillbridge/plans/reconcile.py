@@ -66,7 +66,7 @@ SELECT m.sku,
   CAST(CASE WHEN held THEN previous_pos ELSE pos_quantity END AS INTEGER) AS pos_seen,
   CAST(CASE WHEN held THEN previous_shop ELSE shop_quantity END AS INTEGER) AS shop_seen,
   CASE WHEN NOT held THEN shop_at END AS shop_seen_at,
-  CAST(coalesce(revision, 0) + CASE WHEN NOT held AND (target <> shop_quantity OR target <> pos_quantity) THEN 1 ELSE 0 END AS INTEGER) AS revision,
+  CAST(coalesce(m.revision, 0) + CASE WHEN NOT held AND (target <> shop_quantity OR target <> pos_quantity) THEN 1 ELSE 0 END AS INTEGER) AS revision,
   CASE WHEN has_shop_action THEN 's' || m.sku WHEN NOT held THEN a.idempotency_key END AS shop_key,
   CASE WHEN has_pos_action THEN 'p' || m.sku WHEN NOT held THEN b.idempotency_key END AS pos_key
 FROM (SELECT *, coalesce(has_shop_action, false) OR coalesce(has_pos_action, false) AS held FROM merged) m
