@@ -223,24 +223,32 @@ def imported(status: str = "IMPORT_ST") -> Column:
 def retain_orders(headers: DataFrame, lines: DataFrame, limit: int, protected: DataFrame, status: str = "IMPORT_ST") -> tuple[DataFrame, DataFrame]:
     """Bound the inbox: protected pending, then oldest pending, then newest imported.
 
-    Both ordered classes are cut with a top-k of at most ``limit`` rows before
-    they are ranked, so nothing large is sorted in one place.
+    The two ordered classes are ranked with a group limit, which every task
+    applies before the shuffle: at most ``limit`` rows of each travel on.
+    Protected orders are never ranked or cut.
     """
     limit = max(100, limit)
-    key = [F.coalesce(F.nullif("ORDER_AT", F.lit("")), F.nullif("SYNCED_AT", F.lit("")), F.lit("")), F.coalesce("ORDER_ID", F.lit(""))]
-    ids = protected.select("ORDER_ID").distinct()
-    pending, done = headers.where(~imported(status)), headers.where(imported(status))
-    first = pending.join(ids, "ORDER_ID", "left_semi")
-
-    def ranked(df: DataFrame, *order: Column) -> DataFrame:
-        top = df.orderBy(*order).limit(limit)
-        return top.withColumn("_rank", F.row_number().over(Window.orderBy(*order)))
-
-    room = F.lit(limit) - first.agg(F.count(F.lit(1))).scalar()
-    second = ranked(pending.join(ids, "ORDER_ID", "left_anti"), *[k.asc() for k in key]).where(F.col("_rank") <= room)
-    left = room - second.agg(F.count(F.lit(1))).scalar()
-    third = ranked(done, *[k.desc() for k in key]).where(F.col("_rank") <= left)
-    kept = first.unionByName(second.drop("_rank")).unionByName(third.drop("_rank"))
+    at = F.coalesce(F.nullif("ORDER_AT", F.lit("")), F.nullif("SYNCED_AT", F.lit("")), F.lit(""))
+    oid = F.coalesce("ORDER_ID", F.lit(""))
+    marks = protected.select("ORDER_ID", F.lit(True).alias("_protected")).distinct()
+    rows = headers.join(marks, "ORDER_ID", "left")
+    kind = F.when(imported(status), "imported").when(F.col("_protected"), "protected").otherwise("pending")
+    rows = rows.withColumn("_class", kind).drop("_protected")
+    pending = F.col("_class") == "pending"
+    order = [F.when(pending, at).asc(), F.when(pending, oid).asc(), F.when(~pending, at).desc(), F.when(~pending, oid).desc()]
+    ranked = (
+        rows.where("_class <> 'protected'")
+        .withColumn("_rank", F.row_number().over(Window.partitionBy("_class").orderBy(*order)))
+        .where(F.col("_rank") <= limit)
+    )
+    first = rows.where("_class = 'protected'")
+    room = F.greatest(F.lit(0), F.lit(limit) - first.agg(F.count(F.lit(1))).scalar())
+    # at most two times ``limit`` rows are left here
+    waiting = F.max(F.when(F.col("_class") == "pending", F.col("_rank"))).over(Window.partitionBy())
+    taken = F.least(F.coalesce("_waiting", F.lit(0)), room)
+    ranked = ranked.withColumn("_waiting", waiting)
+    kept = ranked.where(F.col("_rank") <= F.when(pending, room).otherwise(room - taken))
+    kept = first.drop("_class").unionByName(kept.drop("_class", "_rank", "_waiting"))
     return kept, lines.join(kept.select("ORDER_ID"), "ORDER_ID", "left_semi")
 
 

@@ -82,7 +82,9 @@ def category_totals(t: Tables) -> DataFrame:
 
 
 def event_stream(t: Tables) -> DataFrame:
-    return t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
+    """The event table as a stream; the input limit bounds what a key may bring at once."""
+    source = t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet")
+    return source.option("maxBytesPerTrigger", 1 << 30).parquet(t.folder)
 
 
 @query("stream_fold_inventory", f"""
