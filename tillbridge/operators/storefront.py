@@ -220,23 +220,25 @@ def new_numeric_skus(
 ) -> DataFrame:
     """Digit-only SKUs above the high-water mark that are not known yet.
 
-    Output (sku, previous_high, new_high, width); width and marks are scalar
-    subqueries over the same frames.
+    Output (sku, previous_high, new_high, width). Without a given width the
+    last numeric SKU in file order sets it.
     """
-    wide = "decimal(38,0)"
-    numeric = items.select(F.trim("sku").alias("sku"), *[o for o in order if o != "sku"]).where(F.col("sku").rlike(r"^\d+$"))
-    last_width = numeric.agg(F.max_by(F.length("sku"), F.struct(*order))).scalar() if width is None else F.lit(width)
-    sized = numeric.where(F.length("sku") == last_width).select("sku").distinct()
-    old = known.select(F.trim("sku").alias("sku")).where(F.col("sku").rlike(r"^\d+$"))
-    if high_water is None:
-        before = old.where(F.length("sku") == last_width).agg(F.coalesce(F.max(F.col("sku").cast(wide)), F.lit(0))).scalar()
-    else:
-        before = F.lit(high_water)
-    observed = sized.agg(F.max(F.col("sku").cast(wide))).scalar()
-    fresh = sized.where(F.col("sku").cast(wide) > before).join(old.distinct(), "sku", "left_anti")
-    return fresh.select(
-        "sku", before.cast("bigint").alias("previous_high"), F.greatest(before, observed).cast("bigint").alias("new_high"),
-        F.length("sku").alias("width"),
+    value = F.col("sku").cast("decimal(38,0)")
+    digits = F.trim("sku").rlike(r"^\d+$")
+    numeric = items.where(digits).select(F.trim("sku").alias("sku"), F.struct(*order).alias("at")).withColumn("width", F.length("sku"))
+    old = known.where(digits).select(F.trim("sku").alias("sku")).withColumn("width", F.length("sku"))
+    # one row per width, and there are few widths
+    lengths = numeric.groupBy("width").agg(F.max(value).alias("observed"), F.max("at").alias("at"))
+    lengths = lengths.orderBy(F.col("at").desc()).limit(1) if width is None else lengths.where(F.col("width") == width)
+    before = old.groupBy("width").agg(F.max(value).alias("known_high"))
+    given = F.lit(high_water).cast("decimal(38,0)")
+    marks = lengths.join(before, "width", "left").select(
+        "width", "observed", F.coalesce(given, "known_high", F.lit(0).cast("decimal(38,0)")).alias("high")
+    )
+    fresh = numeric.select("sku", "width").distinct().join(marks, "width").where(value > F.col("high"))
+    return fresh.join(old.select("sku").distinct(), "sku", "left_anti").select(
+        "sku", F.col("high").cast("bigint").alias("previous_high"),
+        F.greatest("high", "observed").cast("bigint").alias("new_high"), "width",
     )
 
 
