@@ -10,7 +10,6 @@ from tillbridge.plans import proxies as p
 from tillbridge.plans.catalog import BuildOptions, products
 from tillbridge.plans.registry import Tables, query
 
-BLOCK = 65_536
 
 # every part has 7 rows and 3 columns; some have one of each, some use S/R/L
 HEADERS_SQL = """
@@ -34,7 +33,7 @@ def header_rows(t: Tables) -> DataFrame:
 
 
 def headers(t: Tables) -> DataFrame:
-    return matrix.matrix_headers(header_rows(t), block_rows=BLOCK)
+    return matrix.matrix_headers(header_rows(t))
 
 
 @query("matrix_headers", f"WITH {HEADERS_SQL} SELECT sku, axis, position, header FROM heads")

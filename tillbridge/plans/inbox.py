@@ -243,7 +243,7 @@ def backfill_legacy_orders(t: Tables) -> DataFrame:
     )
     header_names = {"ORDER_ID": "order_id", "INVOICE_NO": "order_name", "SRC_VER": "source_version", "PRINT_ST": "print_status", "IMPORT_ST": "import_status"}
     line_names = {"ORDER_ID": "order_id", "LINE_KEY": "line_key", "QTY": "quantity", "UNIT_PRICE": "price", "DISCOUNT": "total_discount", "EXTENSION": "line_total"}
-    _, lines = orders.backfill_legacy_orders(heads, items, header_names, line_names, "rowid", block_rows=65_536)
+    _, lines = orders.backfill_legacy_orders(heads, items, header_names, line_names, "rowid")
     return lines.select(F.col("ORDER_ID").alias("order_id"), F.col("LINE_NO").cast("bigint").alias("line_no"), F.col("LINE_KEY").alias("line_key"), F.col("EXTENSION").alias("extension"), F.col("INVOICE_NO").alias("invoice_no"))
 
 

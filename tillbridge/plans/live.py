@@ -26,7 +26,7 @@ def item_files(t: Tables, table: str = "Item") -> str:
     )
     path = scratch_path(t.spark, "dbf")
     fitted = orders.fit_fixed_width(rows, ITEM_LAYOUT).select(*[name for name, *_ in ITEM_LAYOUT])
-    fitted.repartition(4, "SKU").write.format("dbf").option("layout", dbf.layout_text(ITEM_LAYOUT)).option("table", table).mode("append").save(path)
+    fitted.write.format("dbf").option("layout", dbf.layout_text(ITEM_LAYOUT)).option("table", table).mode("append").save(path)
     return path
 
 
@@ -40,7 +40,7 @@ def named(rows: DataFrame) -> DataFrame:
 
 @query("dbf_scan", f"{ITEM_SQL}, '2024-02-29' AS last_act FROM part")
 def dbf_scan(t: Tables) -> DataFrame:
-    return named(dbf.read_dbf(t.spark, item_files(t), splitRecords="100"))
+    return named(dbf.read_dbf(t.spark, item_files(t)))
 
 
 @query("dbf_strict_scan", f"{ITEM_SQL}, DATE '2024-02-29' AS last_act FROM part")

@@ -170,7 +170,7 @@ def scans(t: Tables) -> DataFrame:
 WITH {STABLE_SQL}, n AS (SELECT sku, scan, row_number() OVER (PARTITION BY sku, g ORDER BY scan) AS observations FROM gr)
 SELECT *, observations >= 2 AS ready FROM n""")
 def stable_payload_history(t: Tables) -> DataFrame:
-    rows = storefront.stability_history(scans(t), "sku", "scan", "title", block_rows=4096)
+    rows = storefront.stability_history(scans(t), "sku", "scan", "title")
     return rows.select("sku", "scan", F.col("observations").cast("bigint").alias("observations"), "ready")
 
 

@@ -10,12 +10,11 @@ from tillbridge.plans import proxies as p
 from tillbridge.plans.registry import Tables, query
 
 KEYS = ("shop", "item")
-BLOCK = 4096
 
 
 def folded(t: Tables) -> DataFrame:
     events = p.stock_events(t).select("shop", "item", "seq", "at", "quantity")
-    return queues.fold_inventory_events(events, KEYS, "seq", "at", ["quantity", "seq"], block_rows=BLOCK)
+    return queues.fold_inventory_events(events, KEYS, "seq", "at", ["quantity", "seq"])
 
 
 @query("fold_inventory_events", f"WITH {p.FOLD_SQL} SELECT shop, item, version, quantity, last_seq FROM folded")
@@ -29,8 +28,8 @@ def fold_inventory_events_resumed(t: Tables) -> DataFrame:
     events = p.stock_events(t).select("shop", "item", "seq", "at", "quantity")
     early = events.where("seq < 6000")
     late = events.where("seq >= 6000")
-    first = queues.fold_inventory_events(early, KEYS, "seq", "at", ["quantity", "seq"], block_rows=BLOCK)
-    both = queues.fold_inventory_events(late, KEYS, "seq", "at", ["quantity", "seq"], state=first, block_rows=BLOCK)
+    first = queues.fold_inventory_events(early, KEYS, "seq", "at", ["quantity", "seq"])
+    both = queues.fold_inventory_events(late, KEYS, "seq", "at", ["quantity", "seq"], state=first)
     return both.select("shop", "item", "version", "quantity", F.col("seq").alias("last_seq"))
 
 
@@ -84,7 +83,7 @@ l AS (SELECT *, lag(quantity) OVER (PARTITION BY shop, item ORDER BY seq) AS pre
 SELECT shop, item, seq, quantity, previous_quantity FROM l WHERE quantity > 0 AND coalesce(previous_quantity, 0) <= 0""")
 def restored_items(t: Tables) -> DataFrame:
     rows = p.stock_events(t).select("shop", "item", "seq", F.greatest(F.lit(0), F.col("quantity") - 20).alias("quantity"))
-    return queues.restored_items(rows, KEYS, "seq", block_rows=BLOCK)
+    return queues.restored_items(rows, KEYS, "seq")
 
 
 @query("retain_per_group", f"""

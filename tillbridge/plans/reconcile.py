@@ -260,7 +260,7 @@ def latest_observations(t: Tables) -> DataFrame:
     start = t.events.agg(F.min(p.micros(F.col("ts"))).alias("first"))
     state = start.select(F.explode(F.array(F.lit("S1"), F.lit("S2"), F.lit("S3"))).alias("sku"), (F.col("first") + 86_400_000_000 * 3).alias("seen_at"))
     blocked = changes.where("sku = 'S9'").select("sku").distinct()
-    return reconcile.latest_observations(changes, state, blocked, block_rows=4096)
+    return reconcile.latest_observations(changes, state, blocked)
 
 
 @query("blocked_skus", f"""
