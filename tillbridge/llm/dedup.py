@@ -42,6 +42,7 @@ SIGMAS = 5.0
 OUTER, INNER = 256, 2048
 SLICE = 1024
 COLUMNS = 4096
+BLOCK = ["key", "o", "i"]
 _rng = np.random.default_rng(20240501)
 SAMPLES = BANDS * ROWS
 FACTORS = _rng.integers(0, 2**32, SAMPLES, dtype=np.uint32) | np.uint32(1)
@@ -166,50 +167,90 @@ def _rest(members: DataFrame, labels: DataFrame) -> DataFrame:
     return as_inner.unionByName(as_outer)
 
 
-def _near(group: pd.DataFrame) -> pd.DataFrame:
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches of a partition sorted by block, cut so that each holds whole blocks only."""
+    held = None
+    for batch in batches:
+        held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        last = held[BLOCK].iloc[-1]
+        end = int((held[BLOCK] != last).any(axis=1).to_numpy().nonzero()[0].max(initial=-1)) + 1
+        if end:
+            yield held.iloc[:end]
+            held = held.iloc[end:]
+    if held is not None and len(held):
+        yield held
+
+
+def _sides(batch: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of the outer and the inner side of each block."""
+    keys = batch[BLOCK].to_numpy(np.int64)
+    starts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(keys)]])
+    outer = batch["outer"].to_numpy(bool)
+    for begin, end in zip(starts[:-1], starts[1:]):
+        side = outer[begin:end]
+        x, y = begin + np.flatnonzero(side), begin + np.flatnonzero(~side)
+        if len(x) and len(y):
+            yield x, y
+
+
+def _near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows of a block that have a close one of another component on the other side, by sketch and size."""
-    outer, inner = group[group["outer"]], group[~group["outer"]]
-    if not len(outer) or not len(inner):
-        return group.iloc[:0][["key", "o", "i", "node", "component", "outer"]]
-    x, y = (np.stack(list(s["sketch"])).astype(np.int64).view(np.uint64) for s in (outer, inner))
-    n, m = outer["n_shingles"].to_numpy(np.int64), inner["n_shingles"].to_numpy(np.int64)
-    c, d = outer["component"].to_numpy(), inner["component"].to_numpy()
-    keep_x, keep_y = np.zeros(len(x), bool), np.zeros(len(y), bool)
-    for k in range(len(x)):
-        close = (np.bitwise_count(x[k] ^ y).sum(axis=1) <= LIMIT) & (d != c[k]) & (100 * np.minimum(n[k], m) >= PERCENT * np.maximum(n[k], m))
-        keep_x[k] = close.any()
-        keep_y |= close
-    return pd.concat([outer[keep_x], inner[keep_y]])[["key", "o", "i", "node", "component", "outer"]]
-
-
-def _confirm(group: pd.DataFrame) -> pd.DataFrame:
+    for batch in _blocks(batches):
+        sketch = np.stack(list(batch["sketch"])).astype(np.int64).view(np.uint64)
+        size, component = batch["n_shingles"].to_numpy(np.int64), batch["component"].to_numpy(np.int64)
+        keep = np.zeros(len(batch), bool)
+        for xs, y in _sides(batch):
+            for x in xs:
+                fits = y[(component[y] != component[x]) & (100 * np.minimum(size[x], size[y]) >= PERCENT * np.maximum(size[x], size[y]))]
+                close = fits[np.bitwise_count(sketch[x] ^ sketch[fits]).sum(axis=1) <= LIMIT]
+                keep[close] = True
+                keep[x] = keep[x] or len(close) > 0
+        yield batch.loc[keep, [*BLOCK, "node", "component", "outer"]]
+
+
+def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Links of a block: per outer row one confirmed inner row of each other component."""
-    outer, inner = group[group["outer"]], group[~group["outer"]]
-    if not len(outer) or not len(inner):
-        return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
-    xs, ys = ([np.frombuffer(b, np.uint64) for b in s["shingles"]] for s in (outer, inner))
+    for batch in _blocks(batches):
+        node, component = batch["node"].to_numpy(np.int64), batch["component"].to_numpy(np.int64)
+        found = []
+        for x, y in _sides(batch):
+            met = _overlaps([np.frombuffer(batch["shingles"].iat[k], np.uint64) for k in x], [np.frombuffer(batch["shingles"].iat[k], np.uint64) for k in y])
+            i, j = np.nonzero(met & (component[x][:, None] != component[y][None]))
+            links = np.stack([node[x[i]], node[y[j]], component[y[j]]], axis=1)
+            first = np.unique(links[:, [0, 2]], axis=0, return_index=True)[1]
+            found.append(links[first, :2])
+        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+        yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+
+def _overlaps(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """Which pairs of sets reach the threshold, from exact counts of common elements."""
     n, m = np.array([len(x) for x in xs]), np.array([len(y) for y in ys])
     x_all, y_all = np.concatenate(xs), np.concatenate(ys)
     common = np.intersect1d(x_all, y_all)  # others add nothing to an intersection
-    at_x, at_y = np.searchsorted(common, x_all), np.searchsorted(common, y_all)
-    row_x, row_y = np.repeat(np.arange(len(xs)), n), np.repeat(np.arange(len(ys)), m)
-    in_x, in_y = (at_x < len(common)), (at_y < len(common))
-    in_x[in_x] = common[at_x[in_x]] == x_all[in_x]
-    in_y[in_y] = common[at_y[in_y]] == y_all[in_y]
-    at_x, row_x, at_y, row_y = at_x[in_x], row_x[in_x], at_y[in_y], row_y[in_y]
-    both = np.zeros((len(xs), len(ys)), np.float64)
+    at_x, row_x = _placed(common, x_all, n)
+    at_y, row_y = _placed(common, y_all, m)
+    both = np.zeros((len(xs), len(ys)))
     for start in range(0, len(common), COLUMNS):
-        a, b = np.zeros((len(xs), COLUMNS), np.float32), np.zeros((len(ys), COLUMNS), np.float32)
-        pick = (at_x >= start) & (at_x < start + COLUMNS)
-        a[row_x[pick], at_x[pick] - start] = 1
-        pick = (at_y >= start) & (at_y < start + COLUMNS)
-        b[row_y[pick], at_y[pick] - start] = 1
+        width = min(COLUMNS, len(common) - start)
+        a, b = np.zeros((len(xs), width), np.float32), np.zeros((len(ys), width), np.float32)
+        for out, at, row in ((a, at_x, row_x), (b, at_y, row_y)):
+            pick = (at >= start) & (at < start + width)
+            out[row[pick], at[pick] - start] = 1
         both += a @ b.T
-    union = n[:, None] + m[None] - both
-    c, d = outer["component"].to_numpy(), inner["component"].to_numpy()
-    i, j = np.nonzero((100 * both >= PERCENT * union) & (c[:, None] != d[None]))
-    found = pd.DataFrame({"a": outer["node"].to_numpy()[i], "b": inner["node"].to_numpy()[j], "c": d[j]}).drop_duplicates(["a", "c"])
-    return found[["a", "b"]].astype(np.int64)
+    return 100 * both >= PERCENT * (n[:, None] + m[None] - both)
+
+
+def _placed(common: np.ndarray, values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Column in ``common`` and row of those values that are common."""
+    at = np.searchsorted(common, values)
+    inside = at < len(common)
+    inside[inside] = common[at[inside]] == values[inside]
+    return at[inside], np.repeat(np.arange(len(sizes)), sizes)[inside]
+
+
+def _by_block(rows: DataFrame) -> DataFrame:
+    return rows.repartition(*BLOCK).sortWithinPartitions(*BLOCK)
 
 
 def group_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -228,10 +269,9 @@ def group_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     first = materialize(_confirm_pairs(_sift(stars, facts), sets), "links")
     labels = components(first)
     rest = materialize(_rest(members, labels), "rest")
-    block = ["key", "o", "i"]
-    near = rest.join(facts.select("node", "n_shingles", "sketch"), "node").groupBy(*block).applyInPandas(_near, "key long, o int, i int, node long, component long, outer boolean")
+    near = _by_block(rest.join(facts.select("node", "n_shingles", "sketch"), "node")).mapInPandas(_near, "key long, o int, i int, node long, component long, outer boolean")
     near = materialize(near, "near")
-    second = near.join(sets, "node").groupBy(*block).applyInPandas(_confirm, "a long, b long")
+    second = _by_block(near.join(sets, "node")).mapInPandas(_confirm, "a long, b long")
     final = components(first.unionByName(materialize(second, "links")))
     named = _label(classes, final)
     smallest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
