@@ -6,11 +6,19 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+BATCH_BYTES = 64 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches end at BATCH_BYTES, so that long texts do not meet by the ten thousand in a Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def per_text(fn: Callable[[str], tuple], fields: str) -> Callable[[Column], Column]:
     """Column function in Arrow batches: ``fn`` of each text (null: empty) as a struct of ``fields``."""
     schema = T._parse_datatype_string(fields)

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillbridge.llm.common import replace_columns
+from tillbridge.llm.common import bound_batches, replace_columns
 
 WINDOW = 10
 BLOCK_WORDS = 1_000_000
@@ -222,6 +222,7 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int
     No shuffle: each shard is searched where it was read. Extra columns stay, but
     for those with the names of the results.
     """
+    bound_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     shared = [context.broadcast(q) for q in blocks(benchmark, window, block_words)]
 

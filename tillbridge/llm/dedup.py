@@ -32,6 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillbridge.llm.common import bound_batches
 from tillbridge.session import materialize
 
 WIDTH = 5
@@ -255,6 +256,7 @@ def _by_block(rows: DataFrame) -> DataFrame:
 
 def group_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, text_key, n_shingles, component_id and kept."""
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("text_key", F.xxhash64("text"))
     signed = materialize(rows.mapInPandas(_sign, SIGNED).withColumn("row", F.monotonically_increasing_id()), "signatures")
     filled = signed.where("n_shingles > 0")

@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillbridge.llm.common import bound_batches
 from tillbridge.session import materialize
 
 BUCKETS = 256
@@ -117,6 +118,7 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     hash and text), the last by the first. One range shuffle brings neighbours
     together; only the first and last row of each partition meet again.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     order = [F.desc_nulls_last("doc_id"), F.xxhash64("text")]
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text")

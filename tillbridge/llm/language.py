@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillbridge.llm.common import bounded_share, drawn, fold, per_text, replace_columns
+from tillbridge.llm.common import bound_batches, bounded_share, drawn, fold, per_text, replace_columns
 
 ROWS_PER_LANGUAGE = 4000
 MAX_ORDER = 3
@@ -155,6 +155,7 @@ def judge(model: Model, text: str) -> tuple[str, float, float]:
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with lang_pred, score and bits_per_byte."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     found = per_text(lambda t: judge(shared.value, t), "lang_pred string, score double, bits_per_byte double")
     marked = docs.withColumn("_found", found(F.col(text)))

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillbridge.llm.common import bounded_share, drawn, fold, per_text, replace_columns
+from tillbridge.llm.common import bound_batches, bounded_share, drawn, fold, per_text, replace_columns
 from tillbridge.session import materialize
 
 PIECE = 512
@@ -130,6 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
 
 def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with margin, score (0 to 1) and predicted (1 from ``threshold`` on)."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     measure = per_text(lambda t: (margin(shared.value, t),), "margin double")
     marked = docs.withColumn("_margin", measure(F.col(text))["margin"])

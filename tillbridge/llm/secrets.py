@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillbridge.llm.common import per_text
+from tillbridge.llm.common import bound_batches, per_text
 
 REACH = 240
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
@@ -109,6 +109,7 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", reach: int
     Rows of equal id and text are counted first (combined before the shuffle), so
     copies of one row are one group member however many there are.
     """
+    bound_batches(docs.sparkSession)
     extract = per_text(parts, f"base array<{SPAN}>, parts array<{PART}>")
     keys = [doc_id, "text_key"]
     read = docs.select(F.col(doc_id), F.xxhash64(F.col(text)).alias("text_key"), extract(F.col(text)).alias("_x"))

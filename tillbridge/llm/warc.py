@@ -31,6 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillbridge.llm.common import bound_batches
 from tillbridge.session import materialize, scratch_path
 
 FRAME_BYTES = 1 << 20
@@ -156,6 +157,7 @@ def roles(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 def write(pages: DataFrame, folder: str | None = None, min_bytes: int = 0) -> DataFrame:
     """Writes the bundles now and returns their index."""
     spark = pages.sparkSession
+    bound_batches(spark)
     target = shared_uri(spark, folder or scratch_path(spark, "warc"))
     twins = roles(pages, min_bytes).select(F.col("page_id").alias("twin_id"), "refers_to", F.hex("digest").alias("twin_digest")).distinct()
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
