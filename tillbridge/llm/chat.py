@@ -21,6 +21,8 @@ leaf; empty tables give no rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,19 +61,22 @@ def best_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     ids = held.groupBy("tree", "node").agg(F.min("parent").alias("parent"), F.min_by("score", F.struct("parent", "role", "text")).alias("score"))
     known = ids.select("tree", F.col("node").alias("parent"), F.lit(True).alias("_known"))
     state = ids.join(known, ["tree", "parent"], "left").select(
-        "tree", "node", F.when(F.col("_known"), F.col("parent")).alias("up"), F.coalesce("score", F.lit(0.0)).alias("sum"), F.lit(1).cast("long").alias("depth"), F.col("parent").alias("first_up"),
+        "tree", "node", F.when(F.col("_known"), F.col("parent")).alias("up"), F.coalesce("score", F.lit(0.0)).alias("sum"), F.lit(1).cast("long").alias("depth"),
     )
     state = materialize(state, "chat-jumps")
-    levels, rounds = [], 0
-    while rounds < 40 and not state.where("up is not null").isEmpty():
-        levels.append(state.where("up is not null").select("tree", "node", "up"))
-        above = state.select("tree", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("sum").alias("_sum"), F.col("depth").alias("_depth"))
-        state = materialize(state.join(above, ["tree", "up"], "left").select(
-            "tree", "node", F.col("_up").alias("up"), (F.col("sum") + F.coalesce("_sum", F.lit(0.0))).alias("sum"),
-            (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"), "first_up",
+    settled, levels, open_ = [state.where("up is null")], [], state.where("up is not null")
+    above = state
+    while len(levels) < 40 and not open_.isEmpty():
+        levels.append(open_.select("tree", "node", "up"))
+        step = above.select("tree", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("sum").alias("_sum"), F.col("depth").alias("_depth"))
+        jumped = materialize(open_.join(step, ["tree", "up"]).select(
+            "tree", "node", F.col("_up").alias("up"), (F.col("sum") + F.col("_sum")).alias("sum"), (F.col("depth") + F.col("_depth")).alias("depth"),
         ), "chat-jumps")
-        rounds += 1
-    rooted = state.where("up is null").select("tree", "node", "sum", "depth")
+        settled.append(jumped.where("up is null"))
+        open_ = jumped.where("up is not null")
+        # later jumps land on rows that are settled by now, or on open ones of this round
+        above = reduce(DataFrame.unionByName, [*settled, open_])
+    rooted = reduce(DataFrame.unionByName, settled).select("tree", "node", "sum", "depth")
     replied = ids.where("parent is not null").select("tree", F.col("parent").alias("node")).distinct()
     leaves = rooted.join(replied, ["tree", "node"], "left_anti")
     ranked = leaves.withColumn("branch", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("sum"), "node"))).where(F.col("branch") <= branches)
