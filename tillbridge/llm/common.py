@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-BATCH_BYTES = 64 << 20
+BATCH_BYTES = 16 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:

@@ -37,7 +37,7 @@ from tillbridge.session import materialize
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 32_768
 BLOCK = 64
-KEPT_WORDS = 300_000
+KEPT_WORDS = 150_000
 KEPT_SIZE = 48
 SPACE = "▁"
 WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
