@@ -124,7 +124,7 @@ def stretches(ids: np.ndarray, least: int) -> np.ndarray:
 
 
 def search(q: Queries, ids: np.ndarray) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
-    """Matches in a shard: ("window", suffixes, places) and ("longest", suffix lengths, a place each).
+    """Matches in a shard: ("window", suffixes, places), then ("longest", (length, item), places) of the longest of each suffix.
 
     ``ids`` are word numbers (0: no benchmark word, or the end of a document);
     places are positions in ``ids``.
@@ -141,7 +141,7 @@ def search(q: Queries, ids: np.ndarray) -> Iterator[tuple[str, np.ndarray, np.nd
     padded = np.append(text, np.zeros(int(q.limits.max()) + 1, text.dtype))
     alive = np.arange(len(q.starts))
     low, high = np.zeros(len(alive), np.int64), np.full(len(alive), len(order), np.int64)
-    longest, location = np.zeros(len(alive), np.int64), np.full(len(alive), -1, np.int64)
+    longest = np.zeros(len(alive), np.int64)
     depth = 0
     while len(alive):
         wanted = q.text[q.starts[alive] + depth]
@@ -152,14 +152,19 @@ def search(q: Queries, ids: np.ndarray) -> Iterator[tuple[str, np.ndarray, np.nd
         low[alive], high[alive] = new_low, new_high
         depth += 1
         longest[alive] = depth
-        location[alive] = place[order[new_low]]
         full = alive[q.windows[alive] == depth]
         if len(full):
-            size = high[full] - low[full]
-            flat = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low[full], size)
-            yield "window", np.repeat(full, size), place[order[flat]]
+            yield "window", np.repeat(full, high[full] - low[full]), place[order[_spread(low[full], high[full])]]
         alive = alive[q.limits[alive] > depth]
-    yield "longest", longest, location
+    done = np.flatnonzero(longest >= np.where(q.windows > 0, q.windows, q.least))
+    size = high[done] - low[done]
+    yield "longest", np.repeat(np.stack([longest[done], q.owners[done]]), size, axis=1), place[order[_spread(low[done], high[done])]]
+
+
+def _spread(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """All positions of the intervals, one after another."""
+    size = high - low
+    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low, size)
 
 
 def _bound(text: np.ndarray, order: np.ndarray, low: np.ndarray, high: np.ndarray, wanted: np.ndarray, depth: int, after: bool) -> np.ndarray:
@@ -197,11 +202,13 @@ def judge_shard(queries: list[Queries], documents: list[list[bytes]]) -> list[tu
                 for d, item in np.unique(np.stack([owner, q.owners[a]], axis=1), axis=0):
                     items[d].add(q.items[item])
             else:
-                at_least = np.flatnonzero((a >= q.least) & (b >= 0))
-                for s in at_least:
-                    d = int(np.searchsorted(first, b[s], side="right") - 1)
-                    if a[s] > best[d][0]:
-                        best[d] = (int(a[s]), q.items[q.owners[s]], int(b[s] - first[d]))
+                owner = np.searchsorted(first, b, side="right") - 1
+                longest_last = np.lexsort((-b, a[0], owner))
+                ends = np.flatnonzero(np.diff(np.append(owner[longest_last], -1)))
+                for k in longest_last[ends] if len(owner) else ():
+                    d = int(owner[k])
+                    if a[0][k] > best[d][0]:
+                        best[d] = (int(a[0][k]), q.items[a[1][k]], int(b[k] - first[d]))
     hit = np.cumsum(cover[:-1]) > 0
     sums = np.concatenate([[0], np.cumsum(hit)])
     out = []
@@ -217,7 +224,7 @@ FIELDS = "n_words long, n_hit long, n_items long, items_sha256 string, contamina
 
 
 def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``docs`` with n_words, n_hit, n_items, items_sha256, contaminated, and the longest match that begins in a shard's document.
+    """``docs`` with n_words, n_hit, n_items, items_sha256, contaminated, and, where some benchmark suffix has its longest match of the shard in the document, the length, item and first word of the longest.
 
     No shuffle: each shard is searched where it was read. Extra columns stay, but
     for those with the names of the results.
