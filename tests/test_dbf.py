@@ -106,3 +106,21 @@ def test_profile_reports_broken_files(spark, tmp_path):
     write(tmp_path / "mcust.dbf", [record("A", 1)] * 3)
     got = rows(profile.profile_tables(spark, str(tmp_path)), "table", "category", "records")
     assert got == [("bad", "unreadable", 0), ("mcust", "customers", 3)]
+
+
+def test_legal_numbers_of_any_spelling_are_kept():
+    """Raw field bytes: only text that is no number, or too large for the field, is null."""
+    import numpy as np
+
+    from tillbridge.sources.dbf import DbfField, decode_field
+
+    def decoded(texts, width, decimals):
+        block = np.frombuffer("".join(t.rjust(width) for t in texts).encode(), np.uint8).reshape(-1, width)
+        values, rejected = decode_field(block, DbfField("X", "N", width, decimals), 0, "latin1", False)
+        return [None if v is None else str(v) for v in values.to_pylist()], rejected.to_pylist()
+
+    values, rejected = decoded([".50", "-.25", "12.345", "1E2", "+3", "7.", "", "abc", "1E99", "12.355"], 12, 2)
+    assert values == ["0.50", "-0.25", "12.34", "100.00", "3.00", "7.00", None, None, None, "12.36"]
+    assert rejected == [None, None, "12.345", None, None, None, None, "abc", "1E99", "12.355"]
+    values, rejected = decoded([".50", "12.5", "13.5", "4.0"], 12, 0)
+    assert values == ["0", "12", "14", "4"] and rejected == [".50", "12.5", "13.5", None]

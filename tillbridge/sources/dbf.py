@@ -18,6 +18,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from datetime import date, datetime
+from decimal import ROUND_HALF_EVEN, Context, Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -205,7 +206,9 @@ def decode_field(block: np.ndarray, field: DbfField, offset: int, encoding: str,
         kind = spark_type(field, strict)
         plain = pc.replace_substring_regex(pc.replace_substring_regex(good, r"^\+", ""), r"\.0*$" if not field.decimals else r"\.$", "")
         values = plain.cast(pa.decimal128(38, field.decimals)).cast(pa.decimal128(kind.precision, kind.scale))
-        return values, pc.if_else(ok, nothing, column)
+        if strict:
+            return values, pc.if_else(ok, nothing, column)
+        return _other_numbers(column, values, pc.if_else(ok, nothing, column))
     if field.kind == "L":
         upper = pc.utf8_upper(column)
         yes, no = pc.is_in(upper, pa.array(["T", "Y"])), pc.is_in(upper, pa.array(["F", "N"]))
@@ -225,6 +228,30 @@ def decode_field(block: np.ndarray, field: DbfField, offset: int, encoding: str,
     return column, nothing
 
 
+NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]{1,3})?$"
+
+
+def _other_numbers(column: pa.Array, values: pa.Array, rejected: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Fills in legal numbers of other spellings: no leading zero, an exponent, more decimals than declared.
+
+    Digits beyond the declared scale are rounded half-even; the text is then kept
+    as rejected too, as it is when the number is too large for the field's type.
+    """
+    odd = pc.fill_null(pc.match_substring_regex(rejected, NUMBER), False)
+    if not pc.any(odd).as_py():
+        return values, rejected
+    kind = values.type
+    context = Context(prec=kind.precision, rounding=ROUND_HALF_EVEN, traps=[])
+    found, texts = [], []
+    for text in column.filter(odd).to_pylist():
+        exact = Decimal(text)
+        held = exact.quantize(Decimal(1).scaleb(-kind.scale), context=context)
+        fits = held.is_finite()
+        found.append(held if fits else None)
+        texts.append(None if fits and held == exact else text)
+    return pc.replace_with_mask(values, odd, pa.array(found, kind)), pc.replace_with_mask(rejected, odd, pa.array(texts, pa.string()))
+
+
 @dataclass
 class RecordDecoder:
     """Bytes of whole records to Arrow batches."""
