@@ -56,3 +56,11 @@ def test_resolve_variant_row(spark):
     cells = spark.createDataFrame([("21741", "110", ""), ("21741", "111", ""), ("21741", "1 11", ""), ("21741", "9", "21741. 11 1")], "sku string, cell string, barcode string")
     got = {(r.cell): r.child for r in matrix.resolve_variant_row(cells, known).collect()}
     assert got == {"110": "21741. 1 10", "111": None, "1 11": "21741. 1 11", "9": "21741. 11 1"}
+
+
+def test_money_beyond_ten_decimals_rounds_exactly(spark):
+    from tillbridge.functions.money import money_text
+
+    given = ["1.005", "1.00500000000001", "1.0050000000000", "1.015", "2.5", "abc", ""]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(given)], "i int, x string").select("i", money_text(F.col("x")).alias("m"))
+    assert [r["m"] for r in df.orderBy("i").collect()] == ["1.00", "1.01", "1.00", "1.02", "2.50", "abc", None]

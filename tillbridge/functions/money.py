@@ -13,6 +13,11 @@ def decimal_or_none(value: Column) -> Column:
     return value.try_cast(EXACT)
 
 
+def text_decimal(text: Column) -> Column:
+    """Number of a text, to ten decimals; what lies beyond them shows as a last digit 1, so rounding it to fewer places is exact."""
+    return F.regexp_replace(text, r"(\.\d{9})(?=\d{2})\d*[1-9]\d*$", "$11").try_cast(EXACT)
+
+
 def till_money(value: Column) -> Column:
     """Two places, half-even."""
     return F.bround(value.cast(EXACT), 2).cast(MONEY)
@@ -26,7 +31,7 @@ def shop_money(value: Column) -> Column:
 def money_text(value: Column) -> Column:
     """Till money as text; text that is not a number passes through."""
     text = F.nullif(value.cast("string"), F.lit(""))
-    return F.coalesce(till_money(decimal_or_none(text)).cast("string"), text)
+    return F.coalesce(till_money(text_decimal(text)).cast("string"), text)
 
 
 def nonzero_money_text(value: Column) -> Column:

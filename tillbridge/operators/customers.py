@@ -62,11 +62,10 @@ def dedupe_addresses(addresses: Column) -> Column:
     return F.slice(let(keyed, firsts), 1, MAX_ADDRESSES)
 
 
-def shipping_addresses(rows: DataFrame, order: Sequence[str] = ("_rec_no",)) -> DataFrame:
-    """cust_num -> first ten distinct ship-to places in file order.
+def shipping_places(rows: DataFrame, order: Sequence[str] = ("_rec_no",)) -> DataFrame:
+    """(cust_num, n, place): all distinct ship-to places of a customer, numbered in file order.
 
-    A customer keeps at most ten places in total, so later ones can never be
-    used; repeats fold in a partial aggregate before anything is ranked.
+    Repeats fold in a partial aggregate before anything is numbered.
     """
     null = F.lit(None).cast("string")
     built = address(*[null if n is None else field(rows, n) for n in (
@@ -76,10 +75,15 @@ def shipping_addresses(rows: DataFrame, order: Sequence[str] = ("_rec_no",)) ->
     once = places.groupBy("cust_num", address_key(F.col("a")).alias("_key")).agg(
         F.min_by("a", "_at").alias("a"), F.min("_at").alias("_at")
     )
-    ranked = once.withColumn("n", F.row_number().over(Window.partitionBy("cust_num").orderBy("_at")))
-    top = ranked.where(F.col("n") <= MAX_ADDRESSES)
-    listed = top.groupBy("cust_num").agg(F.sort_array(F.collect_list(F.struct("n", "a"))).alias("l"))
-    return listed.select("cust_num", F.transform("l", lambda x: x["a"]).alias("shipping"))
+    number = F.row_number().over(Window.partitionBy("cust_num").orderBy("_at")).cast("long")
+    return once.select("cust_num", number.alias("n"), F.col("a").alias("place"))
+
+
+def shipping_addresses(rows: DataFrame, order: Sequence[str] = ("_rec_no",), most: int = MAX_ADDRESSES) -> DataFrame:
+    """cust_num -> the places that a customer's final list of ``most`` addresses can draw on."""
+    top = shipping_places(rows, order).where(F.col("n") <= most)
+    listed = top.groupBy("cust_num").agg(F.sort_array(F.collect_list(F.struct("n", "place"))).alias("l"))
+    return listed.select("cust_num", F.transform("l", lambda x: x["place"]).alias("shipping"))
 
 
 def build_customers(rows: DataFrame, shipping: DataFrame | None = None, tags: Sequence[str] = ("POS Customer",)) -> DataFrame:
