@@ -305,6 +305,6 @@ def filter_products(
     return kept.orderBy(*order).limit(limit) if limit is not None else kept
 
 
-def page_products(products: DataFrame, order: Sequence[str], limit: int = 50, offset: int = 0) -> DataFrame:
-    """One page, 1 to 250 rows."""
-    return products.orderBy(*order).offset(max(0, offset)).limit(max(1, min(limit, 250)))
+def page_products(products: DataFrame, order: Sequence[str], limit: int = 50, offset: int = 0, most: int = 250) -> DataFrame:
+    """One page, 1 to ``most`` rows."""
+    return products.orderBy(*order).offset(max(0, offset)).limit(max(1, min(limit, most)))

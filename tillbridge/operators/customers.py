@@ -53,13 +53,13 @@ def address_key(a: Column) -> Column:
     return F.concat_ws("|", *[F.coalesce(F.lower(a[part]), F.lit("")) for part in ADDRESS_KEY])
 
 
-def dedupe_addresses(addresses: Column) -> Column:
-    """First copy of each place, at most ten."""
+def dedupe_addresses(addresses: Column, most: int = MAX_ADDRESSES) -> Column:
+    """First copy of each place, at most ``most``."""
     def firsts(v: Column) -> Column:
         return F.filter(v["places"], lambda _, i: F.array_position(v["keys"], v["keys"][i]) == i + 1)
 
     keyed = let(F.array_compact(addresses), lambda a: F.struct(a.alias("places"), F.transform(a, address_key).alias("keys")))
-    return F.slice(let(keyed, firsts), 1, MAX_ADDRESSES)
+    return F.slice(let(keyed, firsts), 1, most)
 
 
 def shipping_places(rows: DataFrame, order: Sequence[str] = ("_rec_no",)) -> DataFrame:

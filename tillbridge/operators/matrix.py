@@ -295,7 +295,7 @@ def reuse_variant_ids(variants: DataFrame, online: DataFrame) -> DataFrame:
 
 
 def repair_eligibility(
-    variants: DataFrame, online: DataFrame, levels: DataFrame, location: str
+    variants: DataFrame, online: DataFrame, levels: DataFrame, location: str, most: int = MAX_REPAIR_VARIANTS
 ) -> DataFrame:
     """Can a one-variant product become its grid: one status and reason per base.
 
@@ -337,7 +337,7 @@ def repair_eligibility(
     reason = (
         F.when(F.coalesce("base", F.lit("")) == "", "no_base_sku")
         .when(F.col("unknown_stock"), "unknown_quantity")
-        .when(F.col("wanted") > MAX_REPAIR_VARIANTS, "too_many_variants")
+        .when(F.col("wanted") > most, "too_many_variants")
         .when(F.col("self_child"), "child_equals_base")
         .when(~has_own & (F.col("children") < F.col("wanted")), "base_and_children_missing")
         .when(~has_own & (F.col("low") != F.col("high")), "several_products")

@@ -61,7 +61,9 @@ def next_price_snapshot(current: DataFrame, previous: DataFrame | None, changes:
     return rows.select("sku", kept.alias("price")).where("price IS NOT NULL")
 
 
-def validate_price_changes(changes: DataFrame, results: DataFrame) -> DataFrame:
+def validate_price_changes(
+    changes: DataFrame, results: DataFrame, max_changes: int = MAX_CHANGES, max_targets: int = MAX_TARGETS
+) -> DataFrame:
     """Per change: error, targets asked and done, success only when all succeed.
 
     changes (request_id, source_sku, new_price, target_sku); results
@@ -80,8 +82,8 @@ def validate_price_changes(changes: DataFrame, results: DataFrame) -> DataFrame:
     )
     price = decimal_or_none(F.col("new_price"))
     error = (
-        F.when(F.col("request_changes") > MAX_CHANGES, "too_many_price_changes")
-        .when(F.col("request_targets") > MAX_TARGETS, "too_many_price_targets")
+        F.when(F.col("request_changes") > max_changes, "too_many_price_changes")
+        .when(F.col("request_targets") > max_targets, "too_many_price_targets")
         .when((F.coalesce("source_sku", F.lit("")) == "") | price.isNull() | (price < 0), "invalid_price_change")
         .when(F.col("targets") == 0, "invalid_price_targets")
     )

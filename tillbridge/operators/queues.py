@@ -97,10 +97,10 @@ def retain_global(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
     return df.orderBy(*[F.col(c).desc() for c in order]).limit(n)
 
 
-def recent_orders(summaries: DataFrame, queue: DataFrame, keys: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
+def recent_orders(summaries: DataFrame, queue: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, most: int = 50) -> DataFrame:
     """Newest order summaries and whether each is still queued."""
     waiting = queue.select(*keys).distinct().withColumn("_queued", F.lit(True))
-    newest = retain_global(summaries, order, max(1, min(n, 50)))
+    newest = retain_global(summaries, order, max(1, min(n, most)))
     status = F.when(F.col("_queued"), "queued").otherwise("sent_to_pos")
     return newest.join(waiting, list(keys), "left").withColumn("delivery_status", status).drop("_queued")
 
@@ -110,13 +110,13 @@ def recent_prices(changes: DataFrame, keys: Sequence[str], order: Sequence[str],
     return retain_global(retain_per_group(changes, keys, order, kept), order, max(1, min(n, kept)))
 
 
-def heartbeats(polls: DataFrame, shop: str, now: Column) -> DataFrame:
+def heartbeats(polls: DataFrame, shop: str, now: Column, active_minutes: int = ACTIVE_MINUTES) -> DataFrame:
     """Per shop: last poll of each channel and whether polls are recent."""
     def last(channel: str) -> Column:
         return F.max(F.when(F.col("channel") == channel, F.col("at")))
 
     rows = polls.groupBy(shop).agg(F.max("at").alias("last_seen"), *[last(c).alias(f"last_{c}") for c in CHANNELS])
-    since = now - F.make_dt_interval(mins=F.lit(ACTIVE_MINUTES))
+    since = now - F.make_dt_interval(mins=F.lit(active_minutes))
     return rows.withColumns({
         "active": F.col("last_seen") >= since,
         "orders_active": F.coalesce(F.col("last_orders") >= since, F.lit(False)),
@@ -131,13 +131,13 @@ def bridge_status(beats: DataFrame, shop: str, inventory: DataFrame, orders: Dat
     return rows
 
 
-def feed_events(results: DataFrame) -> DataFrame:
-    """Log row of each sync result; payload texts are cut at 4000 characters."""
+def feed_events(results: DataFrame, limit: int = TEXT_LIMIT) -> DataFrame:
+    """Log row of each sync result; payload texts are cut at ``limit`` characters."""
     return results.withColumns({
         "method": F.upper("method"),
         "success": F.when(F.col("success"), 1).otherwise(0),
-        "request_payload": F.substring(F.coalesce("request_payload", F.lit("")), 1, TEXT_LIMIT),
-        "normalized_payload": F.nullif(F.substring("normalized_payload", 1, TEXT_LIMIT), F.lit("")),
+        "request_payload": F.substring(F.coalesce("request_payload", F.lit("")), 1, limit),
+        "normalized_payload": F.nullif(F.substring("normalized_payload", 1, limit), F.lit("")),
     })
 
 

@@ -176,7 +176,7 @@ def refuse_incomplete_source(source: DataFrame, minimum: int = 100) -> None:
 
 def search_catalog(
     catalog: DataFrame, order: Sequence[str], sku: str | None = None, status: str | None = None,
-    search: str | None = None, page: int = 1, per_page: int = 50,
+    search: str | None = None, page: int = 1, per_page: int = 50, most: int = 250,
 ) -> DataFrame:
     """Exact SKU, status without case, text in title, SKU or handle; one page."""
     if sku and sku.strip():
@@ -187,7 +187,7 @@ def search_catalog(
         needle = F.lit(search.strip().lower())
         hits = [F.coalesce(F.contains(F.lower(c), needle), F.lit(False)) for c in ("title", "sku", "handle")]
         catalog = catalog.where(hits[0] | hits[1] | hits[2])
-    size = max(1, min(per_page, 250))
+    size = max(1, min(per_page, most))
     return catalog.orderBy(*order).offset((max(1, page) - 1) * size).limit(size)
 
 
@@ -215,31 +215,37 @@ def stability_history(scans: DataFrame, key: str, seq: str, print_column: str, n
     return rows.withColumn("ready", F.col("observations") >= max(1, needed)).drop("_was", "_changed")
 
 
+def _magnitude(digits: Column) -> Column:
+    """Digit texts of any length, ordered as numbers."""
+    plain = F.regexp_replace(digits, "^0+(?=.)", "")
+    return F.struct(F.length(plain).alias("n"), plain.alias("text"))
+
+
 def new_numeric_skus(
     items: DataFrame, known: DataFrame, order: Sequence[str], high_water: int | None = None, width: int | None = None
 ) -> DataFrame:
     """Digit-only SKUs above the high-water mark that are not known yet.
 
-    Output (sku, previous_high, new_high, width). Without a given width the
-    last numeric SKU in file order sets it.
+    Output (sku, previous_high, new_high, width); the marks are digit texts of
+    any length. Without a given width the last numeric SKU in file order sets
+    it; there is no row if no SKU is numeric then. If nothing is new, one row
+    with a null SKU carries the marks.
     """
-    value = F.col("sku").cast("decimal(38,0)")
     digits = F.trim("sku").rlike(r"^\d+$")
     numeric = items.where(digits).select(F.trim("sku").alias("sku"), F.struct(*order).alias("at")).withColumn("width", F.length("sku"))
     old = known.where(digits).select(F.trim("sku").alias("sku")).withColumn("width", F.length("sku"))
-    # one row per width, and there are few widths
-    lengths = numeric.groupBy("width").agg(F.max(value).alias("observed"), F.max("at").alias("at"))
-    lengths = lengths.orderBy(F.col("at").desc()).limit(1) if width is None else lengths.where(F.col("width") == width)
-    before = old.groupBy("width").agg(F.max(value).alias("known_high"))
-    given = F.lit(high_water).cast("decimal(38,0)")
-    marks = lengths.join(before, "width", "left").select(
-        "width", "observed", F.coalesce(given, "known_high", F.lit(0).cast("decimal(38,0)")).alias("high")
-    )
-    fresh = numeric.select("sku", "width").distinct().join(marks, "width").where(value > F.col("high"))
-    return fresh.join(old.select("sku").distinct(), "sku", "left_anti").select(
-        "sku", F.col("high").cast("bigint").alias("previous_high"),
-        F.greatest("high", "observed").cast("bigint").alias("new_high"), "width",
-    )
+    observed = F.max(_magnitude(F.col("sku"))).alias("observed")
+    if width is None:  # one row per width, and there are few widths
+        lengths = numeric.groupBy("width").agg(observed, F.max("at").alias("at")).orderBy(F.col("at").desc()).limit(1)
+    else:
+        lengths = numeric.where(F.col("width") == width).agg(observed).withColumn("width", F.lit(width))
+    before = old.groupBy("width").agg(F.max(_magnitude(F.col("sku"))).alias("known_high"))
+    mark = F.coalesce("known_high", _magnitude(F.lit("0"))) if high_water is None else _magnitude(F.lit(str(high_water)))
+    marks = lengths.join(before, "width", "left").select("width", mark.alias("high"), F.greatest(mark, F.coalesce("observed", mark)).alias("top"))
+    fresh = numeric.select("sku", "width").distinct().join(marks, "width").where(_magnitude(F.col("sku")) > F.col("high"))
+    fresh = fresh.join(old.select("sku").distinct(), "sku", "left_anti").select("sku", "high", "top", "width")
+    none = marks.join(fresh.select("width").distinct(), "width", "left_anti").select(F.lit(None).cast("string").alias("sku"), "high", "top", "width")
+    return fresh.unionByName(none).select("sku", F.col("high.text").alias("previous_high"), F.col("top.text").alias("new_high"), "width")
 
 
 def sku_base_mapping(products: DataFrame, variants: DataFrame) -> DataFrame:

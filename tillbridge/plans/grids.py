@@ -147,10 +147,10 @@ def matrix_products(t: Tables) -> DataFrame:
 @query("resolve_variant_row", f"""
 WITH {p.CELLS_SQL}, {p.MAP_SQL},
 kn AS (SELECT base AS sku, sku AS child FROM sku_map WHERE sku <> base AND NOT sku LIKE '% 2')
-SELECT c.sku, c.cell, count(k.child) AS resolved, count(*) AS rows FROM cells c LEFT JOIN kn k ON k.sku = c.sku AND k.child = c.sku || '. ' || r || ' ' || c.c WHERE c.l_partkey % 10 = 0 GROUP BY 1, 2""")
+SELECT c.sku, c.cell, count(k.child) AS resolved, count(*) AS rows FROM cells c LEFT JOIN kn k ON k.sku = c.sku AND k.child = c.sku || '. ' || r || ' ' || c.c GROUP BY 1, 2""")
 def resolve_variant_row(t: Tables) -> DataFrame:
     known = p.sku_map(t).where("sku <> base AND NOT sku LIKE '% 2'").select("base", F.col("sku").alias("child"))
-    rows = p.cell_rows(t).where("l_partkey % 10 = 0").select(F.col("SKU").alias("sku"), F.col("CELL").alias("cell"), F.col("BARCODE").alias("barcode"))
+    rows = p.cell_rows(t).select(F.col("SKU").alias("sku"), F.col("CELL").alias("cell"), F.col("BARCODE").alias("barcode"))
     return matrix.resolve_variant_row(rows, known).groupBy("sku", "cell").agg(F.count("child").alias("resolved"), F.count(F.lit(1)).alias("rows"))
 
 
@@ -172,11 +172,13 @@ def targeted_quantities(t: Tables) -> DataFrame:
 
 @query("product_options", f"""
 WITH {OPTIONS_SQL},
-v AS (SELECT base, r * 10 + c AS pos, copt, cval, rval, nc FROM (SELECT sku AS base, r, c, copt, cval, rval, nc FROM vr))
-SELECT base, copt AS option, cval AS value, min(pos) AS first_variant FROM v WHERE nc > 1 GROUP BY 1, 2, 3
-UNION ALL SELECT base, 'Color', rval, min(pos) FROM v WHERE nc > 1 GROUP BY 1, 2, 3""")
+v AS (SELECT base, r * 10 + c AS pos, copt, cval, rval, nc, chead, rhead FROM (SELECT sku AS base, * FROM vr)),
+o AS (SELECT base, pos, copt AS option, cval AS value FROM v WHERE nc > 1 OR chead <> ''
+  UNION ALL SELECT base, pos, 'Color', rval FROM v WHERE nc > 1 OR (chead = '' AND rhead <> '')
+  UNION ALL SELECT base, pos, 'Title', 'Default Title' FROM v WHERE nc = 1 AND chead = '' AND rhead = '')
+SELECT base, option, value, min(pos) AS first_variant FROM o GROUP BY 1, 2, 3""")
 def product_options(t: Tables) -> DataFrame:
-    rows = variants(t).where(F.size("option_values") > 1)
+    rows = variants(t)
     place = F.split("pos_cell", " ")
     rows = rows.withColumn("pos", place[0].cast("bigint") * 10 + place[1].cast("bigint"))
     return matrix.product_options(rows).select("base", "option", "value", "first_variant")

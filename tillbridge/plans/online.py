@@ -186,22 +186,45 @@ def stable_payload_scan(t: Tables) -> DataFrame:
     return storefront.stable_payloads(now, previous, ["title", "p_size"]).select("sku", "observations", "ready")
 
 
-@query("new_numeric_skus", """
-WITH i AS (SELECT CASE WHEN p_partkey % 3 = 0 THEN 'X' || p_partkey ELSE lpad(CAST(p_partkey AS VARCHAR), CASE WHEN p_partkey % 50 = 1 THEN 6 ELSE 5 END, '2') END AS sku, p_partkey AS n FROM part),
-num AS (SELECT * FROM i WHERE regexp_full_match(sku, '[0-9]+')),
+def numeric_sql(known: str, mark: str = "NULL") -> str:
+    return f"""
+WITH i AS (SELECT CASE WHEN p_partkey % 3 = 0 THEN 'X' || p_partkey WHEN p_partkey % 50 = 1 THEN '99999999999999' || lpad(CAST(p_partkey AS VARCHAR), 7, '0') ELSE '0123456789012' || lpad(CAST(p_partkey AS VARCHAR), 7, '0') END AS sku, p_partkey AS n FROM part),
+num AS (SELECT *, TRY_CAST(sku AS HUGEINT) AS v FROM i WHERE regexp_full_match(sku, '[0-9]+')),
 w AS (SELECT length(arg_max(sku, n)) AS width FROM num),
-known AS (SELECT sku FROM i WHERE n % 2 = 0 AND n < (SELECT max(n) // 2 FROM i)),
-prev AS (SELECT coalesce(max(CAST(sku AS BIGINT)), 0) AS previous_high FROM known, w WHERE regexp_full_match(sku, '[0-9]+') AND length(sku) = width),
-obs AS (SELECT max(CAST(sku AS BIGINT)) AS observed FROM num, w WHERE length(sku) = width)
-SELECT DISTINCT sku, previous_high, greatest(previous_high, observed) AS new_high, CAST(width AS INTEGER) AS width FROM num, w, prev, obs WHERE length(sku) = width AND CAST(sku AS BIGINT) > previous_high AND sku NOT IN (SELECT sku FROM known)""")
+known AS (SELECT sku FROM i WHERE {known}),
+m AS (SELECT width, coalesce(CAST({mark} AS HUGEINT), (SELECT max(TRY_CAST(sku AS HUGEINT)) FROM known WHERE length(sku) = width), 0) AS high, (SELECT max(v) FROM num WHERE length(sku) = width) AS observed FROM w),
+fresh AS (SELECT DISTINCT sku FROM num, m WHERE length(sku) = width AND v > high AND sku NOT IN (SELECT sku FROM known))
+SELECT sku, CAST(high AS VARCHAR) AS previous_high, CAST(greatest(high, observed) AS VARCHAR) AS new_high, CAST(width AS INTEGER) AS width FROM m LEFT JOIN fresh ON true"""
+
+
+def numeric_items(t: Tables) -> DataFrame:
+    """SKUs of 20 and 21 digits, and others."""
+    k, padded = F.col("p_partkey"), F.lpad(F.col("p_partkey").cast("string"), 7, "0")
+    sku = F.when(k % 3 == 0, F.concat(F.lit("X"), k.cast("string"))).when(k % 50 == 1, F.concat(F.lit("9" * 14), padded))
+    return t.part.select(sku.otherwise(F.concat(F.lit("0123456789012"), padded)).alias("sku"), k.alias("n"))
+
+
+@query("new_numeric_skus", numeric_sql("n % 2 = 0 AND n < (SELECT max(n) // 2 FROM i)"))
 def new_numeric_skus(t: Tables) -> DataFrame:
-    k, text = F.col("p_partkey"), F.col("p_partkey").cast("string")
-    sku = F.when(k % 3 == 0, F.concat(F.lit("X"), text)).when(k % 50 == 1, F.lpad(text, 6, "2")).otherwise(F.lpad(text, 5, "2"))
-    items = t.part.select(sku.alias("sku"), k.alias("n"))
+    items = numeric_items(t)
     half = F.floor(t.part.agg(F.max("p_partkey")).scalar() / 2)
     return storefront.new_numeric_skus(items, items.where((F.col("n") % 2 == 0) & (F.col("n") < half)).select("sku"), ["n"])
 
 
+@query("new_numeric_skus_above_mark", numeric_sql("n % 5 = 0", "1234567890120000100"))
+def new_numeric_skus_above_mark(t: Tables) -> DataFrame:
+    """Known SKUs on both sides of a given mark."""
+    items = numeric_items(t)
+    return storefront.new_numeric_skus(items, items.where("n % 5 = 0").select("sku"), ["n"], high_water=1234567890120000100)
+
+
+@query("new_numeric_skus_none", numeric_sql("true"))
+def new_numeric_skus_none(t: Tables) -> DataFrame:
+    """All SKUs are known: only the marks come back."""
+    items = numeric_items(t)
+    return storefront.new_numeric_skus(items, items.select("sku"), ["n"])
+
+
 @query("sku_base_mapping", f"WITH {p.MAP_SQL} SELECT DISTINCT sku, base FROM sku_map")
 def sku_base_mapping(t: Tables) -> DataFrame:
     mapping = p.sku_map(t)

@@ -102,16 +102,20 @@ a AS (
   UNION ALL SELECT source, b.n, 3, s.n, street, '', 'nj' FROM built b JOIN ship s ON s.cust_num = b.num),
 d AS (SELECT source, n, street, city, prov, min((cls, at_)) AS first_at FROM a GROUP BY 1, 2, 3, 4, 5),
 r AS (SELECT *, row_number() OVER (PARTITION BY source, n ORDER BY first_at) AS r FROM d)
-SELECT source, n, string_agg(coalesce(street, ''), ';' ORDER BY r) AS streets FROM r WHERE r <= 10 GROUP BY 1, 2""")
+SELECT b.source, b.n, coalesce(string_agg(coalesce(street, ''), ';' ORDER BY r), '') AS streets FROM built b LEFT JOIN (SELECT * FROM r WHERE r <= 10) r ON r.source = b.source AND r.n = b.n GROUP BY 1, 2""")
 def customer_addresses(t: Tables) -> DataFrame:
-    rows = built(t, shipping=True).where(F.size("addresses") > 0)
-    return rows.select("source", F.col("_rec_no").alias("n"), F.array_join(F.transform("addresses", lambda a: F.coalesce(a["address1"], F.lit(""))), ";").alias("streets"))
+    rows = built(t, shipping=True)
+    streets = F.array_join(F.transform("addresses", lambda a: F.coalesce(a["address1"], F.lit(""))), ";")
+    return rows.select("source", F.col("_rec_no").alias("n"), F.coalesce(streets, F.lit("")).alias("streets"))
 
 
-@query("customers_dedup", f"WITH {CUSTOMERS_SQL} SELECT identity, source, n, copies FROM kept")
+@query("customers_dedup", f"""
+WITH {CUSTOMERS_SQL}
+SELECT identity, source, n, copies FROM kept UNION ALL SELECT 'record', source, n, CAST(1 AS BIGINT) FROM named WHERE identity IS NULL""")
 def customers_dedup(t: Tables) -> DataFrame:
-    rows = customers.dedupe_customers(built(t)).where("identity LIKE '%:%'")
-    return rows.select("identity", "source", F.col("_rec_no").alias("n"), "copies")
+    rows = customers.dedupe_customers(built(t))
+    named = F.when(F.contains("identity", F.lit(":")), F.col("identity")).otherwise("record")
+    return rows.select(named.alias("identity"), "source", F.col("_rec_no").alias("n"), "copies")
 
 
 @query("customer_identity", f"""
@@ -197,13 +201,13 @@ def customer_audit(t: Tables) -> DataFrame:
 
 @query("customer_csv_rows", f"""
 WITH {CUSTOMERS_SQL}
-SELECT n, coalesce(last_name, company, '') AS last_name, coalesce(email, '') AS email, CASE WHEN k % 2 = 0 THEN 'NY' ELSE '' END AS province,
+SELECT source, n, coalesce(last_name, company, '') AS last_name, coalesce(email, '') AS email, CASE WHEN k % 2 = 0 THEN 'NY' ELSE '' END AS province,
   'POS Customer, POS Class:' || c_mktsegment || CASE WHEN num IS NOT NULL THEN ', POS ID:' || num ELSE '' END || ', POS Source:' || source AS tags, CASE WHEN k % 9 = 0 THEN 'yes' ELSE 'no' END AS tax_exempt
-FROM built WHERE skip IS NULL AND source_rank = 0""")
+FROM built WHERE skip IS NULL""")
 def customer_csv_rows(t: Tables) -> DataFrame:
-    rows = customers.csv_rows(built(t).where("skip IS NULL AND source_rank = 0"))
+    rows = customers.csv_rows(built(t).where("skip IS NULL"))
     return rows.select(
-        F.col("_rec_no").alias("n"), F.col("`Last Name`").alias("last_name"), F.col("Email").alias("email"), F.col("`Default Address Province Code`").alias("province"),
+        F.regexp_extract("Tags", "POS Source:(.*)$", 1).alias("source"), F.col("_rec_no").alias("n"), F.col("`Last Name`").alias("last_name"), F.col("Email").alias("email"), F.col("`Default Address Province Code`").alias("province"),
         F.col("Tags").alias("tags"), F.col("`Tax Exempt`").alias("tax_exempt"),
     )
 

@@ -26,8 +26,8 @@ def fold_inventory_events(t: Tables) -> DataFrame:
 def fold_inventory_events_resumed(t: Tables) -> DataFrame:
     """The same fold in two runs, the second one starting from stored state."""
     events = p.stock_events(t).select("shop", "item", "seq", "at", "quantity")
-    early = events.where("seq < 6000")
-    late = events.where("seq >= 6000")
+    middle = F.floor(events.agg(F.max("seq")).scalar() / 2)
+    early, late = events.where(F.col("seq") < middle), events.where(F.col("seq") >= middle)
     first = queues.fold_inventory_events(early, KEYS, "seq", "at", ["quantity", "seq"])
     both = queues.fold_inventory_events(late, KEYS, "seq", "at", ["quantity", "seq"], state=first)
     return both.select("shop", "item", "version", "quantity", F.col("seq").alias("last_seq"))
