@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -203,6 +203,19 @@ def display_name() -> Column:
     return first_nonempty(name, F.col("company"), F.col("email"), F.col("phone"), F.col("pos_customer_number"), F.lit("POS customer"))
 
 
+def read_storefront_csv(spark: SparkSession, path: str) -> DataFrame:
+    """All columns as text of a storefront CSV export: byte order mark, doubled quotes and notes over several lines.
+
+    A file with such notes cannot be split, so each file is one task; the
+    storefront exports in parts of a bounded size.
+    """
+    rows = (
+        spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", "UTF-8")
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    )
+    return rows.withColumnsRenamed({c: c.lstrip("\ufeff") for c in rows.columns})
+
+
 def read_existing_customers(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(ids, emails, phones) already online, from the storefront's CSV export."""
     rows = rows.withColumnsRenamed({c: c.lstrip("﻿") for c in rows.columns})

@@ -12,6 +12,7 @@ from tillbridge.functions.keys import base_sku, child_sku, is_matrix_child
 from tillbridge.functions.money import decimal_or_none, stock_quantity
 from tillbridge.functions.text import clean_text, let, normalize_spaces
 from tillbridge.operators.ordering import number_within
+from tillbridge.session import materialize
 
 # The stock states every location must report as zero before a repair.
 STOCK_STATES = (
@@ -21,13 +22,16 @@ MAX_REPAIR_VARIANTS = 100
 
 
 def matrix_headers(rows: DataFrame, **blocks) -> DataFrame:
-    """(sku, axis, position, header) in file order; blank headers stay as ''."""
+    """(sku, axis, position, header) in file order; blank headers stay as ''.
+
+    Numbered once and stored: cells, options and audits all read them.
+    """
     axis = F.upper(clean_text(F.col("RC")))
     kept = rows.select(
         clean_text(F.col("SKU")).alias("sku"), axis.alias("axis"),
         F.coalesce(clean_text(F.col("HEADER")), F.lit("")).alias("header"), "_rec_no",
     ).where("sku IS NOT NULL AND axis IN ('R', 'C')")
-    return number_within(kept, ["sku", "axis"], "_rec_no", "position", **blocks).drop("_rec_no")
+    return materialize(number_within(kept, ["sku", "axis"], "_rec_no", "position", **blocks).drop("_rec_no"), "grid-headers")
 
 
 def header_values(headers: DataFrame) -> DataFrame:
@@ -118,7 +122,7 @@ def explode_variants(cells: DataFrame, headers: DataFrame) -> DataFrame:
     When both axes share an option name the row value replaces the column
     value.
     """
-    values = header_values(headers).select("sku", "axis", "position", "value")
+    values = materialize(header_values(headers).select("sku", "axis", "position", "value"), "grid-values")
     rows_v = values.where("axis = 'R'").select("sku", F.col("position").alias("row"), F.col("value").alias("row_value"))
     cols_v = values.where("axis = 'C'").select("sku", F.col("position").alias("column"), F.col("value").alias("column_value"))
     joined = cells.join(cols_v, ["sku", "column"]).join(rows_v, ["sku", "row"])
@@ -177,7 +181,7 @@ def resolve_variant_row(rows: DataFrame, known: DataFrame) -> DataFrame:
     rows (sku, cell, barcode, ...); known (base, child). Barcode first, then
     two numbers, then compact digits when they name exactly one child.
     """
-    children = known.select(F.col("base").alias("sku"), F.col("child")).distinct()
+    children = materialize(known.select(F.col("base").alias("sku"), F.col("child")).distinct(), "grid-children")
     suffix = F.substring(F.col("child"), F.length(F.regexp_extract("child", r"^(.+?)\.\s*\d+\s+\d+$", 1)) + 1, F.length("child"))
     compact = (
         children.where(is_matrix_child(F.col("child")))
@@ -204,8 +208,8 @@ def targeted_quantities(items: DataFrame, cells: DataFrame, targets: DataFrame,
     The last row of a SKU wins.
     """
     wanted = targets.select(F.trim("base").alias("base")).where("base <> ''").distinct()
-    children = mapping.where("sku <> base").join(wanted, "base", "left_semi").select("base", F.col("sku").alias("child")).distinct()
-    parents = children.select(F.col("base").alias("sku")).distinct()
+    children = materialize(mapping.where("sku <> base").join(wanted, "base", "left_semi").select("base", F.col("sku").alias("child")).distinct(), "grid-targets")
+    parents = materialize(children.select(F.col("base").alias("sku")).distinct(), "grid-parents")
     number = stock_quantity(decimal_or_none(F.col("qty")))
     scalars = (
         items.select(F.trim("sku").alias("sku"), F.coalesce(number, F.lit(0)).alias("quantity"), "seq")
@@ -238,8 +242,8 @@ def matrix_structure(expected: DataFrame, snapshot: DataFrame, location: str) ->
 
     expected (base, sku): the children the till knows.
     """
-    rows = usable_rows(snapshot, location)
-    wanted = expected.select(F.trim("base").alias("base"), F.trim("sku").alias("sku")).where("sku <> ''").distinct()
+    rows = materialize(usable_rows(snapshot, location), "grid-usable")
+    wanted = materialize(expected.select(F.trim("base").alias("base"), F.trim("sku").alias("sku")).where("sku <> ''").distinct(), "grid-expected")
     seen = wanted.join(rows, "sku", "left")
     bases = seen.groupBy("base").agg(
         F.count(F.lit(1)).alias("wanted"), F.count("usable").alias("present"),
@@ -270,6 +274,7 @@ def product_options(variants: DataFrame) -> DataFrame:
     values = rows.groupBy("base", "option", "value").agg(
         F.min("pos").alias("first_variant"), F.min(F.struct("pos", "option_pos")).alias("_seen")
     )
+    values = materialize(values, "grid-options")
     names = values.groupBy("base", "option").agg(F.min("_seen").alias("option_seen"))
     return values.drop("_seen").join(names, ["base", "option"])
 

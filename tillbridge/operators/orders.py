@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tillbridge.functions.money import EXACT, money_text, till_money
 from tillbridge.functions.text import has_unencodable, to_cp1252
 from tillbridge.operators.ordering import number_within
+from tillbridge.session import materialize
 
 # Header table layout (name, type, width, decimals).
 HEADER_LAYOUT = [
@@ -91,8 +92,8 @@ def is_removal() -> Column:
     return F.coalesce(F.col("topic").isin(*REMOVAL_TOPICS) | F.col("order.redacted"), F.lit(False))
 
 
-def order_headers(changes: DataFrame, synced_at: str) -> DataFrame:
-    """Header row of each order change."""
+def order_headers(changes: DataFrame, synced_at: str, *carried: str) -> DataFrame:
+    """Header row of each order change, with the ``carried`` columns of the change."""
     o = F.col("order")
     bill, ship = o["billing_address"], o["shipping_address"]
     names = {p: F.coalesce(_text(a["name"]), _joined(a["first_name"], a["last_name"])) for p, a in (("BILL", bill), ("SHIP", ship))}
@@ -133,7 +134,7 @@ def order_headers(changes: DataFrame, synced_at: str) -> DataFrame:
         "SRC_VER": F.coalesce(F.nullif(F.col("version"), F.lit(0)), F.lit(1)), "SYNCED_AT": F.lit(synced_at),
         "TRUNCATED": note_changed,
     }
-    return changes.select(*[c.alias(n) for n, c in columns.items()])
+    return changes.select(*[c.alias(n) for n, c in columns.items()], *carried)
 
 
 def line_tax(tax_lines: Column) -> tuple[Column, Column]:
@@ -196,23 +197,26 @@ def upsert_orders(headers: DataFrame, lines: DataFrame, changes: DataFrame, sync
 
     Orders already in the inbox keep their six till fields. ``RETAIN_AS`` is
     the import status retention and acknowledgement go by: a removal among the
-    changes makes the re-created order pending again.
+    changes makes the re-created order pending again. The latest changes and
+    the merged headers are stored once, so that every later step reads them.
     """
-    latest = latest_changes(changes)
-    touched = latest.select(F.col("_order").alias("ORDER_ID"))
+    latest = materialize(latest_changes(changes), "latest-changes")
     live = latest.where("NOT removed")
-    fresh = order_headers(live, synced_at)
-    removed = latest.select(F.col("_order").alias("ORDER_ID"), "ever_removed")
-    kept = headers.select("ORDER_ID", F.lit(True).alias("_old"), *[F.col(f).alias(f"_{f}") for f in TILL_FIELDS])
-    merged = fresh.join(kept, "ORDER_ID", "left").join(removed, "ORDER_ID")
-    old = F.coalesce("_old", F.lit(False))
-    merged = merged.withColumn(
-        "RETAIN_AS", F.when(old & ~F.col("ever_removed"), F.col("_IMPORT_ST")).otherwise(F.col("IMPORT_ST"))
-    ).withColumns({f: F.when(old, F.col(f"_{f}")).otherwise(F.col(f)) for f in TILL_FIELDS})
-    merged = merged.drop("_old", "ever_removed", *[f"_{f}" for f in TILL_FIELDS])
-    untouched = headers.join(touched, "ORDER_ID", "left_anti").withColumn("RETAIN_AS", F.col("IMPORT_ST"))
-    new_headers = untouched.unionByName(merged, allowMissingColumns=True)
-    new_lines = lines.join(touched, "ORDER_ID", "left_anti").unionByName(order_lines(live), allowMissingColumns=True)
+    fresh = order_headers(live, synced_at, "ever_removed")
+    gone = latest.where("removed").select(F.col("_order").alias("ORDER_ID"), F.lit(True).alias("_gone"))
+    touched = fresh.select("ORDER_ID", F.struct("*").alias("_new")).unionByName(gone, allowMissingColumns=True)
+    rows = headers.select("ORDER_ID", F.struct("*").alias("_old")).join(touched, "ORDER_ID", "full").where("_gone IS NULL")
+
+    known, renewed = F.col("_old").isNotNull(), F.col("_new").isNotNull()
+    merged = {}
+    for name in dict.fromkeys([*headers.columns, *fresh.drop("ever_removed").columns]):
+        old = F.col(f"_old.{name}") if name in headers.columns else F.lit(None)
+        new = F.col(f"_new.{name}") if name in fresh.columns else F.lit(None)
+        merged[name] = F.when(known, old).otherwise(new) if name in TILL_FIELDS else F.when(renewed, new).otherwise(old)
+    merged["RETAIN_AS"] = F.when(known & ~F.coalesce("_new.ever_removed", F.lit(False)), F.col("_old.IMPORT_ST")).otherwise(F.col("_new.IMPORT_ST"))
+    new_headers = materialize(rows.select(*[c.alias(n) for n, c in merged.items()]), "inbox-headers")
+    changed = latest.select(F.col("_order").alias("ORDER_ID"))
+    new_lines = lines.join(changed, "ORDER_ID", "left_anti").unionByName(order_lines(live), allowMissingColumns=True)
     return new_headers, new_lines
 
 
@@ -225,7 +229,8 @@ def retain_orders(headers: DataFrame, lines: DataFrame, limit: int, protected: D
 
     The two ordered classes are ranked with a group limit, which every task
     applies before the shuffle: at most ``limit`` rows of each travel on.
-    Protected orders are never ranked or cut.
+    Protected orders are never ranked or cut. Headers are stored once with
+    their class, which each branch reads.
     """
     limit = max(100, limit)
     at = F.coalesce(F.nullif("ORDER_AT", F.lit("")), F.nullif("SYNCED_AT", F.lit("")), F.lit(""))
@@ -233,7 +238,7 @@ def retain_orders(headers: DataFrame, lines: DataFrame, limit: int, protected: D
     marks = protected.select("ORDER_ID", F.lit(True).alias("_protected")).distinct()
     rows = headers.join(marks, "ORDER_ID", "left")
     kind = F.when(imported(status), "imported").when(F.col("_protected"), "protected").otherwise("pending")
-    rows = rows.withColumn("_class", kind).drop("_protected")
+    rows = materialize(rows.withColumn("_class", kind).drop("_protected"), "inbox-classes")
     pending = F.col("_class") == "pending"
     order = [F.when(pending, at).asc(), F.when(pending, oid).asc(), F.when(~pending, at).desc(), F.when(~pending, oid).desc()]
     ranked = (
@@ -257,7 +262,7 @@ def delivered_orders(changes: DataFrame, retained: DataFrame, merged: DataFrame)
 
     ``merged`` carries RETAIN_AS for orders that survived the changes.
     """
-    latest = latest_changes(changes).select(F.col("_order").alias("ORDER_ID"), "removed")
+    latest = changes.groupBy(order_id().alias("ORDER_ID")).agg(F.max_by(is_removal(), "seq").alias("removed")).where("ORDER_ID IS NOT NULL")
     rows = latest.join(retained.select("ORDER_ID", F.lit(True).alias("_kept")), "ORDER_ID", "left")
     rows = rows.join(merged.select("ORDER_ID", imported("RETAIN_AS").alias("_imported")), "ORDER_ID", "left")
     hit = F.col("removed") | F.coalesce("_kept", F.lit(False)) | F.coalesce("_imported", F.lit(False))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -102,11 +103,43 @@ def flat_export(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.option("header", True).option("quoteAll", False).csv(path)
+    """Header in each file; quotes are doubled, blanks kept."""
+    df.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
-def export_table(table: DataFrame, records: int, row_limit: int, order: Sequence[str] = ("_rec_no",)) -> tuple[DataFrame, Column]:
-    """First rows of a core table in file order, and its ``truncated`` flag."""
+def export_table(table: DataFrame, row_limit: int, order: Sequence[str] = ("_rec_no",)) -> DataFrame:
+    """First rows of a core table in file order, with its ``truncated`` flag.
+
+    One row more than the limit is looked at; the table is not counted.
+    """
     limit = max(1, row_limit)
-    rows = table.orderBy(*order).limit(limit)
-    return rows, F.lit(records > limit)
+    first = table.orderBy(*order).limit(limit + 1)
+    more = first.agg(F.count(F.lit(1)) > limit)
+    return first.orderBy(*order).limit(limit).withColumn("truncated", more.scalar())
+
+
+def export_core_tables(
+    profile: DataFrame, read: Callable[[str], DataFrame], target: str, row_limit: int, tables: Sequence[str] = CORE_TABLES,
+    order: Sequence[str] = ("_file", "_rec_no"),
+) -> DataFrame:
+    """Write the first rows of each core table as CSV under ``target`` and report on them.
+
+    ``profile`` has one row per file, ``read`` gives a table's rows. The report
+    has one row per table found: table, records, rows_written, truncated,
+    sensitive_columns. The loop is over ``tables``, never over data.
+    """
+    spark, limit = profile.sparkSession, max(1, row_limit)
+    wanted = profile.where(F.col("error").isNull() & F.lower("table").isin(*[t.lower() for t in tables]))
+    found = wanted.groupBy("table").agg(
+        F.sum("records").alias("records"),
+        F.concat_ws(";", F.array_sort(F.array_distinct(F.flatten(F.collect_list("sensitive_fields"))))).alias("sensitive_columns"),
+    )
+    written = []
+    for row in found.select("table").collect():
+        name, path = row["table"], f"{target}/{row['table']}"
+        rows = read(name).orderBy(*order).limit(limit)
+        write_csv(flat_export(rows, [c for c in rows.columns if not c.startswith("_")]), path)
+        back = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+        written.append(back.agg(F.count(F.lit(1)).alias("rows_written")).select(F.lit(name).alias("table"), "rows_written"))
+    counts = reduce(DataFrame.unionByName, written, spark.createDataFrame([], "table string, rows_written bigint"))
+    return found.join(counts, "table").select("table", "records", "rows_written", (F.col("records") > limit).alias("truncated"), "sensitive_columns")

@@ -11,21 +11,22 @@ from tillbridge.plans.registry import Tables, query
 
 SYNCED = "2024-01-01T00:00:00+00:00"
 
-# changes: three per customer of each fourth order; arrival is the order key
+# changes: four per order; arrival is the order key. Half of the inbox, of every fifth order key, is of orders without a change
 CHANGES_SQL = """
 chg AS (
-  SELECT o_orderkey AS seq, o_orderkey % 3 + 1 AS version, 'O' || (o_orderkey % 4000) AS oid, CASE WHEN o_orderkey % 23 = 0 THEN 'orders/delete' WHEN o_orderkey % 2 = 0 THEN 'orders/create' ELSE '' END AS topic,
+  SELECT o_orderkey AS seq, o_orderkey % 3 + 1 AS version, 'O' || (o_orderkey // 4) AS oid, CASE WHEN o_orderkey % 23 = 0 THEN 'orders/delete' WHEN o_orderkey % 2 = 0 THEN 'orders/create' ELSE '' END AS topic,
     o_orderkey % 29 = 0 AS redacted, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS total, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS created, o_orderpriority, o_custkey,
     CASE WHEN o_custkey % 3 <> 0 THEN 'Ann' ELSE ' ' END AS cf, CASE WHEN o_custkey % 4 = 0 THEN 'Bill To' END AS bname, o_orderkey % 3 AS line_count FROM orders),
 lat AS (SELECT *, row_number() OVER (PARTITION BY oid ORDER BY seq DESC) AS r, bool_or(topic = 'orders/delete' OR redacted) OVER (PARTITION BY oid) AS ever_removed FROM chg),
 last AS (SELECT *, topic = 'orders/delete' OR redacted AS removed FROM lat WHERE r = 1),
-old AS (SELECT 'O' || k AS oid, k, CASE WHEN k % 3 = 0 THEN 'IMPORTED' WHEN k % 3 = 1 THEN 'pending ' ELSE 'ERROR' END AS st, strftime(TIMESTAMP '1990-01-01' + to_days(CAST(k AS INTEGER)), '%Y-%m-%dT%H:%M:%SZ') AS at_
-  FROM (SELECT DISTINCT o_orderkey % 5000 AS k FROM orders WHERE o_orderkey % 5000 >= 3000 OR o_orderkey % 5 = 0))
+old AS (SELECT 'O' || k AS oid, k, CASE WHEN k % 3 = 0 THEN 'IMPORTED' WHEN k % 3 = 1 THEN 'pending ' ELSE 'ERROR' END AS st, strftime(TIMESTAMP '1990-01-01' + to_days(CAST(k % 20000 AS INTEGER)), '%Y-%m-%dT%H:%M:%SZ') AS at_
+  FROM (SELECT DISTINCT o_orderkey // 2 AS k FROM orders WHERE o_orderkey % 5 = 0))
 """
 
 
 def changes(t: Tables) -> DataFrame:
     k, c = F.col("o_orderkey"), F.col("o_custkey")
+    number = F.expr("o_orderkey div 4").cast("string")
 
     def line(n: int) -> F.Column:
         tax = F.array(
@@ -46,7 +47,7 @@ def changes(t: Tables) -> DataFrame:
         *[text.alias(x) for x in ("city", "province", "province_code", "country", "country_code", "zip", "phone")],
     )
     plain = {
-        "id": text, "name": F.concat(F.lit("#"), (k % 4000).cast("string")), "order_number": text, "confirmation_number": text, "created_at": p.iso(F.col("o_orderdate")),
+        "id": text, "name": F.concat(F.lit("#"), number), "order_number": text, "confirmation_number": text, "created_at": p.iso(F.col("o_orderdate")),
         "updated_at": text, "processed_at": text, "cancelled_at": text, "closed_at": text, "financial_status": F.lower("o_orderstatus"), "fulfillment_status": text, "currency": F.lit("USD"),
         "subtotal_price": F.lit(""), "total_discounts": text, "shipping_price": text, "total_tax": text, "total_price": p.money("o_totalprice").cast("string"), "email": text, "phone": text,
         "customer_first_name": F.when(c % 3 != 0, "Ann").otherwise(" "), "customer_last_name": text, "note": F.repeat(F.lit("n"), (k % 600).cast("int")), "tags": text,
@@ -56,7 +57,7 @@ def changes(t: Tables) -> DataFrame:
     order = F.struct(*[v.alias(n) for n, v in plain.items()], place.alias("billing_address"), place.alias("shipping_address"), lines.alias("line_items"), shipping.alias("shipping_lines")).cast(orders.ORDER)
     topic = F.when(k % 23 == 0, "orders/delete").when(k % 2 == 0, "orders/create").otherwise("")
     return t.orders.select(
-        k.alias("seq"), (k % 3 + 1).alias("version"), F.concat(F.lit(" O"), (k % 4000).cast("string")).alias("order_id"), text.alias("order_name"), topic.alias("topic"), order.alias("order"),
+        k.alias("seq"), (k % 3 + 1).alias("version"), F.concat(F.lit(" O"), number).alias("order_id"), text.alias("order_name"), topic.alias("topic"), order.alias("order"),
     )
 
 
@@ -91,9 +92,9 @@ def order_lines(t: Tables) -> DataFrame:
 def inbox(t: Tables) -> tuple[DataFrame, DataFrame]:
     """An existing inbox with two lines per order."""
     k = F.col("k")
-    keys = t.orders.select((F.col("o_orderkey") % 5000).alias("k"), "o_orderkey").where("k >= 3000 OR o_orderkey % 5 = 0").select("k").distinct()
+    keys = t.orders.where("o_orderkey % 5 = 0").selectExpr("o_orderkey div 2 AS k").distinct()
     status = F.when(k % 3 == 0, "IMPORTED").when(k % 3 == 1, "pending ").otherwise("ERROR")
-    day = F.date_add(F.lit("1990-01-01").cast("date"), k.cast("int")).cast("timestamp_ntz")
+    day = F.date_add(F.lit("1990-01-01").cast("date"), (k % 20000).cast("int")).cast("timestamp_ntz")
     text = F.lit(None).cast("string")
     heads = keys.select(
         F.concat(F.lit("O"), k.cast("string")).alias("ORDER_ID"), F.lit("g1").alias("GEN_ID"), p.iso(day).alias("ORDER_AT"), F.lit(SYNCED).alias("SYNCED_AT"),

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillbridge.operators import orders
+from tillbridge.operators import orders, reports
+from tillbridge.plans import inbox as order_inbox
 from tillbridge.plans import proxies as p
 from tillbridge.plans.online import STABLE_SQL
 from tillbridge.plans.registry import Tables, query
@@ -43,6 +44,57 @@ def dbf_scan(t: Tables) -> DataFrame:
     return named(dbf.read_dbf(t.spark, item_files(t)))
 
 
+@query("core_export", """
+SELECT 'Item' AS table, (SELECT count(*) FROM part) AS records, least(1000, (SELECT count(*) FROM part)) AS rows_written, (SELECT count(*) FROM part) > 1000 AS truncated, '' AS sensitive_columns
+UNION ALL SELECT 'Customer', (SELECT count(*) FROM customer), least(1000, (SELECT count(*) FROM customer)), (SELECT count(*) FROM customer) > 1000, 'EMAIL;PHONE'""")
+def core_export(t: Tables) -> DataFrame:
+    path = item_files(t)
+    layout = [("CUST_NUM", "C", 16, 0), ("EMAIL", "C", 40, 0), ("PHONE", "C", 20, 0)]
+    people = t.customer.select(p.code("C", "c_custkey").alias("CUST_NUM"), F.concat(p.code("c", "c_custkey"), F.lit("@x.com")).alias("EMAIL"), F.col("c_phone").alias("PHONE"))
+    publish(orders.fit_fixed_width(people, layout), layout, path, "Customer")
+    found = profile.profile_tables(t.spark, path)
+    return reports.export_core_tables(found, lambda name: dbf.read_dbf(t.spark, path, table=name), scratch_path(t.spark, "core-export"), 1000)
+
+
+def publish(fitted: DataFrame, layout: list[tuple[str, str, int, int]], path: str, table: str) -> None:
+    """Fitted rows as DBF files of a table."""
+    dbf.register(fitted.sparkSession)
+    rows = fitted.select(*[name for name, *_ in layout])
+    rows.write.format("dbf").option("layout", dbf.layout_text(layout)).option("table", table).mode("append").save(path)
+
+
+def published_orders(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """The inbox after the changes, one generation, fitted."""
+    stamped = orders.stamp_generation(*orders.upsert_orders(*order_inbox.inbox(t), order_inbox.changes(t), order_inbox.SYNCED), "gen-1")
+    return tuple(orders.fit_fixed_width(rows, layout) for rows, layout in zip(stamped, (orders.HEADER_LAYOUT, orders.DETAIL_LAYOUT)))
+
+
+@query("order_header_file", f"""
+WITH {order_inbox.UPSERT_SQL}
+SELECT oid AS order_id, 'gen-1' AS gen_id, trim(import_st) AS import_st, pos_ord_no, at_ AS order_at, CAST(total AS DECIMAL(18,2)) AS total,
+  CAST(CASE WHEN l.oid IS NULL THEN 2 ELSE line_count END AS DECIMAL(6,0)) AS line_count, coalesce(seq % 600 > 508, false) AS truncated
+FROM heads LEFT JOIN (SELECT oid, seq, line_count FROM last WHERE NOT removed) l USING (oid)""")
+def order_header_file(t: Tables) -> DataFrame:
+    """Headers published in their real layout and read back strictly."""
+    path = scratch_path(t.spark, "order-headers")
+    publish(published_orders(t)[0], orders.HEADER_LAYOUT, path, "webhdr")
+    rows = dbf.read_dbf(t.spark, path, mode="strict", layout=dbf.layout_text(orders.HEADER_LAYOUT))
+    return rows.select(*[F.col(c).alias(c.lower()) for c in ("ORDER_ID", "GEN_ID", "IMPORT_ST", "POS_ORD_NO", "ORDER_AT", "TOTAL", "LINE_COUNT", "TRUNCATED")])
+
+
+@query("order_detail_file", f"""
+WITH {order_inbox.UPSERT_SQL}
+SELECT oid AS order_id, 'gen-1' AS gen_id, CASE WHEN i = 1 THEN 'a' ELSE 'b' END AS line_key, NULL AS line_no, NULL AS qty, NULL AS unit_price, CAST(1 AS DECIMAL(10,0)) AS src_ver FROM old, range(1, 3) r(i) WHERE oid NOT IN (SELECT oid FROM last)
+UNION ALL SELECT oid, 'gen-1', CASE WHEN seq % 5 <> 0 THEN seq || '-' || i ELSE 'line-' || i END, CAST(i AS DECIMAL(6,0)), CAST(seq % 4 + i AS DECIMAL(10,0)), CASE WHEN seq % 11 <> 0 THEN CAST(total AS DECIMAL(18,2)) END, version
+FROM last, range(1, 3) r(i) WHERE NOT removed AND i <= line_count""")
+def order_detail_file(t: Tables) -> DataFrame:
+    """Lines published in their real layout and read back strictly."""
+    path = scratch_path(t.spark, "order-details")
+    publish(published_orders(t)[1], orders.DETAIL_LAYOUT, path, "webdtl")
+    rows = dbf.read_dbf(t.spark, path, mode="strict", layout=dbf.layout_text(orders.DETAIL_LAYOUT))
+    return rows.select(*[F.col(c).alias(c.lower()) for c in ("ORDER_ID", "GEN_ID", "LINE_KEY", "LINE_NO", "QTY", "UNIT_PRICE", "SRC_VER")])
+
+
 @query("dbf_strict_scan", f"{ITEM_SQL}, DATE '2024-02-29' AS last_act FROM part")
 def dbf_strict_scan(t: Tables) -> DataFrame:
     return named(dbf.read_dbf(t.spark, item_files(t), mode="strict", layout=dbf.layout_text(ITEM_LAYOUT)))

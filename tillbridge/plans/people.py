@@ -212,6 +212,19 @@ def customer_csv_rows(t: Tables) -> DataFrame:
     )
 
 
+@query("storefront_csv", """
+SELECT 'c' || c_custkey || '@x.com' AS email, 'vip, POS ID:' || c_custkey AS tags, CASE WHEN c_custkey % 3 <> 0 THEN ' ' || c_comment || chr(10) || 'said "yes, ' || c_name || '"' END AS note FROM customer""")
+def storefront_csv(t: Tables) -> DataFrame:
+    """An export with a byte order mark, quotes and notes of two lines, written and read."""
+    k = F.col("c_custkey").cast("string")
+    note = F.concat(F.lit(" "), "c_comment", F.lit('\nsaid "yes, '), "c_name", F.lit('"'))
+    path = scratch_path(t.spark, "storefront-csv")
+    reports.write_csv(t.customer.select(
+        F.concat(F.lit("c"), k, F.lit("@x.com")).alias("\ufeffEmail"), F.concat(F.lit("vip, POS ID:"), k).alias("Tags"), F.when(F.col("c_custkey") % 3 != 0, note).alias("Note"),
+    ), path)
+    return customers.read_storefront_csv(t.spark, path).select(F.col("Email").alias("email"), F.col("Tags").alias("tags"), F.col("Note").alias("note"))
+
+
 @query("clear_duplicate_contacts", """
 WITH r AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '' ELSE 'Mail' || user_id || CASE WHEN event_id % 2 = 0 THEN '@X.com' ELSE '@x.com' END END AS email, CASE WHEN event_id % 4 <> 0 THEN '+1' || (event_id % 3000) ELSE '' END AS phone FROM events),
 f AS (SELECT *, email <> '' AND event_id > min(event_id) OVER (PARTITION BY lower(email)) AS ec, phone <> '' AND event_id > min(event_id) OVER (PARTITION BY phone) AS pc FROM r)

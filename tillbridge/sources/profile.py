@@ -64,7 +64,7 @@ def _headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names = [f.name for f in header.fields]
                 row |= {"records": header.records, "record_length": header.record_length,
                         "field_count": len(names), "fields": names}
-            except DbfError as problem:
+            except (DbfError, OSError) as problem:
                 row["error"] = str(problem)
             rows.append(row)
         schema = pa.schema([
