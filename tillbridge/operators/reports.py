@@ -124,12 +124,14 @@ def export_core_tables(
 ) -> DataFrame:
     """Write the first rows of each core table as CSV under ``target`` and report on them.
 
-    ``profile`` has one row per file, ``read`` gives a table's rows. The report
+    ``profile`` has one row per file (numbered files of one writer are one
+    table), ``read`` gives a table's rows. The report
     has one row per table found: table, records, rows_written, truncated,
     sensitive_columns. The loop is over ``tables``, never over data.
     """
     spark, limit = profile.sparkSession, max(1, row_limit)
-    wanted = profile.where(F.col("error").isNull() & F.lower("table").isin(*[t.lower() for t in tables]))
+    stem = F.regexp_replace("table", "-[0-9]{5}-[0-9a-f]{8}$", "")
+    wanted = profile.withColumn("table", stem).where(F.col("error").isNull() & F.lower("table").isin(*[t.lower() for t in tables]))
     found = wanted.groupBy("table").agg(
         F.sum("records").alias("records"),
         F.concat_ws(";", F.array_sort(F.array_distinct(F.flatten(F.collect_list("sensitive_fields"))))).alias("sensitive_columns"),

@@ -19,15 +19,13 @@ ITEM_LAYOUT = [("SKU", "C", 16, 0), ("DESC", "C", 30, 0), ("PRICE", "N", 12, 2),
 
 def item_files(t: Tables, table: str = "Item") -> str:
     """Parts fitted to a layout and written as DBF files, one per task."""
-    dbf.register(t.spark)
     k = F.col("p_partkey")
     rows = t.part.select(
         p.code("P", "p_partkey").alias("SKU"), F.when(k % 5 != 0, F.col("p_name")).alias("DESC"), F.col("p_retailprice").cast("decimal(18,2)").alias("PRICE"), F.col("p_size").alias("QTY"),
         (k % 2 == 0).alias("SELLWEB"), F.lit("2024-02-29").alias("LAST_ACT"),
     )
     path = scratch_path(t.spark, "dbf")
-    fitted = orders.fit_fixed_width(rows, ITEM_LAYOUT).select(*[name for name, *_ in ITEM_LAYOUT])
-    fitted.write.format("dbf").option("layout", dbf.layout_text(ITEM_LAYOUT)).option("table", table).mode("append").save(path)
+    dbf.write_dbf(orders.fit_fixed_width(rows, ITEM_LAYOUT), path, ITEM_LAYOUT, table)
     return path
 
 
@@ -48,19 +46,12 @@ def dbf_scan(t: Tables) -> DataFrame:
 SELECT 'Item' AS table, (SELECT count(*) FROM part) AS records, least(1000, (SELECT count(*) FROM part)) AS rows_written, (SELECT count(*) FROM part) > 1000 AS truncated, '' AS sensitive_columns
 UNION ALL SELECT 'Customer', (SELECT count(*) FROM customer), least(1000, (SELECT count(*) FROM customer)), (SELECT count(*) FROM customer) > 1000, 'EMAIL;PHONE'""")
 def core_export(t: Tables) -> DataFrame:
-    path = item_files(t)
+    paths = {"Item": item_files(t), "Customer": scratch_path(t.spark, "dbf")}
     layout = [("CUST_NUM", "C", 16, 0), ("EMAIL", "C", 40, 0), ("PHONE", "C", 20, 0)]
-    people = t.customer.select(p.code("C", "c_custkey").alias("CUST_NUM"), F.concat(p.code("c", "c_custkey"), F.lit("@x.com")).alias("EMAIL"), F.col("c_phone").alias("PHONE"))
-    publish(orders.fit_fixed_width(people, layout), layout, path, "Customer")
-    found = profile.profile_tables(t.spark, path)
-    return reports.export_core_tables(found, lambda name: dbf.read_dbf(t.spark, path, table=name), scratch_path(t.spark, "core-export"), 1000)
-
-
-def publish(fitted: DataFrame, layout: list[tuple[str, str, int, int]], path: str, table: str) -> None:
-    """Fitted rows as DBF files of a table."""
-    dbf.register(fitted.sparkSession)
-    rows = fitted.select(*[name for name, *_ in layout])
-    rows.write.format("dbf").option("layout", dbf.layout_text(layout)).option("table", table).mode("append").save(path)
+    people = t.customer.select(p.code("C", "c_custkey").alias("CUST_NUM"), F.concat(p.code("c", "c_custkey"), F.lit("@x.com")).alias("EMAIL"), p.code("+1", "c_custkey").alias("PHONE"))
+    dbf.write_dbf(orders.fit_fixed_width(people, layout), paths["Customer"], layout, "Customer")
+    first, second = (profile.profile_tables(t.spark, path) for path in paths.values())
+    return reports.export_core_tables(first.unionByName(second), lambda name: dbf.read_dbf(t.spark, paths[name]), scratch_path(t.spark, "core-export"), 1000)
 
 
 def published_orders(t: Tables) -> tuple[DataFrame, DataFrame]:
@@ -77,7 +68,7 @@ FROM heads LEFT JOIN (SELECT oid, seq, line_count FROM last WHERE NOT removed) l
 def order_header_file(t: Tables) -> DataFrame:
     """Headers published in their real layout and read back strictly."""
     path = scratch_path(t.spark, "order-headers")
-    publish(published_orders(t)[0], orders.HEADER_LAYOUT, path, "webhdr")
+    dbf.write_dbf(published_orders(t)[0], path, orders.HEADER_LAYOUT, "webhdr")
     rows = dbf.read_dbf(t.spark, path, mode="strict", layout=dbf.layout_text(orders.HEADER_LAYOUT))
     return rows.select(*[F.col(c).alias(c.lower()) for c in ("ORDER_ID", "GEN_ID", "IMPORT_ST", "POS_ORD_NO", "ORDER_AT", "TOTAL", "LINE_COUNT", "TRUNCATED")])
 
@@ -85,12 +76,12 @@ def order_header_file(t: Tables) -> DataFrame:
 @query("order_detail_file", f"""
 WITH {order_inbox.UPSERT_SQL}
 SELECT oid AS order_id, 'gen-1' AS gen_id, CASE WHEN i = 1 THEN 'a' ELSE 'b' END AS line_key, NULL AS line_no, NULL AS qty, NULL AS unit_price, CAST(1 AS DECIMAL(10,0)) AS src_ver FROM old, range(1, 3) r(i) WHERE oid NOT IN (SELECT oid FROM last)
-UNION ALL SELECT oid, 'gen-1', CASE WHEN seq % 5 <> 0 THEN seq || '-' || i ELSE 'line-' || i END, CAST(i AS DECIMAL(6,0)), CAST(seq % 4 + i AS DECIMAL(10,0)), CASE WHEN seq % 11 <> 0 THEN CAST(total AS DECIMAL(18,2)) END, version
+UNION ALL SELECT oid, 'gen-1', CASE WHEN seq % 5 <> 0 THEN seq || '-' || i ELSE 'line-' || i END, CAST(i AS DECIMAL(6,0)), CAST(seq % 4 + i AS DECIMAL(10,0)), CASE WHEN seq % 11 <> 0 THEN CAST(total AS DECIMAL(18,2)) END, CAST(version AS DECIMAL(10,0))
 FROM last, range(1, 3) r(i) WHERE NOT removed AND i <= line_count""")
 def order_detail_file(t: Tables) -> DataFrame:
     """Lines published in their real layout and read back strictly."""
     path = scratch_path(t.spark, "order-details")
-    publish(published_orders(t)[1], orders.DETAIL_LAYOUT, path, "webdtl")
+    dbf.write_dbf(published_orders(t)[1], path, orders.DETAIL_LAYOUT, "webdtl")
     rows = dbf.read_dbf(t.spark, path, mode="strict", layout=dbf.layout_text(orders.DETAIL_LAYOUT))
     return rows.select(*[F.col(c).alias(c.lower()) for c in ("ORDER_ID", "GEN_ID", "LINE_KEY", "LINE_NO", "QTY", "UNIT_PRICE", "SRC_VER")])
 

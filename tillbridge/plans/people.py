@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tillbridge.operators import customers, reports
 from tillbridge.plans import proxies as p
 from tillbridge.plans.registry import Tables, query
+from tillbridge.session import scratch_path
 
 CUSTOMERS_SQL = """
 src AS (
@@ -213,11 +214,11 @@ def customer_csv_rows(t: Tables) -> DataFrame:
 
 
 @query("storefront_csv", """
-SELECT 'c' || c_custkey || '@x.com' AS email, 'vip, POS ID:' || c_custkey AS tags, CASE WHEN c_custkey % 3 <> 0 THEN ' ' || c_comment || chr(10) || 'said "yes, ' || c_name || '"' END AS note FROM customer""")
+SELECT 'c' || c_custkey || '@x.com' AS email, 'vip, POS ID:' || c_custkey AS tags, CASE WHEN c_custkey % 3 <> 0 THEN ' ' || c_mktsegment || chr(10) || 'said "yes, ' || c_name || '"' END AS note FROM customer""")
 def storefront_csv(t: Tables) -> DataFrame:
     """An export with a byte order mark, quotes and notes of two lines, written and read."""
     k = F.col("c_custkey").cast("string")
-    note = F.concat(F.lit(" "), "c_comment", F.lit('\nsaid "yes, '), "c_name", F.lit('"'))
+    note = F.concat(F.lit(" "), "c_mktsegment", F.lit('\nsaid "yes, '), "c_name", F.lit('"'))
     path = scratch_path(t.spark, "storefront-csv")
     reports.write_csv(t.customer.select(
         F.concat(F.lit("c"), k, F.lit("@x.com")).alias("\ufeffEmail"), F.concat(F.lit("vip, POS ID:"), k).alias("Tags"), F.when(F.col("c_custkey") % 3 != 0, note).alias("Note"),

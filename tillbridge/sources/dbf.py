@@ -67,7 +67,15 @@ class RecordRange(InputPartition):
     reset: bool = False
 
 
+def resolve(spark: SparkSession, path: str) -> str:
+    """The path with the file system Spark would resolve it on; local ones stay plain."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = target.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(target).toString()
+    return path if full.startswith("file:") else full
+
+
 def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
+    """File system and path inside it. Tasks know no default one: without a scheme it is the local disk (see ``resolve``)."""
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
 
@@ -76,9 +84,10 @@ def find_files(path: str, table: str | None = None) -> list[str]:
     fs, root = open_fs(path)
     info = fs.get_file_info(root)
     if info.type == pafs.FileType.File:
-        return [root]
+        return [path]
+    prefix = path.rstrip("/").removesuffix(root.rstrip("/"))  # what the listing leaves out of its paths
     found = sorted(
-        (i.path for i in fs.get_file_info(pafs.FileSelector(root, recursive=True))
+        (prefix + i.path for i in fs.get_file_info(pafs.FileSelector(root, recursive=True))
          if i.type == pafs.FileType.File and i.path.lower().endswith(".dbf")),
         key=str.lower,
     )
@@ -395,15 +404,12 @@ class DbfStreamReader(DataSourceStreamReader):
                 parts.append(RecordRange(path, at, min(at + split, stop)))
         return parts
 
-    def read(self, partition: RecordRange) -> Iterator[tuple]:
-        names = self.schema.names
+    def read(self, partition: RecordRange) -> Iterator[pa.RecordBatch]:
+        schema = arrow_schema(self.schema)
         if partition.reset:
-            yield tuple({"_reset": True, "_file": partition.path, "_rec_no": -1}.get(n) for n in names)
+            yield pa.RecordBatch.from_pylist([{"_reset": True, "_file": partition.path, "_rec_no": -1}], schema=schema)
             return
-        decoder = RecordDecoder(self.options)
-        for batch in decoder.read_range(partition, arrow_schema(self.schema)):
-            columns = [c.to_pylist() for c in batch.columns]
-            yield from zip(*columns)
+        yield from RecordDecoder(self.options).read_range(partition, schema)
 
     def commit(self, end: dict) -> None:
         pass
@@ -525,7 +531,7 @@ def register(spark: SparkSession) -> None:
 
 def read_dbf(spark: SparkSession, path: str, **options: str) -> DataFrame:
     register(spark)
-    return spark.read.format("dbf").options(**options).load(path)
+    return spark.read.format("dbf").options(**options).load(resolve(spark, path))
 
 
 def read_selected(spark: SparkSession, path: str, key: str, keys: DataFrame, columns: list[str], **options: str) -> DataFrame:
@@ -541,4 +547,12 @@ def read_selected(spark: SparkSession, path: str, key: str, keys: DataFrame, col
 
 def read_dbf_stream(spark: SparkSession, path: str, **options: str) -> DataFrame:
     register(spark)
-    return spark.readStream.format("dbf").options(stream="true", **options).load(path)
+    return spark.readStream.format("dbf").options(stream="true", **options).load(resolve(spark, path))
+
+
+def write_dbf(rows: DataFrame, path: str, layout: Iterable[tuple[str, str, int, int]], table: str = "part") -> None:
+    """Append fitted rows to a folder, one file per task."""
+    register(rows.sparkSession)
+    layout = list(layout)
+    kept = rows.select(*[name for name, *_ in layout])
+    kept.write.format("dbf").option("layout", layout_text(layout)).option("table", table).mode("append").save(resolve(rows.sparkSession, path))

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillbridge.session import materialize
 from tillbridge.sources.dbf import DbfError, header_of
 
 # Table names with a known category.
@@ -84,7 +85,7 @@ def profile_tables(spark: SparkSession, folder: str, only: tuple[str, ...] = ())
         spark.read.format("binaryFile").option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.[dD][bB][fF]").load(folder).select("path")
     )
-    rows = files.mapInArrow(_headers, SCHEMA)
+    rows = materialize(files.mapInArrow(_headers, SCHEMA), "profile")  # each header is opened once
     if only:
         rows = rows.where(F.lower("table").isin(*[t.lower() for t in only]))
     copies = rows.groupBy(F.lower("table").alias("_name")).agg(F.count(F.lit(1)).alias("_copies"))
