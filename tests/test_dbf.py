@@ -124,3 +124,13 @@ def test_legal_numbers_of_any_spelling_are_kept():
     assert rejected == [None, None, "12.345", None, None, None, None, "abc", "1E99", "12.355"]
     values, rejected = decoded([".50", "12.5", "13.5", "4.0"], 12, 0)
     assert values == ["0", "12", "14", "4"] and rejected == [".50", "12.5", "13.5", None]
+
+
+def test_paths_keep_the_scheme_they_came_with(spark, tmp_path):
+    write(tmp_path / "item.dbf", [record("S0", 1)])
+    plain, named = str(tmp_path), f"file://{tmp_path}"
+    assert dbf.find_files(plain) == [f"{plain}/item.dbf"]
+    assert dbf.find_files(named) == dbf.find_files(f"{named}/") == [f"{named}/item.dbf"]
+    assert dbf.find_files(f"{named}/item.dbf") == [f"{named}/item.dbf"]
+    assert dbf.resolve(spark, plain) == plain
+    assert dbf.read_dbf(spark, named).count() == 1

@@ -226,8 +226,9 @@ def new_numeric_skus(
 ) -> DataFrame:
     """Digit-only SKUs above the high-water mark that are not known yet.
 
-    Output (sku, previous_high, new_high, width); the marks are digit texts of
-    any length. Without a given width the last numeric SKU in file order sets
+    Output (sku, previous_high, new_high, width). SKUs are compared as digit
+    texts of any length; a mark of more than 38 digits is reported as null, its
+    SKUs are not lost. Without a given width the last numeric SKU in file order sets
     it; there is no row if no SKU is numeric then. If nothing is new, one row
     with a null SKU carries the marks.
     """
@@ -245,7 +246,8 @@ def new_numeric_skus(
     fresh = numeric.select("sku", "width").distinct().join(marks, "width").where(_magnitude(F.col("sku")) > F.col("high"))
     fresh = fresh.join(old.select("sku").distinct(), "sku", "left_anti").select("sku", "high", "top", "width")
     none = marks.join(fresh.select("width").distinct(), "width", "left_anti").select(F.lit(None).cast("string").alias("sku"), "high", "top", "width")
-    return fresh.unionByName(none).select("sku", F.col("high.text").alias("previous_high"), F.col("top.text").alias("new_high"), "width")
+    number = lambda mark: F.col(f"{mark}.text").try_cast("decimal(38,0)")
+    return fresh.unionByName(none).select("sku", number("high").alias("previous_high"), number("top").alias("new_high"), "width")
 
 
 def sku_base_mapping(products: DataFrame, variants: DataFrame) -> DataFrame:

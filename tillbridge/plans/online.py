@@ -194,7 +194,7 @@ w AS (SELECT length(arg_max(sku, n)) AS width FROM num),
 known AS (SELECT sku FROM i WHERE {known}),
 m AS (SELECT width, coalesce(CAST({mark} AS HUGEINT), (SELECT max(TRY_CAST(sku AS HUGEINT)) FROM known WHERE length(sku) = width), 0) AS high, (SELECT max(v) FROM num WHERE length(sku) = width) AS observed FROM w),
 fresh AS (SELECT DISTINCT sku FROM num, m WHERE length(sku) = width AND v > high AND sku NOT IN (SELECT sku FROM known))
-SELECT sku, CAST(high AS VARCHAR) AS previous_high, CAST(greatest(high, observed) AS VARCHAR) AS new_high, CAST(width AS INTEGER) AS width FROM m LEFT JOIN fresh ON true"""
+SELECT sku, CAST(high AS DECIMAL(38,0)) AS previous_high, CAST(greatest(high, observed) AS DECIMAL(38,0)) AS new_high, CAST(width AS INTEGER) AS width FROM m LEFT JOIN fresh ON true"""
 
 
 def numeric_items(t: Tables) -> DataFrame:

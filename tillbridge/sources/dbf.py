@@ -404,7 +404,11 @@ class DbfStreamReader(DataSourceStreamReader):
                 parts.append(RecordRange(path, at, min(at + split, stop)))
         return parts
 
-    def read(self, partition: RecordRange) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: RecordRange) -> Iterator[tuple]:
+        for batch in self.batches(partition):
+            yield from zip(*[c.to_pylist() for c in batch.columns])
+
+    def batches(self, partition: RecordRange) -> Iterator[pa.RecordBatch]:
         schema = arrow_schema(self.schema)
         if partition.reset:
             yield pa.RecordBatch.from_pylist([{"_reset": True, "_file": partition.path, "_rec_no": -1}], schema=schema)
@@ -415,6 +419,13 @@ class DbfStreamReader(DataSourceStreamReader):
         pass
 
 
+class DbfBatchStreamReader(DbfStreamReader):
+    """The same stream in Arrow batches, as Spark takes it."""
+
+    def read(self, partition: RecordRange) -> Iterator[pa.RecordBatch]:
+        return self.batches(partition)
+
+
 @dataclass
 class WrittenFile(WriterCommitMessage):
     part: str
@@ -517,7 +528,7 @@ class DbfDataSource(DataSource):
         return DbfReader(schema, self._plain())
 
     def streamReader(self, schema: T.StructType) -> DbfStreamReader:
-        return DbfStreamReader(schema, self._plain())
+        return DbfBatchStreamReader(schema, self._plain())
 
     def writer(self, schema: T.StructType, overwrite: bool) -> DbfWriter:
         return DbfWriter(self._plain())
