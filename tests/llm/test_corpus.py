@@ -84,6 +84,23 @@ def test_secrets_odd(odd, nothing):
     assert secrets.redact(odd).columns == odd.columns
 
 
+def test_secrets_do_not_confirm_themselves(spark):
+    token, url = "Ab3dEf6hIj9lMn2pQr5t", "https://example.com/Docs/Guide2024Intro"
+    wanted = {
+        f"user_id: {token}": "", f"Login: {url}": "", url: "", f"user_id: {token} https://example.com/": "", f"Login: {url} and https://example.org/": "",
+        f"user_id: {token} account_id: 12345": "", f"user_id: {token}\nXy3dEf6hIj9lMn2pQr5t": "identity:0:29,mixed:30:50",
+        f"Login: bob {url}": "identity:0:10,mixed:27:50",  # two strings; the endpoint has no secret but its own
+        f"https://example.com/?client_id=shop&sig={token}": "identity:21:35,mixed:40:60",
+        f"{token} client_id: shop ftp://a.example/": "mixed:0:20,identity:21:36,endpoint:37:53",
+        f"client_id: shop {'.' * 200} ftp://a.example/ {'.' * 200} {token}": "endpoint:217:233", f"client_id: shop {'.' * 300} {token}": "",
+    }
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(wanted)], "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"] for r in secrets.find(docs).collect()}
+    assert [found[i] for i in range(len(wanted))] == list(wanted.values())
+    masked = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+    assert masked[0] == f"user_id: {token}" and masked[1] == f"Login: {url}"
+
+
 def test_pieces_equal_the_library(odd, nothing):
     library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
     for size in (pieces.CHUNK, 50):

@@ -5,9 +5,13 @@ weak part (an account name, a mixed token, a URL) means nothing. Within a scope
 (a block of text between blank lines) parts that stand at most ``REACH`` code
 points apart are joined, and a weak part is reported only when its complement
 is there: an identifier beside a secret, a secret beside an identifier, an
-endpoint beside both. The interval join is two ordered windows over the parts
-of a scope, which find the nearest part of each class before and after; no pairs
-are made.
+endpoint beside both. One string is not its own complement: only parts that do
+not overlap confirm each other, the identifier and the secret beside an endpoint
+do not overlap either, a token that is the value of an identifier is no secret,
+and an identifier whose value runs into an endpoint ends where that ends. The
+interval join is two range frames over the starts and ends of a scope's parts in
+one order, one over the ends before a start and one over the starts after an end;
+no pairs are made.
 
 Defined results: a null or empty text has no spans; equal rows give equal
 results, one per row; a null id is an id of its own. Weak parts that overlap a
@@ -39,7 +43,7 @@ KINDS = ("assign", "access", "hex", "identity", "mixed", "short", "endpoint")  #
 IDENTIFIER, SECRET, PLACE = 0, 1, 2
 CLASS = (SECRET, IDENTIFIER, SECRET, IDENTIFIER, SECRET, SECRET, PLACE)
 SPAN = "struct<start: int, kind: int, end: int>"
-PART = "struct<start: int, kind: int, end: int, scope: int, class: int>"
+PART = "struct<start: int, kind: int, end: int, scope: int, class: int, reached: int>"
 
 
 def parts(text: str) -> tuple[list, list]:
@@ -60,18 +64,24 @@ def parts(text: str) -> tuple[list, list]:
     places = [(m.start(), 6, m.end()) for m in ENDPOINT.finditer(text)] if any(k in text for k in ENDPOINT_KEYS) else []
     weak += identities
     if identities or places or any(k == 1 for _, k, _ in base):  # without an identifier or endpoint no mixed token can be confirmed
-        weak += [(m.start(), 4, m.end()) for m in MIXED.finditer(text) if mixed(m[0])]
+        weak += unlabelled([(m.start(), 4, m.end()) for m in MIXED.finditer(text) if mixed(m[0])], identities)
     weak += places
     base.sort()
     weak = outside(sorted(weak), base)
     if not weak:
         return base, []
     breaks = [m.start() for m in BLANK.finditer(text)]
-    scope, rows = 0, []
+    scope, place, rows = 0, 0, []
     for start, kind, end in sorted(base + weak):
         while scope < len(breaks) and breaks[scope] < start:
             scope += 1
-        rows.append((start, kind, end, scope, CLASS[kind]))
+        reached = end
+        if kind == 3:  # the value of an identifier may be an endpoint
+            while place < len(places) and places[place][0] < start:
+                place += 1
+            if place < len(places) and places[place][0] < end:
+                reached = max(end, places[place][2])
+        rows.append((start, kind, end, scope, CLASS[kind], reached))
     return base, rows
 
 
@@ -80,6 +90,17 @@ def mixed(token: str) -> bool:
     return any(c.isdigit() for c in token) and any(c.isupper() for c in token) and any(c.islower() for c in token)
 
 
+def unlabelled(tokens: list, identities: list) -> list:
+    """Those of the sorted ``tokens`` that do not start inside an identifier, as its value does."""
+    kept, at = [], 0
+    for token in tokens:
+        while at < len(identities) and identities[at][2] <= token[0]:
+            at += 1
+        if at == len(identities) or identities[at][0] > token[0]:
+            kept.append(token)
+    return kept
+
+
 def outside(spans: list, taken: list) -> list:
     """Those of the sorted ``spans`` that overlap none of ``taken``."""
     edges: list[list[int]] = []
@@ -115,20 +136,40 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", reach: int
     read = docs.select(F.col(doc_id), F.xxhash64(F.col(text)).alias("text_key"), extract(F.col(text)).alias("_x"))
     rows = read.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), F.first("_x").alias("_x"))
     flat = rows.select(*keys, "_rows", F.col("_x.base").alias("base"), F.explode_outer("_x.parts").alias("_p")).select(*keys, "_rows", "base", "_p.*")
-    before = Window.partitionBy(*keys, "scope").orderBy("start", "end", "kind").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy(*keys, "scope").orderBy(F.desc("start"), F.desc("end"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)
-
-    def near(which: int) -> Column:
-        last = F.max(F.when(F.col("class") == which, F.col("end"))).over(before)
-        following = F.min(F.when(F.col("class") == which, F.col("start"))).over(after)
-        return F.coalesce(F.col("start") - last <= reach, F.lit(False)) | F.coalesce(following - F.col("end") <= reach, F.lit(False))
-
-    beside = flat.select("*", near(IDENTIFIER).alias("_id"), near(SECRET).alias("_secret"))
+    edge = lambda at, is_end: F.struct(F.col(at).alias("at"), F.lit(is_end).alias("is_end"))
+    edges = flat.withColumn("_e", F.explode(F.array(edge("start", False), edge("reached", True)))).select("*", "_e.*").drop("_e")
+    edges = edges.withColumn("base", F.when(~F.col("is_end"), F.col("base")))
+    ordered = Window.partitionBy(*keys, "scope").orderBy("at")
+    frames = {"before": (ordered.rangeBetween(-reach, 0), F.col("is_end")), "after": (ordered.rangeBetween(0, reach), ~F.col("is_end"))}
+
+    def near(side: str, which: int) -> Column:
+        """First end and last start of the parts of a class on one side, null without any."""
+        frame, counted = frames[side]
+        of_class = counted & (F.col("class") == which)
+        return F.struct(F.min(F.when(of_class, F.col("reached"))).over(frame).alias("end"), F.max(F.when(of_class, F.col("start"))).over(frame).alias("start"))
+
+    def seen(side: str) -> list[Column]:
+        """What a part has on one side: an identifier, a secret, and both without an overlap."""
+        name, secret = F.col(f"_{side}_id"), F.col(f"_{side}_secret")
+        # an edge looks back from a start and ahead from an end
+        mine = F.col("is_end") if side == "after" else ~F.col("is_end")
+        apart = (name["end"] <= secret["start"]) | (secret["end"] <= name["start"])
+        flags = {"id": name["end"].isNotNull(), "secret": secret["end"].isNotNull(), "both": apart}
+        return [F.max(F.coalesce(mine & f, F.lit(False))).alias(f"{side}_{n}") for n, f in flags.items()]
+
+    looked = edges.select("*", *[near(s, c).alias(f"_{s}_{n}") for s in frames for n, c in (("id", IDENTIFIER), ("secret", SECRET))])
+    beside = looked.groupBy(*keys, "scope", "start", "kind", "end", "class").agg(
+        F.first("_rows").alias("_rows"), F.first("base", ignorenulls=True).alias("base"), *seen("before"), *seen("after"),
+    ).select(
+        *keys, "_rows", "base", "start", "kind", "end", "class",
+        (F.col("before_id") | F.col("after_id")).alias("_id"), (F.col("before_secret") | F.col("after_secret")).alias("_secret"),
+        (F.col("before_both") | F.col("after_both") | (F.col("before_id") & F.col("after_secret")) | (F.col("before_secret") & F.col("after_id"))).alias("_both"),
+    )
     linked = (
         F.when(F.col("kind") < 3, False)
         .when(F.col("class") == IDENTIFIER, F.col("_secret"))
         .when(F.col("class") == SECRET, F.col("_id"))
-        .otherwise(F.col("_id") & F.col("_secret"))
+        .otherwise(F.col("_both"))
     )
     found = beside.groupBy(*keys).agg(
         F.first("_rows").alias("_rows"), F.first("base").alias("base"),
