@@ -170,6 +170,37 @@ def test_decontamination(spark, odd, nothing, texts):
     assert decontaminate.remove(odd, items.limit(0)).count() == len(ODD) and decontaminate.find(nothing, items).count() == 0
 
 
+def test_longest_match_of_each_document(spark):
+    """Documents of one shard with matches of several lengths, in two partitionings and block sizes."""
+    rng = np.random.default_rng(9)
+    items = {str(i): [f"w{k}" for k in rng.integers(0, 6, n)] for i, n in enumerate((40, 25, 10, 4, 1))}
+    items |= {"a": [f"v{k}" for k in range(30)], "b": [f"v{k}" for k in range(30)]}
+    texts = {0: items["a"][:10], 1: items["a"][3:15], 2: items["a"], 3: [*items["0"][5:19], "x", *items["1"][2:16]], 4: items["a"][:9], 5: []}
+    for i in range(6, 60):
+        parts = [items[k][s:s + n] for k, s, n in zip(rng.choice(list(items), 3), rng.integers(0, 15, 3), rng.integers(5, 25, 3))]
+        texts[i] = [w for p in parts for w in [*p, *(["x"] if rng.random() < 0.5 else [])]]
+
+    def longest(words):
+        best = (0, None, None)
+        for name, item in items.items():
+            for s in range(len(item)):
+                for at in range(len(words)):
+                    n = 0
+                    while s + n < len(item) and at + n < len(words) and item[s + n] == words[at + n]:
+                        n += 1
+                    if n >= min(10, len(item)):
+                        best = min(best, (-n, at, name))
+        return -best[0], best[2], best[1]
+
+    benchmark = spark.createDataFrame([(k, " ".join(v)) for k, v in items.items()], "item_id string, text string")
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    for parts, size in ((1, decontaminate.BLOCK_WORDS), (7, 20)):
+        rows = {r["doc_id"]: r for r in decontaminate.find(docs.coalesce(1).repartition(parts), benchmark, block_words=size).collect()}
+        for i, w in texts.items():
+            assert (rows[i]["longest_match"], rows[i]["longest_item"], rows[i]["longest_at"]) == longest(w), i
+    assert [rows[i]["longest_match"] for i in range(6)] == [10, 12, 30, 14, 0, 0]
+
+
 def test_suffix_array_sorts():
     rng = np.random.default_rng(5)
     text = rng.integers(0, 4, 300).astype(np.int32)

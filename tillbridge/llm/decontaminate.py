@@ -4,8 +4,10 @@ The documents are dealt into shards (batches of a partition). A shard's suffix
 array sorts the places of its text by the words that follow. Every suffix of
 every benchmark item is binary-searched in it, all at once and word by word:
 the interval of places that share its first k words shrinks as k grows, until it
-is empty. The last interval is the longest verbatim match with its locations;
-the interval at the window length gives all places where that window occurs.
+is empty or as long as a window: that interval gives all places where the window
+occurs. Hits of consecutive windows of an item at consecutive places are one
+verbatim match, so each document gets its own longest matches with their
+locations, whatever else the shard holds.
 
 Only stretches of words that benchmark texts use, as long as the shortest
 window, are indexed: no window can match elsewhere, so nothing is lost.
@@ -54,6 +56,7 @@ class Queries:
     limits: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # words to the end of the item
     windows: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # window length, 0 where none starts
     owners: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    ranks: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # of items, by their ids as text
     least: int = WINDOW
 
 
@@ -73,6 +76,8 @@ def compile_queries(rows: list[tuple[object, list[bytes]]], window: int = WINDOW
         q.items.append(str(item_id))
     q.text = np.array([*text, 0], np.int32)
     q.starts, q.limits, q.windows, q.owners = (np.array(x, np.int64) for x in (starts, limits, windows, owners))
+    by_name = {name: k for k, name in enumerate(sorted(set(q.items)))}
+    q.ranks = np.array([by_name[name] for name in q.items], np.int64)
     q.least = min((w for w in windows if w), default=window)
     return q
 
@@ -123,8 +128,8 @@ def stretches(ids: np.ndarray, least: int) -> np.ndarray:
     return np.cumsum(delta[:-1]) > 0
 
 
-def search(q: Queries, ids: np.ndarray) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
-    """Matches in a shard: ("window", suffixes, places), then ("longest", (length, item), places) of the longest of each suffix.
+def search(q: Queries, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Window hits in a shard: (suffixes, places), all of one item together.
 
     ``ids`` are word numbers (0: no benchmark word, or the end of a document);
     places are positions in ``ids``.
@@ -137,11 +142,11 @@ def search(q: Queries, ids: np.ndarray) -> Iterator[tuple[str, np.ndarray, np.nd
     text = np.insert(ids[where], gap, 0)  # an end between stretches
     place = np.insert(where, gap, -1)
     text, place = np.append(text, 0), np.append(place, -1)
-    order = suffix_array(text, int(q.limits.max()))
-    padded = np.append(text, np.zeros(int(q.limits.max()) + 1, text.dtype))
-    alive = np.arange(len(q.starts))
-    low, high = np.zeros(len(alive), np.int64), np.full(len(alive), len(order), np.int64)
-    longest = np.zeros(len(alive), np.int64)
+    deepest = int(q.windows.max())
+    order = suffix_array(text, deepest)
+    padded = np.append(text, np.zeros(deepest + 1, text.dtype))
+    alive = np.flatnonzero(q.windows > 0)
+    low, high = np.zeros(len(q.starts), np.int64), np.full(len(q.starts), len(order), np.int64)
     depth = 0
     while len(alive):
         wanted = q.text[q.starts[alive] + depth]
@@ -151,14 +156,20 @@ def search(q: Queries, ids: np.ndarray) -> Iterator[tuple[str, np.ndarray, np.nd
         alive, new_low, new_high = alive[found], new_low[found], new_high[found]
         low[alive], high[alive] = new_low, new_high
         depth += 1
-        longest[alive] = depth
         full = alive[q.windows[alive] == depth]
         if len(full):
-            yield "window", np.repeat(full, high[full] - low[full]), place[order[_spread(low[full], high[full])]]
-        alive = alive[q.limits[alive] > depth]
-    done = np.flatnonzero(longest >= np.where(q.windows > 0, q.windows, q.least))
-    size = high[done] - low[done]
-    yield "longest", np.repeat(np.stack([longest[done], q.owners[done]]), size, axis=1), place[order[_spread(low[done], high[done])]]
+            yield np.repeat(full, high[full] - low[full]), place[order[_spread(low[full], high[full])]]
+        alive = alive[q.windows[alive] > depth]
+
+
+def matches(q: Queries, suffixes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(length, item, place) of the verbatim matches that window hits make up: runs of hits that move on by a word together."""
+    along = np.lexsort((places, places - suffixes))
+    suffix, at, owner = suffixes[along], places[along], q.owners[suffixes[along]]
+    fresh = (np.diff(suffix) != 1) | (np.diff(at) != 1) | (np.diff(owner) != 0)
+    start = np.flatnonzero(np.concatenate([[True], fresh]))
+    length = np.diff(np.append(start, len(at))) - 1 + q.windows[suffix[start]]
+    return length, owner[start], at[start]
 
 
 def _spread(low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -188,34 +199,32 @@ def judge_shard(queries: list[Queries], documents: list[list[bytes]]) -> list[tu
     total = int((sizes + 1).sum())
     cover = np.zeros(total + 1, np.int64)
     items: list[set[str]] = [set() for _ in documents]
-    best: list[tuple[int, str | None, int | None]] = [(0, None, None)] * len(documents)
+    best: list[tuple] = [(0,)] * len(documents)  # minus the length, first word, item
     for q in queries:
         get = q.vocabulary.get
         ids = np.zeros(total, np.int32)
         for at, parts in zip(first, documents):
             ids[at:at + len(parts)] = [get(w, 0) for w in parts]
-        for kind, a, b in search(q, ids):
-            if kind == "window":
-                np.add.at(cover, b, 1)
-                np.add.at(cover, b + q.windows[a], -1)
-                owner = np.searchsorted(first, b, side="right") - 1
-                for d, item in np.unique(np.stack([owner, q.owners[a]], axis=1), axis=0):
-                    items[d].add(q.items[item])
-            else:
-                owner = np.searchsorted(first, b, side="right") - 1
-                longest_last = np.lexsort((-b, a[0], owner))
-                ends = np.flatnonzero(np.diff(np.append(owner[longest_last], -1)))
-                for k in longest_last[ends] if len(owner) else ():
-                    d = int(owner[k])
-                    if a[0][k] > best[d][0]:
-                        best[d] = (int(a[0][k]), q.items[a[1][k]], int(b[k] - first[d]))
+        for a, b in search(q, ids):
+            np.add.at(cover, b, 1)
+            np.add.at(cover, b + q.windows[a], -1)
+            owner = np.searchsorted(first, b, side="right") - 1
+            for d, item in np.unique(np.stack([owner, q.owners[a]], axis=1), axis=0):
+                items[d].add(q.items[item])
+            length, item, at = matches(q, a, b)
+            owner = np.searchsorted(first, at, side="right") - 1
+            longest_first = np.lexsort((q.ranks[item], at, -length, owner))
+            begins = np.flatnonzero(np.diff(owner[longest_first], prepend=-1))
+            for k in longest_first[begins]:
+                d = int(owner[k])
+                best[d] = min(best[d], (-int(length[k]), int(at[k] - first[d]), q.items[item[k]]))
     hit = np.cumsum(cover[:-1]) > 0
     sums = np.concatenate([[0], np.cumsum(hit)])
     out = []
     for d, (at, n) in enumerate(zip(first, sizes)):
         n_hit = int(sums[at + n] - sums[at])
         digest = hashlib.sha256(",".join(sorted(items[d])).encode()).hexdigest()
-        out.append((int(n), n_hit, len(items[d]), digest, n_hit > 0, *best[d]))
+        out.append((int(n), n_hit, len(items[d]), digest, n_hit > 0, *((-best[d][0], best[d][2], best[d][1]) if n_hit else (0, None, None))))
     return out
 
 
@@ -224,7 +233,10 @@ FIELDS = "n_words long, n_hit long, n_items long, items_sha256 string, contamina
 
 
 def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``docs`` with n_words, n_hit, n_items, items_sha256, contaminated, and, where some benchmark suffix has its longest match of the shard in the document, the length, item and first word of the longest.
+    """``docs`` with n_words, n_hit, n_items, items_sha256, contaminated, and the length, item and first word of its longest verbatim match.
+
+    A match has a window of its item at least. Of equally long ones the first in the
+    document counts, then the smallest item id as text; without a hit they are 0 and null.
 
     No shuffle: each shard is searched where it was read. Extra columns stay, but
     for those with the names of the results.
