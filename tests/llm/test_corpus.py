@@ -298,6 +298,15 @@ def test_near_duplicates(spark, odd, nothing, texts):
     assert dedup.group_documents(nothing).count() == 0 and dedup.keep_one(odd).columns == odd.columns
 
 
+def test_one_row_of_each_group_stays_without_unique_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(60)) for x in "abcd")
+    rows = [(None, a), (None, a + " more"), (None, a), (None, b), (None, b), (7, c), (7, c + " more"), (7, c), (8, c), (None, c), (7, d), (7, d), (9, d), (None, None), (None, None), (3, " "), (3, " ")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, n long").repartition(3)
+    found = [(r["doc_id"], (r["text"] or " ")[0]) for r in dedup.keep_one(docs).collect()]
+    assert Counter(found) == Counter({(None, "a"): 1, (None, "b"): 1, (7, "c"): 1, (7, "d"): 1, (None, " "): 2, (3, " "): 2})
+    assert dedup.keep_one(docs).columns == docs.columns
+
+
 def test_near_duplicates_in_one_large_group(spark, monkeypatch):
     """A group of edited copies with outliers, in blocks much smaller than the group."""
     monkeypatch.setattr(dedup, "OUTER", 8)

@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillbridge.llm.common import bound_batches
@@ -254,8 +254,8 @@ def _by_block(rows: DataFrame) -> DataFrame:
     return rows.repartition(*BLOCK).sortWithinPartitions(*BLOCK)
 
 
-def group_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of ``docs``: doc_id, text_key, n_shingles, component_id and kept."""
+def _grouped(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Signed rows with their numbers, and (set_high, set_low, component, component_id) of each class of equal sets."""
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("text_key", F.xxhash64("text"))
     signed = materialize(rows.mapInPandas(_sign, SIGNED).withColumn("row", F.monotonically_increasing_id()), "signatures")
@@ -278,8 +278,14 @@ def group_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     named = _label(classes, final)
     smallest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     # one row per class; a class of many copies is the hot side, split by adaptive execution
-    of_class = materialize(named.join(smallest, "component").select("set_high", "set_low", "component_id"), "class-components")
-    linked = filled.join(of_class, ["set_high", "set_low"]).select("doc_id", "text_key", "n_shingles", "component_id")
+    of_class = materialize(named.join(smallest, "component").select("set_high", "set_low", "component", "component_id"), "class-components")
+    return signed, of_class
+
+
+def group_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row of ``docs``: doc_id, text_key, n_shingles, component_id and kept."""
+    signed, of_class = _grouped(docs, doc_id, text)
+    linked = signed.where("n_shingles > 0").join(of_class, ["set_high", "set_low"]).select("doc_id", "text_key", "n_shingles", "component_id")
     alone = signed.where("n_shingles = 0").select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
@@ -318,6 +324,29 @@ def _confirm_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the near copies: of each component the document with the smallest id stays."""
-    chosen = group_documents(docs, doc_id, text).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    return docs.join(chosen, docs[doc_id].eqNullSafe(chosen["_id"]) & (F.xxhash64(docs[text]) == chosen["_key"]), "left_semi")
+    """``docs`` without the near copies: of each component one row stays, with the smallest id (null last), then the first stored.
+
+    Rows without a set all stay. Rows that repeat the id and text of the one that
+    stays are reduced to one apart from the others; there are none in a table with unique ids.
+    """
+    signed, of_class = _grouped(docs, doc_id, text)
+    filled = signed.where("n_shingles > 0")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row", "text_key")
+    of_each = filled.groupBy("set_high", "set_low").agg(F.min(order).alias("first"))
+    chosen = of_each.join(of_class, ["set_high", "set_low"]).groupBy("component").agg(F.min("first").alias("first")).select("first.doc_id", "first.text_key")
+    copies = filled.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "n")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))
+    marked = materialize(chosen.join(copies, same).select("_id", "_key", (F.col("n") > 1).alias("repeated")), "chosen")
+    alone = signed.where("n_shingles = 0").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+
+    def of(wanted: DataFrame) -> Column:
+        return docs[doc_id].eqNullSafe(wanted["_id"]) & (F.xxhash64(docs[text]) == wanted["_key"])
+
+    whole = marked.where("NOT repeated").select("_id", "_key").unionByName(alone)
+    kept = docs.join(whole, of(whole), "left_semi")
+    repeated = marked.where("repeated").select("_id", "_key")
+    if repeated.isEmpty():
+        return kept
+    rows = docs.join(repeated, of(repeated)).select("_id", "_key", F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
+    one = rows.groupBy("_id", "_key").agg(F.first("_row").alias("_row"))  # combined before the shuffle
+    return kept.unionByName(one.select("_row.*"))
