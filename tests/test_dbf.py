@@ -28,6 +28,12 @@ def test_lenient_read_skips_deleted_and_keeps_bad_text(spark, tmp_path):
     assert got == sorted([("A", "1.50", None, True, None, "2024-02-29", 0), ("é", None, "x?", None, "Z", "2024", 2)], key=str)
 
 
+def test_default_read_keeps_text_the_type_does_not_hold(spark, tmp_path):
+    write(tmp_path / "Item.DBF", [record("A", "12.345"), record("B", "1.50")])
+    got = rows(dbf.read_dbf(spark, str(tmp_path)).select("SKU", F.col("QTY").cast("string"), "_raw_QTY"))
+    assert got == [("A", "12.34", "12.345"), ("B", "1.50", None)]
+
+
 def test_splits_cover_every_record_once(spark, tmp_path):
     write(tmp_path / "a.dbf", [record(f"S{i}", i) for i in range(95)])
     df = dbf.read_dbf(spark, str(tmp_path), splitRecords="10")

@@ -64,3 +64,20 @@ def test_money_beyond_ten_decimals_rounds_exactly(spark):
     given = ["1.005", "1.00500000000001", "1.0050000000000", "1.015", "2.5", "abc", ""]
     df = spark.createDataFrame([(i, x) for i, x in enumerate(given)], "i int, x string").select("i", money_text(F.col("x")).alias("m"))
     assert [r["m"] for r in df.orderBy("i").collect()] == ["1.00", "1.01", "1.00", "1.02", "2.50", "abc", None]
+
+
+def test_all_money_readers_round_exactly(spark):
+    from tillbridge.functions import money
+    from tillbridge.operators import orders, prices
+
+    given = ["1.00500000000001", "1.0050000000000", "-1.00500000000001", "7", "abc"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(given)], "i int, x string")
+    taxed = orders.line_tax(F.from_json(F.concat(F.lit('[{"price":"'), "x", F.lit('"}]')), "array<struct<price:string,price_set:struct<shop_money:struct<amount:string>>>>"))
+    got = df.select("i", money.nonzero_money_text(F.col("x")).alias("m"), taxed[0].cast("string").alias("tax"), money.stock_quantity(money.decimal_or_none(F.lit("0.99999999999999"))).alias("q"))
+    rows = got.orderBy("i").collect()
+    assert [r["m"] for r in rows] == ["1.01", "1.00", "-1.01", "7.00", None]
+    assert [r["tax"] for r in rows] == ["1.01", "1.00", "-1.01", "7.00", "0.00"] and {r["q"] for r in rows} == {0}
+    snapshot = prices.price_snapshot(df.selectExpr("cast(i as string) as SKU", "x as PRICE", "i as n"), ["n"])
+    assert {r["sku"]: r["price"] for r in snapshot.collect()} == {"0": "1.01", "1": "1.00", "3": "7.00"}
+    fitted = orders.fit_fixed_width(df.selectExpr("x as AMT"), [("AMT", "N", 8, 2)]).collect()
+    assert sorted(str(r["AMT"]) for r in fitted) == ["-1.01", "1.00", "1.01", "7.00", "None"]

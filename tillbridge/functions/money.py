@@ -10,7 +10,7 @@ MONEY = "decimal(18,2)"
 
 
 def decimal_or_none(value: Column) -> Column:
-    return value.try_cast(EXACT)
+    return text_decimal(value.cast("string"))
 
 
 def text_decimal(text: Column) -> Column:

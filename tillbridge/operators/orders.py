@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillbridge.functions.money import EXACT, money_text, till_money
+from tillbridge.functions.money import EXACT, money_text, text_decimal, till_money
 from tillbridge.functions.text import has_unencodable, to_cp1252
 from tillbridge.operators.ordering import number_within
 from tillbridge.session import materialize
@@ -140,10 +140,12 @@ def order_headers(changes: DataFrame, synced_at: str, *carried: str) -> DataFram
 def line_tax(tax_lines: Column) -> tuple[Column, Column]:
     """(sum at two places, coerced): unreadable entries are skipped and flagged."""
     amounts = F.transform(
-        tax_lines, lambda t: F.coalesce(F.nullif(t["price"], F.lit("")), t["price_set"]["shop_money"]["amount"]).try_cast(EXACT)
+        tax_lines, lambda t: text_decimal(F.coalesce(F.nullif(t["price"], F.lit("")), t["price_set"]["shop_money"]["amount"]))
     )
+    narrow = lambda x: x.try_cast("decimal(37,10)")  # noqa: E731  # a sum of two keeps ten decimals; of two EXACT ones it has nine
     total = F.aggregate(
-        F.filter(amounts, lambda a: a.isNotNull()), F.lit(0).cast(EXACT), lambda acc, a: (acc + a).cast(EXACT)
+        F.filter(amounts, lambda a: a.isNotNull()), F.lit(0).cast(EXACT),
+        lambda acc, a: F.coalesce((narrow(acc) + narrow(a)).cast(EXACT), (acc + a).cast(EXACT)),
     )
     total = F.coalesce(total, F.lit(0).cast(EXACT))
     bad = F.coalesce(F.exists(amounts, lambda a: a.isNull()), F.lit(False))
@@ -386,7 +388,7 @@ def fit_fixed_width(df: DataFrame, layout: Sequence[tuple[str, str, int, int]])
             moved = has_unencodable(text) | (F.length(text) > width)
         elif kind == "N":
             text = F.nullif(value.cast("string"), F.lit(""))
-            number = text.try_cast(EXACT)
+            number = text_decimal(text)
             rounded = F.bround(number, decimals)
             fitted = rounded.cast(f"decimal(38,{decimals})").cast("string")
             moved = text.isNotNull() & (number.isNull() | (rounded != number))

@@ -34,6 +34,7 @@ SELECT 'P' || p_partkey AS sku, CASE WHEN p_partkey % 5 <> 0 THEN p_name END AS
 
 
 def named(rows: DataFrame) -> DataFrame:
+    rows = rows.drop(*[c for c in rows.columns if c.startswith("_raw_")])  # all null: the files are fitted
     return rows.withColumnsRenamed({"SKU": "sku", "DESC": "descr", "PRICE": "price", "QTY": "qty", "SELLWEB": "sellweb", "LAST_ACT": "last_act"}).drop("_rec_no", "_file", "_reset")
 
 

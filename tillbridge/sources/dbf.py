@@ -9,6 +9,10 @@ Options: ``path`` (file or folder), ``table`` (file stem, any case), ``columns``
 ``encoding``, ``mode`` (lenient or strict), ``keepRaw``, ``splitRecords``,
 ``layout`` (``NAME:TYPE:WIDTH[:DECIMALS];...``; required to write, checked by
 strict reads), ``startingRecord`` (stream: ``end`` or a number).
+
+Lenient numbers have the declared scale. Text that this does not hold as it is
+(more decimals, a larger number, no number) is in ``_raw_`` and the field's name:
+by default, but for reads that name their ``columns``, which ask by ``keepRaw``.
 """
 
 from __future__ import annotations
@@ -182,8 +186,8 @@ def spark_type(field: DbfField, strict: bool) -> T.DataType:
 
 def table_schema(fields: Iterable[DbfField], options: dict, stream: bool = False) -> T.StructType:
     strict = options.get("mode", "lenient").lower() == "strict"
-    keep_raw = options.get("keepraw", "false").lower() == "true"
     wanted = [c.strip() for c in options.get("columns", "").split(",") if c.strip()]
+    keep_raw = options.get("keepraw", "false" if wanted else "true").lower() == "true"
     chosen = [f for f in fields if not wanted or f.name in wanted]
     schema = T.StructType([T.StructField(f.name, spark_type(f, strict)) for f in chosen])
     if keep_raw and not strict:
