@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillbridge.llm import chat, decontaminate, dedup, fingerprints, language, licenses, pieces, quality, secrets, warc
+from tillbridge.llm import chat, decontaminate, dedup, fingerprints, language, licenses, pieces, quality, ranking, secrets, warc
+from tillbridge.llm.oracles import SQL  # noqa: F401
 from tillbridge.plans.registry import Tables
 
 
@@ -60,8 +61,12 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", "bits_per_byte")
 
 
+def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    tables = Tables(spark, folder)
+    return ranking.search(tables.documents, tables.benchmark)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_secret_scan, op2_piece_codec, op3_license_scan, op4_decontaminate, op5_chat_format, op6_fingerprints, op7_quality, op8_near_dedup, op9_warc, op10_language)
+    for f in (op1_secret_scan, op2_piece_codec, op3_license_scan, op4_decontaminate, op5_chat_format, op6_fingerprints, op7_quality, op8_near_dedup, op9_warc, op10_language, op12_ranked_search)
 }
-SQL: dict[str, str] = {}
