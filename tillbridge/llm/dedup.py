@@ -124,37 +124,35 @@ def alike(a: bytes, b: bytes) -> bool:
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node of each connected part of ``links`` (a, b).
 
-    Each round every root hooks to its smallest smaller neighbour, hooks are
-    followed to their end by doubling, and the links between roots that
-    remain are far fewer.
+    Each round every node hooks to its smallest smaller neighbour and moves four
+    hooks on; links are renamed after their moved ends. A link to a hook that was
+    not passed stays a link, so nothing has to be followed to its end, and the
+    smallest node of a part never moves. A round stores its moves and its links.
     """
     edges = materialize(links.select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low")).where("high <> low").distinct(), "edges")
     labels = edges.select(F.explode(F.array("high", "low")).alias("node")).distinct().withColumn("component", F.col("node"))
     while not edges.isEmpty():
-        hooks = materialize(edges.groupBy("high").agg(F.min("low").alias("low")), "hooks")
-        while True:
-            further = hooks.select(F.col("high").alias("low"), F.col("low").alias("_end"))
-            joined = materialize(hooks.join(further, "low", "left").select("high", F.coalesce("_end", "low").alias("low"), F.col("_end").isNotNull().alias("moved")), "hooks")
-            if joined.where("moved").isEmpty():
-                break
-            hooks = joined.select("high", "low")
-        to = hooks.select(F.col("high").alias("component"), F.col("low").alias("_root"))
-        labels = materialize(labels.join(to, "component", "left").select("node", F.coalesce("_root", "component").alias("component")), "labels")
-        ends = hooks.select(F.col("high").alias("_node"), F.col("low").alias("_root"))
-        moved = edges.join(ends, edges["high"] == ends["_node"], "left").select(F.coalesce("_root", "high").alias("x"), F.col("low").alias("y"))
-        moved = moved.join(ends, moved["y"] == ends["_node"], "left").select("x", F.coalesce("_root", "y").alias("y")).where("x <> y")
+        moves = edges.groupBy("high").agg(F.min("low").alias("low"))
+        for _ in range(2):  # twice as many hooks each time
+            further = moves.select(F.col("high").alias("low"), F.col("low").alias("_end"))
+            moves = moves.join(further, "low", "left").select("high", F.coalesce("_end", "low").alias("low"))
+        moves = materialize(moves, "moves")
+        named = lambda node: moves.select(F.col("high").alias(node), F.col("low").alias(f"_{node}"))
+        labels = labels.join(named("component"), "component", "left").select("node", F.coalesce("_component", "component").alias("component"))
+        moved = edges.join(named("high"), "high", "left").join(named("low"), "low", "left")
+        moved = moved.select(F.coalesce("_high", "high").alias("x"), F.coalesce("_low", "low").alias("y")).where("x <> y")
         edges = materialize(moved.select(F.greatest("x", "y").alias("high"), F.least("x", "y").alias("low")).distinct(), "edges")
     return labels
 
 
-def _label(members: DataFrame, labels: DataFrame) -> DataFrame:
+def labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     named = labels.withColumnRenamed("component", "_c")
     return members.join(named, "node", "left").withColumn("component", F.coalesce("_c", "node")).drop("_c")
 
 
-def _rest(members: DataFrame, labels: DataFrame) -> DataFrame:
+def unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of unsettled buckets, dealt into blocks: key, outer block, inner block, node, component, outer."""
-    named = _label(members.select("key", "node"), labels)
+    named = labelled(members.select("key", "node"), labels)
     sizes = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     # the largest component of a bucket, ties to the smallest: one long orders both
     largest = sizes.groupBy("key").agg(F.sum("n").alias("rows"), F.max("n").alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
@@ -168,7 +166,7 @@ def _rest(members: DataFrame, labels: DataFrame) -> DataFrame:
     return as_inner.unionByName(as_outer)
 
 
-def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def blocks_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Batches of a partition sorted by block, cut so that each holds whole blocks only."""
     held = None
     for batch in batches:
@@ -182,7 +180,7 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield held
 
 
-def _sides(batch: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def sides(batch: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Row numbers of the outer and the inner side of each block."""
     keys = batch[BLOCK].to_numpy(np.int64)
     starts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(keys)]])
@@ -196,11 +194,11 @@ def _sides(batch: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 def _near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows of a block that have a close one of another component on the other side, by sketch and size."""
-    for batch in _blocks(batches):
+    for batch in blocks_of(batches):
         sketch = np.stack(list(batch["sketch"])).astype(np.int64).view(np.uint64)
         size, component = batch["n_shingles"].to_numpy(np.int64), batch["component"].to_numpy(np.int64)
         keep = np.zeros(len(batch), bool)
-        for xs, y in _sides(batch):
+        for xs, y in sides(batch):
             for x in xs:
                 fits = y[(component[y] != component[x]) & (100 * np.minimum(size[x], size[y]) >= PERCENT * np.maximum(size[x], size[y]))]
                 close = fits[np.bitwise_count(sketch[x] ^ sketch[fits]).sum(axis=1) <= LIMIT]
@@ -211,11 +209,11 @@ def _near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Links of a block: per outer row one confirmed inner row of each other component."""
-    for batch in _blocks(batches):
+    for batch in blocks_of(batches):
         node, component = batch["node"].to_numpy(np.int64), batch["component"].to_numpy(np.int64)
         found = []
-        for x, y in _sides(batch):
-            met = _overlaps([np.frombuffer(batch["shingles"].iat[k], np.uint64) for k in x], [np.frombuffer(batch["shingles"].iat[k], np.uint64) for k in y])
+        for x, y in sides(batch):
+            met = overlaps([np.frombuffer(batch["shingles"].iat[k], np.uint64) for k in x], [np.frombuffer(batch["shingles"].iat[k], np.uint64) for k in y])
             i, j = np.nonzero(met & (component[x][:, None] != component[y][None]))
             links = np.stack([node[x[i]], node[y[j]], component[y[j]]], axis=1)
             first = np.unique(links[:, [0, 2]], axis=0, return_index=True)[1]
@@ -224,7 +222,7 @@ def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
-def _overlaps(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+def overlaps(xs: list[np.ndarray], ys: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
     """Which pairs of sets reach the threshold, from exact counts of common elements."""
     n, m = np.array([len(x) for x in xs]), np.array([len(y) for y in ys])
     x_all, y_all = np.concatenate(xs), np.concatenate(ys)
@@ -239,7 +237,7 @@ def _overlaps(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
             pick = (at >= start) & (at < start + width)
             out[row[pick], at[pick] - start] = 1
         both += a @ b.T
-    return 100 * both >= PERCENT * (n[:, None] + m[None] - both)
+    return 100 * both >= percent * (n[:, None] + m[None] - both)
 
 
 def _placed(common: np.ndarray, values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -269,13 +267,13 @@ def _grouped(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFr
     sets = materialize(_sets(rows, facts), "sets")
     stars = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     first = materialize(_confirm_pairs(_sift(stars, facts), sets), "links")
-    labels = components(first)
-    rest = materialize(_rest(members, labels), "rest")
+    labels = materialize(components(first), "labels")
+    rest = materialize(unsettled(members, labels), "rest")
     near = _by_block(rest.join(facts.select("node", "n_shingles", "sketch"), "node")).mapInPandas(_near, "key long, o int, i int, node long, component long, outer boolean")
     near = materialize(near, "near")
     second = _by_block(near.join(sets, "node")).mapInPandas(_confirm, "a long, b long")
     final = components(first.unionByName(materialize(second, "links")))
-    named = _label(classes, final)
+    named = labelled(classes, final)
     smallest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     # one row per class; a class of many copies is the hot side, split by adaptive execution
     of_class = materialize(named.join(smallest, "component").select("set_high", "set_low", "component", "component_id"), "class-components")

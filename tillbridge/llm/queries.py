@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillbridge.llm import chat, decontaminate, dedup, fingerprints, language, licenses, pieces, quality, ranking, secrets, warc
+from tillbridge.llm import chat, decontaminate, dedup, fingerprints, jaccard_join, language, licenses, pieces, quality, ranking, secrets, warc, ztrie
 from tillbridge.llm.oracles import SQL  # noqa: F401
 from tillbridge.plans.registry import Tables
 
@@ -61,12 +61,21 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", "bits_per_byte")
 
 
+def op11_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.join_documents(Tables(spark, folder).documents)
+
+
 def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
     tables = Tables(spark, folder)
     return ranking.search(tables.documents, tables.benchmark)
 
 
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    turns, ids = ztrie.share_heads(ztrie.number_turns(Tables(spark, folder).conversations))
+    return ztrie.build(turns, ids)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_secret_scan, op2_piece_codec, op3_license_scan, op4_decontaminate, op5_chat_format, op6_fingerprints, op7_quality, op8_near_dedup, op9_warc, op10_language, op12_ranked_search)
+    for f in (op1_secret_scan, op2_piece_codec, op3_license_scan, op4_decontaminate, op5_chat_format, op6_fingerprints, op7_quality, op8_near_dedup, op9_warc, op10_language, op11_jaccard_join, op12_ranked_search, op13_prefix_trie)
 }
