@@ -1,6 +1,6 @@
 """Language identification by prediction by partial matching.
 
-Each language has a byte context tree of up to ``max_order`` bytes. A byte
+Each language has a byte context tree of up to three bytes. A byte
 seen n_s times in a context of n bytes and d distinct ones costs
 -log2(n_s / (n + d)) bits there; an unseen one costs the escape
 -log2(d / (n + d)) and is coded in the next shorter context, down to a
@@ -25,12 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillbridge.llm.common import bound_batches, bounded_share, drawn, fold, per_text, replace_columns
+from tillbridge.session import materialize
 
 ROWS_PER_LANGUAGE = 4000
-MAX_ORDER = 3
 MIN_CONTEXT = 8
 MAX_CONTEXTS = 60_000
 BLOCK = 1 << 16
+NODES = 2048
 LATIN = re.compile("[A-Za-z]")
 UNDETERMINED = "und"
 
@@ -60,12 +61,12 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows_per_language: int = ROWS_PER_LANGUAGE,
-          min_context: int = MIN_CONTEXT, max_contexts: int = MAX_CONTEXTS, seed: int = 10) -> Model:
+          min_context: int | None = MIN_CONTEXT, max_contexts: int | None = MAX_CONTEXTS, seed: int = 10) -> Model:
     """Context trees of all languages of ``docs``, from about ``rows_per_language`` whole texts of each.
 
     Bounded by parameters: the sampled rows of a language, and the contexts
     kept (those seen ``min_context`` times in some language, the most frequent
-    ``max_contexts`` of each order). Rows are drawn by a hash of ``key``.
+    ``max_contexts`` of each order; None keeps all). Rows are drawn by a hash of ``key``.
     """
     known = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -73,33 +74,50 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
         return Model((), np.zeros(256, np.int32), np.zeros(1, np.int32), np.zeros((1, 0), np.float32))
     share = F.create_map(*[F.lit(x) for pair in sorted(bounded_share(counts, rows_per_language).items()) for x in pair])[F.col("lang")]
     sample = known.where(drawn(F.col("key"), share, seed)).select("lang", "text")
-    grams = sample.mapInPandas(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
     languages = tuple(sorted(counts))
-    return build(languages, grams, min_context, max_contexts)
+    stored = materialize(sample.mapInPandas(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")), "windows")
+    pieces = []
+    for k, name in enumerate(languages):  # one language at a time, as numbers only
+        piece = stored.where(F.col("lang") == name).select("code", "n").toPandas()
+        pieces.append((piece["code"].to_numpy(np.uint32), piece["n"].to_numpy(np.int64), np.full(len(piece), k, np.int32)))
+        del piece
+    code, n, which = (np.concatenate([p[i] for p in pieces]) for i in range(3))
+    del pieces
+    return build(languages, code, n, which, min_context, max_contexts)
 
 
-def build(languages: tuple[str, ...], grams: pd.DataFrame, min_context: int, max_contexts: int) -> Model:
-    """Dense cost table of the merged trees, from counts of four-byte windows."""
-    code = grams["code"].to_numpy(np.int64)
-    n = grams["n"].to_numpy(np.float64)
-    which = np.searchsorted(np.array(languages, dtype=object), grams["lang"].to_numpy(object)) if len(grams) else np.zeros(0, np.int64)
-    window = np.stack([(code >> shift) & 255 for shift in (24, 16, 8, 0)])
+def build(languages: tuple[str, ...], code: np.ndarray, n: np.ndarray, which: np.ndarray, min_context: int | None, max_contexts: int | None) -> Model:
+    """Dense cost table of the merged trees, from counts ``n`` of four-byte windows ``code`` in the language numbered ``which``.
+
+    Without ``min_context`` and ``max_contexts`` every context that was seen is a node.
+    """
+    window = np.stack([(code >> np.uint32(shift) & np.uint32(255)).astype(np.uint8) for shift in (24, 16, 8, 0)])
     seen = np.unique(window[3])
     symbols = np.zeros(256, np.int32)
     symbols[seen] = np.arange(1, len(seen) + 1)
     width = len(seen) + 1
-    s = symbols[window].astype(np.int64)
+    s = symbols[window].astype(np.int16)
     s[:3][window[:3] == 0] = 0
+    del window, code
+
+    def packed(order: int) -> np.ndarray:
+        """The last ``order`` bytes before each window's end, as one number."""
+        out = np.zeros(s.shape[1], np.int32)
+        for k in range(1, order + 1):
+            out += s[3 - k].astype(np.int32) * np.int32(width ** (k - 1))
+        return out
+
     nodes: list[dict[int, int]] = [{0: 0}]  # per order: packed context -> node
     parents = [0]
     for order in (1, 2, 3):
-        packed = sum(s[3 - k] * width ** (k - 1) for k in range(1, order + 1))
         full = np.all(s[3 - order:3] > 0, axis=0)
-        keys, inverse = np.unique(packed[full], return_inverse=True)
-        totals = np.zeros((len(keys), len(languages)))
-        np.add.at(totals, (inverse, which[full]), n[full])
-        often = totals.max(axis=1, initial=0)
-        chosen = np.flatnonzero(often >= min_context)
+        keys, inverse = np.unique(packed(order)[full], return_inverse=True)
+        often = np.zeros(len(keys))
+        for lang in range(len(languages)):
+            own = which[full] == lang
+            often = np.maximum(often, np.bincount(inverse[own], n[full][own], len(keys)))
+        del inverse
+        chosen = np.flatnonzero(often >= (min_context or 0))
         chosen = chosen[np.argsort(-often[chosen], kind="stable")[:max_contexts]]
         nodes.append({})
         for k in np.sort(chosen):
@@ -117,17 +135,22 @@ def build(languages: tuple[str, ...], grams: pd.DataFrame, min_context: int, max
     base = np.full((width, len(languages)), 8.0)
     first = 0
     for order in (0, 1, 2, 3):
-        held = np.array([nodes[order].get(int(c), -1) for c in (sum(s[3 - k] * width ** (k - 1) for k in range(1, order + 1)) if order else np.zeros(len(code), np.int64))])
-        here = held >= 0
-        size = len(nodes[order])
-        tally = np.zeros((size, width, len(languages)))
-        np.add.at(tally, (held[here] - first, s[3][here], which[here]), n[here])
-        total, distinct = tally.sum(axis=1, keepdims=True), (tally > 0).sum(axis=1, keepdims=True)
-        shorter = base[None] if order == 0 else costs[np.array(parents[first:first + size], dtype=np.int64)]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            escape = np.where(total > 0, -np.log2(distinct / (total + distinct)), 0.0)
-            own = -np.log2(tally / (total + distinct))
-        costs[first:first + size] = np.where(tally > 0, own, shorter + escape)
+        known = np.array(sorted(nodes[order]), np.int32)  # nodes are numbered in this order
+        size, own = len(known), packed(order)
+        at = np.minimum(np.searchsorted(known, own), max(0, size - 1))
+        held = np.flatnonzero(known[at] == own) if size else np.zeros(0, np.int64)
+        held = held[np.argsort(at[held], kind="stable")]
+        at = at[held]
+        for start in range(0, size, NODES):  # tallies of a few nodes at a time
+            end = min(size, start + NODES)
+            rows = slice(*np.searchsorted(at, [start, end]))
+            tally = np.zeros((end - start, width, len(languages)))
+            np.add.at(tally, (at[rows] - start, s[3][held[rows]], which[held[rows]]), n[held[rows]])
+            total, distinct = tally.sum(axis=1, keepdims=True), (tally > 0).sum(axis=1, keepdims=True)
+            shorter = base[None] if order == 0 else costs[np.array(parents[first + start:first + end], dtype=np.int64)]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                escape = np.where(total > 0, -np.log2(distinct / (total + distinct)), 0.0)
+                costs[first + start:first + end] = np.where(tally > 0, -np.log2(tally / (total + distinct)), shorter + escape)
         first += size
     return Model(languages, symbols, contexts.reshape(-1), costs.reshape(-1, len(languages)))
 
