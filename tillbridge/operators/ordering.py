@@ -39,8 +39,8 @@ def with_block(df: DataFrame, seq: str, block_rows: int = BLOCK_ROWS) -> DataFra
     return df.withColumn("_block", F.floor(F.col(seq) / F.lit(block_rows)))
 
 
-def with_global_index(df: DataFrame, order: Sequence[str], name: str = "_index") -> DataFrame:
-    """0-based position in a total order, without a single-partition window.
+def with_global_index(df: DataFrame, order: Sequence[str], name: str = "_index", keep: Sequence[str | Column] = ("*",)) -> DataFrame:
+    """0-based position in a total order, without a single-partition window; ``keep`` chooses what is stored of each row.
 
     Range partitions are sorted in place, stored once so that positions stay
     put, and shifted by the number of rows in earlier partitions (one row per
@@ -50,7 +50,7 @@ def with_global_index(df: DataFrame, order: Sequence[str], name: str = "_index")
     part = F.spark_partition_id()
     placed = materialize(
         ranged.select(
-            "*",
+            *keep,
             part.alias("_part"),
             (F.monotonically_increasing_id() - F.shiftleft(part.cast("bigint"), 33)).alias("_pos"),
         ),
@@ -105,6 +105,18 @@ def previous_value(
     )
 
 
+def known_before(df: DataFrame, keys: Sequence[str], seq: str, values: dict[str, Column], block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Per row and name, the last value that is not null among earlier arrivals of the key (null if there is none)."""
+    blocked = with_block(df.withColumns({f"_own{n}": c for n, c in values.items()}), seq, block_rows)
+    earlier = Window.partitionBy(*keys, "_block").orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+    local = blocked.withColumns({n: F.last(f"_own{n}", ignorenulls=True).over(earlier) for n in values})
+    tails = blocked.groupBy(*keys, "_block").agg(*[F.max_by(f"_own{n}", F.when(F.col(f"_own{n}").isNotNull(), F.col(seq))).alias(f"_tail{n}") for n in values])
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = tails.select(*keys, "_block", *[F.last(f"_tail{n}", ignorenulls=True).over(before).alias(f"_carry{n}") for n in values])
+    joined = local.join(carried, [*keys, "_block"])
+    return joined.withColumns({n: F.coalesce(n, f"_carry{n}") for n in values}).drop("_block", *[f"{x}{n}" for n in values for x in ("_own", "_carry")])
+
+
 def running_length(
     df: DataFrame, keys: Sequence[str], seq: str, changed: str, name: str, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:

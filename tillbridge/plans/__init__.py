@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("reconcile", "queues", "catalog", "online", "grids", "people", "inbox", "intake", "texts", "live")
+MODULES = ("reconcile", "queues", "catalog", "online", "grids", "people", "inbox", "intake", "texts", "live", "histories")
 
 
 def load_all() -> None:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillbridge.operators import customers, reports
+from tillbridge.operators.parts import cut_parts
 from tillbridge.plans import proxies as p
 from tillbridge.plans.registry import Tables, query
 from tillbridge.session import scratch_path
@@ -246,12 +247,12 @@ def split_csv_by_bytes(t: Tables) -> DataFrame:
     """Whole documents as CSV lines; the parts must fit and keep the order."""
     limit = 100_000
     lines = t.documents.select("doc_id", customers.csv_line(["doc_id", "text"]).alias("line"))
-    parts = customers.split_by_bytes(lines, ["doc_id"], "line", limit)
-    per_part = parts.groupBy("part_range", "part_number").agg(
+    per_part = cut_parts(lines, ["doc_id"], "line", limit).groupBy("part_number").agg(
         F.count(F.lit(1)).alias("n"), F.sum("line_bytes").alias("bytes"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"),
     )
-    per_range = per_part.groupBy("part_range").agg(
-        F.sum("n").alias("rows"), F.sum("bytes").alias("bytes"), F.bool_and((F.col("bytes") <= limit) | (F.col("n") == 1)).alias("fit"),
-        F.max_by("high", "part_number").eqNullSafe(F.max("high")).alias("ordered"),
+    following = per_part.select((F.col("part_number") - 1).alias("part_number"), F.col("low").alias("next_low"))
+    per_part = per_part.join(following, "part_number", "left")
+    return per_part.agg(
+        F.sum("n").alias("rows"), F.sum("bytes").alias("bytes"), F.bool_and((F.col("bytes") <= limit) | (F.col("n") == 1)).alias("parts_fit"),
+        F.bool_and(F.col("next_low").isNull() | (F.col("high") < F.col("next_low"))).alias("order_kept"),
     )
-    return per_range.agg(F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"), F.bool_and("fit").alias("parts_fit"), F.bool_and("ordered").alias("order_kept"))
