@@ -13,9 +13,9 @@
    of its one-element prefix, which hold all sets of a size it can be linked with.
    The boundary is where the sum of both costs, of keys enumerated and of list
    entries read, each counted over all sets by size, is least.
-4. In each bucket every class is paired with the smallest one. Pairs that sizes and
-   parity sketches allow are confirmed on the full sets, and links joined into
-   components. Buckets with several components are split: their members meet
+4. Every class is paired with the smallest one of a bucket: of those that sizes and
+   parity sketches allow, the one with which it shares most keys. Pairs are confirmed
+   on the full sets, made again from their texts, and links joined into components. Buckets with several components are split: their members meet
    again under one more element of the prefix, as long as a bucket is larger than
    ``SPLIT_ROWS`` and up to ``DEPTH`` elements. What is left is compared in blocks: all
    classes outside the bucket's largest component with all others.
@@ -30,7 +30,7 @@ never the smallest; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -51,8 +51,8 @@ BITS = 1024
 KEY_COST, ENTRY_COST = 1.0, 8.0
 BINS_PER_OCTAVE = 4
 SPLIT_ROWS = 256
-SIGNED = "unnamed boolean, doc_id long, n_shingles long, set_high long, set_low long, shingles binary"
-CHOSEN = "node long, n_shingles long, prefix array<long>, sketch array<long>"
+SIGNED = "unnamed boolean, doc_id long, text_key long, n_shingles long, set_high long, set_low long, elements array<long>, counts array<long>"
+CHOSEN = "set_high long, set_low long, n_shingles long, prefix array<long>, sketch array<long>"
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -70,37 +70,53 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(runs)
 
 
+def digest(found: np.ndarray) -> tuple[int, int]:
+    """Two numbers that stand for a whole set."""
+    whole = xxhash.xxh3_128_intdigest(found.tobytes())
+    high, low = np.array([whole >> 64, whole & (2**64 - 1)], np.uint64).view(np.int64)
+    return int(high), int(low)
+
+
+class Frequent:
+    """Counts of the most frequent elements, low by at most all elements / FREQUENT."""
+
+    def __init__(self):
+        self.elements, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def add(self, sets: list[np.ndarray]) -> None:
+        found, n = np.unique(np.concatenate(sets), return_counts=True)
+        both, at = np.unique(np.concatenate([self.elements, found]), return_inverse=True)
+        total = np.bincount(at, np.concatenate([self.counts, n])).astype(np.int64)
+        if len(both) > FREQUENT:
+            total -= np.partition(total, -FREQUENT - 1)[-FREQUENT - 1]
+        self.elements, self.counts = both[total > 0], total[total > 0]
+
+
 def _sign(width: int):
+    """Size and digest of each set, and at the end of a task one row with its frequent elements."""
+    names = [f.split()[0] for f in SIGNED.split(", ")]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frequent = Frequent()
         for batch in batches:
+            if not len(batch):
+                continue
             sets = [shingles(t, width) for t in batch["text"]]
-            whole = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
-            halves = np.array([[w >> 64, w & (2**64 - 1)] for w in whole], np.uint64).reshape(-1, 2).view(np.int64)
-            yield batch[["unnamed", "doc_id"]].assign(**{"n_shingles": [len(s) for s in sets], "set_high": halves[:, 0], "set_low": halves[:, 1], "shingles": [s.tobytes() for s in sets]})
+            frequent.add(sets)
+            halves = np.array([digest(x) for x in sets])
+            signed = batch[["unnamed", "doc_id", "text_key"]].assign(n_shingles=[len(x) for x in sets], set_high=halves[:, 0], set_low=halves[:, 1])
+            yield signed.assign(elements=pd.Series([None] * len(batch), dtype=object, index=batch.index), counts=pd.Series([None] * len(batch), dtype=object, index=batch.index))
+        yield pd.DataFrame([(True, 0, 0, -1, 0, 0, frequent.elements.view(np.int64), frequent.counts)], columns=names)
 
     return run
 
 
-def _summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The most frequent elements of a task with counts that are low by at most its elements / FREQUENT."""
-    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    for batch in batches:
-        if not len(batch):
-            continue
-        found, n = np.unique(np.concatenate([np.frombuffer(s, np.uint64) for s in batch["shingles"]]), return_counts=True)
-        both, at = np.unique(np.concatenate([keys, found]), return_inverse=True)
-        total = np.bincount(at, np.concatenate([counts, n])).astype(np.int64)
-        if len(both) > FREQUENT:
-            total -= np.partition(total, -FREQUENT - 1)[-FREQUENT - 1]
-        keys, counts = both[total > 0], total[total > 0]
-    yield pd.DataFrame({"element": keys.view(np.int64), "n": counts})
-
-
-def frequent_elements(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def frequent_elements(signed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """At most FREQUENT elements with their summed counts, sorted by element."""
-    summed = sets.select("shingles").mapInPandas(_summarise, "element long, n long").groupBy("element").agg(F.sum("n").alias("n"))
-    found = summed.orderBy(F.desc("n"), "element").limit(FREQUENT).toPandas()
-    element = found["element"].to_numpy(np.int64).view(np.uint64)
+    rows = signed.where("n_shingles < 0").select(F.explode(F.arrays_zip("elements", "counts")).alias("x"))
+    summed = rows.groupBy("x.elements").agg(F.sum("x.counts").alias("n"))
+    found = summed.orderBy(F.desc("n"), "elements").limit(FREQUENT).toPandas()
+    element = found["elements"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(element)
     return element[order], found["n"].to_numpy(np.int64)[order]
 
@@ -110,22 +126,24 @@ def spare(n: int, percent: int) -> int:
     return n - -(-percent * n // 100)
 
 
-def _choose(shared, percent: int):
-    """Prefix in the global order, and parity sketch, of each set."""
+def _choose(shared, width: int, percent: int):
+    """Prefix in the global order, and parity sketch, of each set that can have a different partner."""
+    names = [f.split()[0] for f in CHOSEN.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         element, count = shared.value
         for batch in batches:
-            prefix, sketch = [], []
-            for raw in batch["shingles"]:
-                found = np.frombuffer(raw, np.uint64)
-                at = np.minimum(np.searchsorted(element, found), max(0, len(element) - 1))
-                known = np.where(element[at] == found, count[at], 0) if len(element) else np.zeros(len(found), np.int64)
+            rows = []
+            for text in batch["text"]:
+                found = shingles(text, width)
+                if not len(found) or 100 * len(found) < percent * (len(found) + 1):
+                    continue
+                at = np.minimum(np.searchsorted(element, found), len(element) - 1)
+                known = np.where(element[at] == found, count[at], 0)
                 order = np.argsort(known, kind="stable")  # the set is sorted by hash
-                prefix.append(found[order[:spare(len(found), percent) + DEPTH]].view(np.int64))
                 parity = np.bincount((found % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
-                sketch.append(np.packbits(parity.astype(np.uint8)).view(np.int64))
-            yield pd.DataFrame({"node": batch["node"], "n_shingles": batch["n_shingles"], "prefix": prefix, "sketch": sketch})
+                rows.append((*digest(found), len(found), found[order[:spare(len(found), percent) + DEPTH]].view(np.int64), np.packbits(parity.astype(np.uint8)).view(np.int64)))
+            yield pd.DataFrame(rows, columns=names)
 
     return run
 
@@ -196,28 +214,32 @@ def _sift(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
     joined = pairs.join(side("b"), "b").join(side("a"), "a")
     differ = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, v: s + v)
     fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    return joined.where(fits & ((100 + percent) * differ <= (100 - percent) * (F.col("n_a") + F.col("n_b")))).select("a", "b")
+    return joined.where(fits & ((100 + percent) * differ <= (100 - percent) * (F.col("n_a") + F.col("n_b")))).select("a", "b", "keys")
 
 
-def _confirm_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a")
+def _confirm_pairs(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
 
     def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, x = None, np.zeros(0, np.uint64)  # pairs come sorted by their first side
         for batch in batches:
             keep = []
-            for a, b in zip(batch["set_a"], batch["set_b"]):
-                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+            for a, text_a, text_b in zip(batch["a"], batch["text_a"], batch["text_b"]):
+                if a != last:
+                    last, x = a, shingles(text_a, width)
+                y = shingles(text_b, width)
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
             yield batch.loc[keep, ["a", "b"]]
 
-    return both.select("a", "b", "set_a", "set_b").mapInPandas(exact, "a long, b long")
+    return both.select("a", "b", "text_a", "text_b").mapInPandas(exact, "a long, b long")
 
 
-def _stars(members: DataFrame, facts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links of each bucket's members with its smallest one."""
-    pairs = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    return materialize(_confirm_pairs(_sift(pairs, facts, percent), sets, percent), "links")
+def _stars(members: DataFrame, facts: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links of classes with one of the smallest of their buckets."""
+    pairs = members.where("node <> leader").groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("keys"))
+    likely = _sift(pairs, facts, percent).groupBy("b").agg(F.max_by("a", F.struct("keys", -F.col("a"))).alias("a"))
+    return materialize(_confirm_pairs(likely, texts, width, percent), "links")
 
 
 def _near(percent: int):
@@ -240,7 +262,7 @@ def _near(percent: int):
     return run
 
 
-def _confirm(percent: int):
+def _confirm(width: int, percent: int):
     """Links of a block: per outer row one confirmed inner row of each other component."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -248,7 +270,7 @@ def _confirm(percent: int):
             node, component = batch["node"].to_numpy(np.int64), batch["component"].to_numpy(np.int64)
             found = [np.zeros((0, 2), np.int64)]
             for x, y in sides(batch):
-                met = overlaps([np.frombuffer(batch["shingles"].iat[k], np.uint64) for k in x], [np.frombuffer(batch["shingles"].iat[k], np.uint64) for k in y], percent)
+                met = overlaps([shingles(batch["text"].iat[k], width) for k in x], [shingles(batch["text"].iat[k], width) for k in y], percent)
                 i, j = np.nonzero(met & (component[x][:, None] != component[y][None]))
                 links = np.stack([node[x[i]], node[y[j]], component[y[j]]], axis=1)
                 found.append(links[np.unique(links[:, [0, 2]], axis=0, return_index=True)[1], :2])
@@ -266,16 +288,14 @@ def deeper(members: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
     return after.select(F.xxhash64("key", "x").alias("key"), "node", level.alias("level"), (F.col("last") + F.col("j") + 1).alias("last"))
 
 
-def link_classes(chosen: DataFrame, sets: DataFrame, percent: int, boundary: int | None = None, split_rows: int = SPLIT_ROWS) -> DataFrame:
-    """(node, component) of the classes that are linked with another one."""
+def link_classes(chosen: DataFrame, texts_of: Callable[[DataFrame], DataFrame], width: int, percent: int, boundary: int | None = None, split_rows: int = SPLIT_ROWS) -> DataFrame:
+    """(node, component) of the classes that are linked with another one; ``texts_of`` gives (node, text) of some nodes."""
     member = ["key", "node", "level", "last"]
-    # a set too small to have a different partner is left out
-    entries, _ = buckets(chosen.where(100 * F.col("n_shingles") >= percent * (F.col("n_shingles") + 1)), percent, boundary)
+    entries, _ = buckets(chosen, percent, boundary)
     members = materialize(_shared_keys(entries), "members")
-    involved = members.select("node").distinct()
-    facts = materialize(chosen.join(involved, "node", "left_semi"), "facts")
-    sets = materialize(sets.join(involved, "node", "left_semi"), "sets")
-    links = _stars(members, facts, sets, percent)
+    facts = materialize(chosen.join(members.select("node").distinct(), "node", "left_semi"), "facts")
+    texts = materialize(texts_of(facts.select("node")), "texts")
+    links = _stars(members, facts, texts, width, percent)
     labels = materialize(components(links), "labels")
     for _ in range(DEPTH - 1):
         mixed = labelled(members.select(*member), labels)
@@ -285,7 +305,7 @@ def link_classes(chosen: DataFrame, sets: DataFrame, percent: int, boundary: int
         if members.where(large).isEmpty():
             break
         split = materialize(_shared_keys(deeper(members.where(large), facts, percent)), "split")
-        links = links.unionByName(_stars(split, facts, sets, percent))
+        links = links.unionByName(_stars(split, facts, texts, width, percent))
         labels = materialize(components(links), "labels")
         # sets that need not share one more element with each other stay as well
         few = facts.where(shared_at_least(percent) < DEPTH).select("node", shared_at_least(percent).alias("needed"))
@@ -294,7 +314,7 @@ def link_classes(chosen: DataFrame, sets: DataFrame, percent: int, boundary: int
     rest = unsettled(members.select("key", "node"), labels)
     by_block = lambda rows: rows.repartition(*BLOCK).sortWithinPartitions(*BLOCK)
     near = by_block(rest.join(facts.select("node", "n_shingles", "sketch"), "node")).mapInPandas(_near(percent), "key long, o int, i int, node long, component long, outer boolean")
-    last = by_block(materialize(near, "near").join(sets, "node")).mapInPandas(_confirm(percent), "a long, b long")
+    last = by_block(materialize(near, "near").join(texts, "node")).mapInPandas(_confirm(width, percent), "a long, b long")
     return components(links.unionByName(materialize(last, "links")))
 
 
@@ -304,20 +324,26 @@ def join_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     bound_batches(spark)
     number = F.col(doc_id).cast("long")
-    rows = docs.select(number.isNull().alias("unnamed"), F.coalesce(number, F.lit(0)).alias("doc_id"), F.col(text).alias("text"))
-    named_again = F.when(~F.col("unnamed"), F.col("doc_id")).alias("doc_id")
-    signed = rows.mapInPandas(_sign(width), SIGNED).select(F.monotonically_increasing_id().alias("row"), named_again, "n_shingles", "set_high", "set_low", "shingles")
-    signed = materialize(signed, "sets")
-    filled = signed.where("n_shingles > 0")
-    classes = materialize(filled.groupBy("set_high", "set_low").agg(F.min("row").alias("node"), F.min("doc_id").alias("first_id")), "classes")
-    sets = filled.join(classes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "n_shingles", "shingles")
-    shared = spark.sparkContext.broadcast(frequent_elements(sets))
-    chosen = materialize(sets.mapInPandas(_choose(shared, percent), CHOSEN), "prefixes")
-    linked = link_classes(chosen, sets.select("node", "shingles"), percent, boundary, split_rows)
+    rows = docs.select(number.isNull().alias("unnamed"), F.coalesce(number, F.lit(0)).alias("doc_id"), F.col(text).alias("text")).withColumn("text_key", F.xxhash64("text"))
+    signed = materialize(rows.mapInPandas(_sign(width), SIGNED).withColumn("row", F.monotonically_increasing_id()), "signatures")
+    name = F.when(~F.col("unnamed"), F.col("doc_id")).alias("doc_id")
+    filled = signed.where("n_shingles > 0").select("row", name, "n_shingles", "set_high", "set_low", F.struct("unnamed", F.col("doc_id").alias("id"), "text_key").alias("witness"))
+    classes = filled.groupBy("set_high", "set_low").agg(F.min("row").alias("node"), F.min("doc_id").alias("first_id"), F.min("witness").alias("witness"))
+    classes = materialize(classes, "classes")
+    shared = spark.sparkContext.broadcast(frequent_elements(signed))
+    prefixes = rows.select("text").mapInPandas(_choose(shared, width, percent), CHOSEN)
+    chosen = materialize(prefixes.join(classes.select("set_high", "set_low", "node"), ["set_high", "set_low"]).drop("set_high", "set_low").dropDuplicates(["node"]), "prefixes")
+
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        wanted = classes.join(nodes, "node", "left_semi").select("node", F.col("witness.unnamed").alias("unnamed"), F.col("witness.id").alias("doc_id"), F.col("witness.text_key").alias("text_key"))
+        found = rows.join(wanted, ["unnamed", "doc_id", "text_key"])
+        return found.groupBy("node").agg(F.first("text").alias("text"))  # copies of one row are combined first
+
+    linked = link_classes(chosen, texts_of, width, percent, boundary, split_rows)
     named = labelled(classes, linked)
     smallest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     # one row per class; a class of many copies is the hot side, split by adaptive execution
     of_class = materialize(named.join(smallest, "component").select("set_high", "set_low", "component_id"), "class-components")
     some = filled.join(of_class, ["set_high", "set_low"]).select("doc_id", "n_shingles", "component_id")
-    none = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    none = signed.where("n_shingles = 0").select(name, "n_shingles", name.alias("component_id"))
     return some.unionByName(none)

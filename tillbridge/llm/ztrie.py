@@ -41,20 +41,22 @@ from pyspark.sql import functions as F
 from tillbridge.operators.ordering import with_global_index
 from tillbridge.session import materialize
 
-BATCHES = 3
+BATCHES = 2
 BLOCK_BITS = 12  # turns of a conversation summed at a time, as a power of two
 CHUNK_BITS = 12  # range of ids in one piece of a digest
 NAME = ["depth", "a", "b"]
+TURN = ["x", "y", "size"]
 NOTHING = hashlib.sha256(b"").hexdigest()
 
 
 def number_turns(turns: DataFrame) -> DataFrame:
-    """(conv_id, depth, role, text): turns of each conversation numbered from 1 by turn, null first."""
+    """(conv_id, depth, x, y, size): turns of each conversation numbered from 1 by turn, null first; two hashes of role and text, and the text's code points."""
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     rows = turns.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv_id"), "turn", empty("role"), empty("text"))
-    placed = with_global_index(rows, ["conv_id", "turn", "role", "text"])
+    hashed = [F.xxhash64(F.lit(seed), "role", "text").alias(name) for seed, name in ((1, "x"), (2, "y"))]
+    placed = with_global_index(rows, ["conv_id", "turn", "role", "text"], keep=["conv_id", *hashed, F.length("text").cast("long").alias("size")])
     starts = placed.groupBy("conv_id").agg(F.min("_index").alias("_start"))
-    return placed.join(starts, "conv_id").select("conv_id", (F.col("_index") - F.col("_start") + 1).alias("depth"), "role", "text")
+    return placed.join(starts, "conv_id").select("conv_id", (F.col("_index") - F.col("_start") + 1).alias("depth"), *TURN)
 
 
 def share_heads(turns: DataFrame, group: int = 100, most: int = 6) -> tuple[DataFrame, DataFrame]:
@@ -68,15 +70,14 @@ def share_heads(turns: DataFrame, group: int = 100, most: int = 6) -> tuple[Data
     convs = convs.join(sizes.select(F.col("conv_id").alias("base"), F.col("n").alias("_n")), "base", "left")
     convs = materialize(convs.select("conv_id", "base", "h", F.least("h", F.coalesce("_n", F.lit(0))).alias("kept")), "heads")
     lent = turns.where((F.col("depth") < most) & (F.col("conv_id") % group == 0)).withColumnRenamed("conv_id", "base")
-    heads = lent.join(convs, "base").where("depth <= h").select("conv_id", "depth", "role", "text")
-    own = turns.join(convs, "conv_id").where("depth > h").select("conv_id", (F.col("depth") - F.col("h") + F.col("kept")).alias("depth"), "role", "text")
+    heads = lent.join(convs, "base").where("depth <= h").select("conv_id", "depth", *TURN)
+    own = turns.join(convs, "conv_id").where("depth > h").select("conv_id", (F.col("depth") - F.col("h") + F.col("kept")).alias("depth"), *TURN)
     return materialize(heads.unionByName(own), "rebuilt"), convs.select("conv_id")
 
 
 def prefixes(turns: DataFrame) -> DataFrame:
     """(conv_id, depth, a, b, pa, pb, before, upto): name of each prefix and of the one a turn shorter, code points without and with its last turn."""
-    token = lambda seed: F.xxhash64(F.lit(seed), "depth", "role", "text")
-    rows = turns.select("conv_id", "depth", token(1).alias("x"), token(2).alias("y"), F.length("text").cast("long").alias("size"))
+    rows = turns.select("conv_id", "depth", F.xxhash64("x", "depth").alias("x"), F.xxhash64("y", "depth").alias("y"), "size")
     rows = rows.withColumn("block", F.shiftright(F.col("depth") - 1, BLOCK_BITS))
     inside = Window.partitionBy("conv_id", "block").orderBy("depth")
     local = rows.select("*", F.bit_xor("x").over(inside).alias("a"), F.bit_xor("y").over(inside).alias("b"), F.sum("size").over(inside).alias("upto"))
@@ -233,8 +234,8 @@ def build(turns: DataFrame, ids: DataFrame, batches: int = BATCHES) -> DataFrame
         F.when(end, F.coalesce("ends_sha256", F.lit(NOTHING))).otherwise(NOTHING).alias("ends_sha256"),
     )
     spark = turns.sparkSession
-    root = spark.createDataFrame([(members["first"], members["n"], leaves, saved)], "conv_id long, n_convs long, n_leaves long, saved_tokens long")
-    root = root.withColumns({"depth": zero, "a": zero, "b": zero, "parent_conv_id": F.lit(None).cast("long")})
-    root = root.join(kids, NAME, "left").join(digests(ends.where("depth = 0")), NAME, "left")
-    root = root.withColumns({"n_children": F.coalesce("n_children", zero), "ends_sha256": F.coalesce("ends_sha256", F.lit(NOTHING))})
+    ways = kids.where("depth = 0").agg(F.sum("n_children")).first()[0] or 0
+    sha = digests(ends.where("depth = 0")).first()
+    top = (members["first"], 0, None, members["n"], ways, leaves, saved, sha["ends_sha256"] if sha else NOTHING)
+    root = spark.createDataFrame([top], "conv_id long, depth long, parent_conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long, ends_sha256 string")
     return rows.unionByName(root.select(*rows.columns))
