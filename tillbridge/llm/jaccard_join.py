@@ -15,13 +15,17 @@
    entries read, each counted over all sets by size, is least.
 4. Every class is paired with the smallest one of a bucket: of those that sizes and
    parity sketches allow, the one with which it shares most keys. Pairs are confirmed
-   on the full sets, made again from their texts, and links joined into components. Buckets with several components are split: their members meet
-   again under one more element of the prefix, as long as a bucket is larger than
-   ``SPLIT_ROWS`` and up to ``DEPTH`` elements. What is left is compared in blocks: all
-   classes outside the bucket's largest component with all others.
+   on the full sets, made again from their texts, and links joined into components.
+5. Buckets with several components that have more than ``SPLIT_ROWS`` members are
+   split: the members meet again under one more element, up to ``DEPTH`` elements. In
+   the others, members of different components are compared where their sizes and
+   the places of the key's last element leave room for the required overlap, then
+   by sketch, then on the full sets. Buckets that stay large are compared in blocks:
+   all classes outside the bucket's largest component with all others.
 
 The sketch is lossless: a bit is the parity of the elements that fall on it, so two
-sketches differ in at most as many bits as the sets have elements not shared.
+sketches differ in at most as many bits as the sets have elements not shared. Larger
+sets have longer sketches, which fold to shorter ones.
 
 Defined results: null, empty and blank texts have no set and are linked with
 nothing; rows with one id are one document in ``component_id``; a null id is
@@ -47,7 +51,7 @@ PERCENT = 90
 SUBSET = 2
 DEPTH = 4
 FREQUENT = 1 << 16
-BITS = 1024
+BITS, SPARSE = 1024, 2000  # bits of the sketch of sets up to so many elements; four times both, and so on, for larger ones
 KEY_COST, ENTRY_COST = 1.0, 8.0
 BINS_PER_OCTAVE = 4
 SPLIT_ROWS = 256
@@ -126,6 +130,13 @@ def spare(n: int, percent: int) -> int:
     return n - -(-percent * n // 100)
 
 
+def sketch_bits(n: int) -> int:
+    bits = BITS
+    while n > SPARSE * bits // BITS:
+        bits *= 4
+    return bits
+
+
 def _choose(shared, width: int, percent: int):
     """Prefix in the global order, and parity sketch, of each set that can have a different partner."""
     names = [f.split()[0] for f in CHOSEN.split(", ")]
@@ -141,7 +152,8 @@ def _choose(shared, width: int, percent: int):
                 at = np.minimum(np.searchsorted(element, found), len(element) - 1)
                 known = np.where(element[at] == found, count[at], 0)
                 order = np.argsort(known, kind="stable")  # the set is sorted by hash
-                parity = np.bincount((found % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+                bits = sketch_bits(len(found))
+                parity = np.bincount((found % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
                 rows.append((*digest(found), len(found), found[order[:spare(len(found), percent) + DEPTH]].view(np.int64), np.packbits(parity.astype(np.uint8)).view(np.int64)))
             yield pd.DataFrame(rows, columns=names)
 
@@ -175,7 +187,7 @@ def choose_boundary(small: dict[int, float], large: dict[int, float]) -> int:
 
 
 def buckets(chosen: DataFrame, percent: int, boundary: int | None) -> tuple[DataFrame, int]:
-    """(key, node, level, last): sets that meet under a subset or in an inverted list, with the elements in the key and the place of its last; and the boundary bin.
+    """(key, node, level, last, n_shingles): sets that meet under a subset or in an inverted list, with the elements in the key and the place of its last; and the boundary bin.
 
     ``boundary`` names the last bin of small sets; by default it is chosen by cost.
     """
@@ -199,7 +211,8 @@ def buckets(chosen: DataFrame, percent: int, boundary: int | None) -> tuple[Data
     reach = entries.where(scanned).groupBy("element").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
     fits = (100 * F.col("n_shingles") >= percent * F.col("least")) & (percent * F.col("n_shingles") <= 100 * F.col("most"))
     listed = entries.join(reach, "element").where(fits).select(F.xxhash64(F.lit(1), "element").alias("key"), "node", F.lit(1).alias("level"), "last")
-    return listed.unionByName(pairs), boundary
+    sizes = chosen.select("node", "n_shingles")
+    return listed.unionByName(pairs).join(sizes, "node"), boundary
 
 
 def _shared_keys(entries: DataFrame) -> DataFrame:
@@ -208,13 +221,22 @@ def _shared_keys(entries: DataFrame) -> DataFrame:
     return entries.join(many, "key")
 
 
+def folded(sketch: str, size: Column) -> Column:
+    """A sketch, or the exclusive-or of its quarters where it is longer than ``size``."""
+    quarter = [F.slice(sketch, size * k + 1, size) for k in range(4)]
+    xor = lambda x, y: F.zip_with(x, y, lambda u, v: u.bitwiseXOR(v))
+    return F.when(F.size(sketch) == size, F.col(sketch)).otherwise(xor(xor(quarter[0], quarter[1]), xor(quarter[2], quarter[3])))
+
+
 def _sift(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
     """Pairs whose sizes and sketches allow the threshold."""
     side = lambda s: facts.select(F.col("node").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
     joined = pairs.join(side("b"), "b").join(side("a"), "a")
+    least = F.least(F.size("sketch_a"), F.size("sketch_b"))  # sizes that fit are one step apart at most
+    joined = joined.withColumn("sketch_a", folded("sketch_a", least)).withColumn("sketch_b", folded("sketch_b", least))
     differ = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, v: s + v)
     fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    return joined.where(fits & ((100 + percent) * differ <= (100 - percent) * (F.col("n_a") + F.col("n_b")))).select("a", "b", "keys")
+    return joined.where(fits).where(((100 + percent) * differ <= (100 - percent) * (F.col("n_a") + F.col("n_b")))).select(*pairs.columns)
 
 
 def _confirm_pairs(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -235,11 +257,26 @@ def _confirm_pairs(pairs: DataFrame, texts: DataFrame, width: int, percent: int)
     return both.select("a", "b", "text_a", "text_b").mapInPandas(exact, "a long, b long")
 
 
-def _stars(members: DataFrame, facts: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links of classes with one of the smallest of their buckets."""
+def _confirmed(pairs: DataFrame, texts_of: Callable[[DataFrame], DataFrame], width: int, percent: int) -> DataFrame:
+    """Links among sifted ``pairs``, from the texts of their classes only."""
+    pairs = materialize(pairs.select("a", "b"), "pairs")
+    texts = materialize(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "texts")
+    return materialize(_confirm_pairs(pairs, texts, width, percent), "links")
+
+
+def _stars(members: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes with one of the smallest of their buckets, as sizes and sketches allow."""
     pairs = members.where("node <> leader").groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("keys"))
-    likely = _sift(pairs, facts, percent).groupBy("b").agg(F.max_by("a", F.struct("keys", -F.col("a"))).alias("a"))
-    return materialize(_confirm_pairs(likely, texts, width, percent), "links")
+    return _sift(pairs, facts, percent).groupBy("b").agg(F.max_by("a", F.struct("keys", -F.col("a"))).alias("a"))
+
+
+def _inside(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components in buckets of bounded size, where the rest of both orders can hold the overlap."""
+    side = lambda s: members.select("key", "level", *[F.col(c).alias(f"{s}{n}") for c, n in (("node", ""), ("component", "_part"), ("n_shingles", "_n"), ("last", "_last"))])
+    fits = 100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")
+    room = F.col("level") + F.least(F.col("a_n") - F.col("a_last"), F.col("b_n") - F.col("b_last")) - 1
+    met = side("a").join(side("b"), ["key", "level"]).where((F.col("a") < F.col("b")) & (F.col("a_part") != F.col("b_part")) & fits)
+    return met.where((100 + percent) * room >= percent * (F.col("a_n") + F.col("b_n"))).select("a", "b").distinct()
 
 
 def _near(percent: int):
@@ -247,7 +284,7 @@ def _near(percent: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in blocks_of(batches):
-            sketch = np.stack(list(batch["sketch"])).astype(np.int64).view(np.uint64)
+            sketch = np.stack([np.bitwise_xor.reduce(np.asarray(x, np.int64).reshape(-1, BITS // 64), axis=0) for x in batch["sketch"]]).view(np.uint64)
             size, component = batch["n_shingles"].to_numpy(np.int64), batch["component"].to_numpy(np.int64)
             keep = np.zeros(len(batch), bool)
             for xs, y in sides(batch):
@@ -283,38 +320,49 @@ def _confirm(width: int, percent: int):
 def deeper(members: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
     """Members under one more shared element, from the places after the last."""
     level = F.col("level") + 1
-    rows = members.join(facts.select("node", "n_shingles", "prefix"), "node").withColumn("part", _prefix_of(level, percent))
-    after = rows.select("key", "node", "level", "last", F.posexplode(F.slice("part", F.col("last") + 2, F.size("part"))).alias("j", "x"))
-    return after.select(F.xxhash64("key", "x").alias("key"), "node", level.alias("level"), (F.col("last") + F.col("j") + 1).alias("last"))
+    rows = members.join(facts.select("node", "prefix"), "node").withColumn("part", _prefix_of(level, percent))
+    after = rows.select("key", "node", "n_shingles", "level", "last", F.posexplode(F.slice("part", F.col("last") + 2, F.size("part"))).alias("j", "x"))
+    return after.select(F.xxhash64("key", "x").alias("key"), "node", level.alias("level"), (F.col("last") + F.col("j") + 1).alias("last"), "n_shingles")
 
 
 def link_classes(chosen: DataFrame, texts_of: Callable[[DataFrame], DataFrame], width: int, percent: int, boundary: int | None = None, split_rows: int = SPLIT_ROWS) -> DataFrame:
     """(node, component) of the classes that are linked with another one; ``texts_of`` gives (node, text) of some nodes."""
-    member = ["key", "node", "level", "last"]
+    member = ["key", "node", "level", "last", "n_shingles"]
     entries, _ = buckets(chosen, percent, boundary)
     members = materialize(_shared_keys(entries), "members")
     facts = materialize(chosen.join(members.select("node").distinct(), "node", "left_semi"), "facts")
-    texts = materialize(texts_of(facts.select("node")), "texts")
-    links = _stars(members, facts, texts, width, percent)
+    links = _confirmed(_stars(members, facts, percent), texts_of, width, percent)
     labels = materialize(components(links), "labels")
-    for _ in range(DEPTH - 1):
-        mixed = labelled(members.select(*member), labels)
+
+    def still_open(rows: DataFrame) -> DataFrame:
+        """Members of buckets that hold several components, with the bucket's rows."""
+        mixed = labelled(rows, labels)
         several = mixed.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-        members = materialize(mixed.join(several.select("key", "rows"), "key").select(*member, "rows"), "open")
-        large = (F.col("rows") > split_rows) & (F.col("level") < DEPTH)
-        if members.where(large).isEmpty():
+        return materialize(mixed.join(several.select("key", "rows"), "key"), "open")
+
+    members = still_open(members.select(*member))
+    small, large = members.where(F.col("rows") <= split_rows), members.where(F.col("rows") > split_rows)
+    for _ in range(DEPTH - 1):
+        if large.isEmpty():
             break
-        split = materialize(_shared_keys(deeper(members.where(large), facts, percent)), "split")
-        links = links.unionByName(_stars(split, facts, texts, width, percent))
+        # sets that need not share one more element with each other stay as they are
+        stay = large.where((F.col("level") == DEPTH) | (shared_at_least(percent) <= F.col("level")))
+        split = materialize(_shared_keys(deeper(large.where(F.col("level") < DEPTH), facts, percent)), "split")
+        links = links.unionByName(_confirmed(_stars(split, facts, percent), texts_of, width, percent))
         labels = materialize(components(links), "labels")
-        # sets that need not share one more element with each other stay as well
-        few = facts.where(shared_at_least(percent) < DEPTH).select("node", shared_at_least(percent).alias("needed"))
-        stay = members.where(large).join(few, "node").where("needed <= level")
-        members = members.where(~large).select(*member).unionByName(stay.select(*member)).unionByName(split.select(*member))
-    rest = unsettled(members.select("key", "node"), labels)
+        opened = still_open(split.select(*member))
+        small = small.unionByName(opened.where(F.col("rows") <= split_rows))
+        large = stay.unionByName(opened.where(F.col("rows") > split_rows))
+    links = links.unionByName(_confirmed(_sift(_inside(labelled(small.drop("component"), labels), percent), facts, percent), texts_of, width, percent))
+    if large.isEmpty():
+        return components(links)
+    labels = materialize(components(links), "labels")
+    rest = unsettled(large.select("key", "node"), labels)
     by_block = lambda rows: rows.repartition(*BLOCK).sortWithinPartitions(*BLOCK)
     near = by_block(rest.join(facts.select("node", "n_shingles", "sketch"), "node")).mapInPandas(_near(percent), "key long, o int, i int, node long, component long, outer boolean")
-    last = by_block(materialize(near, "near").join(texts, "node")).mapInPandas(_confirm(width, percent), "a long, b long")
+    near = materialize(near, "near")
+    texts = materialize(texts_of(near.select("node").distinct()), "texts")
+    last = by_block(near.join(texts, "node")).mapInPandas(_confirm(width, percent), "a long, b long")
     return components(links.unionByName(materialize(last, "links")))
 
 
