@@ -27,14 +27,17 @@ def product_payloads(t: Tables) -> DataFrame:
     return t.part.select(k.alias("k"), body.alias("payload"))
 
 
-@query("parse_product_events", """
+PRODUCT_SQL = """
 SELECT p_partkey AS k, 'P' || p_partkey AS sku, p_name AS title,
   CASE WHEN p_partkey % 3 = 2 AND p_partkey % 7 = 0 THEN NULL ELSE CAST(CAST(p_retailprice AS DECIMAL(18,2)) AS DOUBLE) END AS price,
   CASE WHEN p_partkey % 3 = 2 AND p_partkey % 5 = 0 THEN NULL ELSE CAST(p_size AS BIGINT) END AS quantity,
   CASE p_partkey % 3 WHEN 0 THEN 'a;b' WHEN 1 THEN 'c1;c2;Department:' || p_type ELSE '' END AS tags, CASE p_partkey % 3 WHEN 1 THEN p_type END AS product_type,
   CASE p_partkey % 3 WHEN 0 THEN p_brand WHEN 2 THEN 'V' END AS vendor, CASE p_partkey % 3 WHEN 1 THEN 'A' || p_partkey END AS barcode, CASE WHEN p_partkey % 3 = 1 THEN true END AS tracked,
   CASE p_partkey % 3 WHEN 0 THEN 'http://x/' || p_partkey || ';http://y' WHEN 1 THEN 'http://z' ELSE '' END AS images, CAST(CASE WHEN p_partkey % 3 = 2 THEN 2 ELSE 0 END AS INTEGER) AS metafields,
-  CASE WHEN p_partkey % 3 = 2 THEN CASE WHEN p_partkey % 7 = 0 THEN 'invalid_price' WHEN p_partkey % 5 = 0 THEN 'invalid_quantity' END END AS error FROM part""")
+  CASE WHEN p_partkey % 3 = 2 THEN CASE WHEN p_partkey % 7 = 0 THEN 'invalid_price' WHEN p_partkey % 5 = 0 THEN 'invalid_quantity' END END AS error FROM part"""
+
+
+@query("parse_product_events", PRODUCT_SQL)
 def parse_product_events(t: Tables) -> DataFrame:
     rows = events.parse_product_events(product_payloads(t))
     return rows.select(
@@ -43,6 +46,28 @@ def parse_product_events(t: Tables) -> DataFrame:
     )
 
 
+def form_payloads(t: Tables) -> DataFrame:
+    """The same products: a third as URL-encoded forms, a third as multipart forms, the rest as JSON."""
+    k, price, size = F.col("p_partkey"), p.money("p_retailprice"), F.col("p_size")
+    coded = concat("sku=P", k, "&title=+", F.url_encode("p_name"), "%20&price=", price, "&quantity=", size, ".9&tags=a%2C+b%2C%2Ca&vendor=", F.url_encode("p_brand"), "&images=http%3A%2F%2Fx%2F", k, "&images=http%3a%2f%2fy&note=50%25+off+100%&blank")
+    cells = [("SKU", concat("P", k)), ("Description", F.col("p_name")), ("Regular Price", price), ("QTY", size), ("Department", F.col("p_type")), ("Category 1", F.lit("c1, c2")), ("Alternate SKU", concat("A", k)), ("Manage Stock", F.lit("Yes")), ("image", F.lit("http://z"))]
+    lines = [concat("--x-", k, '\r\nContent-Disposition: form-data; name="', name, '"\r\n\r\n', value, "\r\n") for name, value in cells]
+    upload = concat("--x-", k, '\r\nContent-Disposition: form-data; name="title"; filename="t.txt"\r\n\r\nnot a title\r\n--x-', k, "--\r\n")
+    form = k % 3 == 0
+    rows = product_payloads(t).join(t.part.select(k.alias("k"), F.when(form, coded).when(k % 3 == 1, F.concat(*lines, upload)).alias("form")), "k")
+    kind = F.when(F.col("k") % 3 == 0, "application/x-www-form-urlencoded; charset=utf-8").when(F.col("k") % 3 == 1, concat('multipart/form-data; boundary="x-', F.col("k"), '"')).otherwise("application/json")
+    return rows.select("k", F.coalesce("form", "payload").alias("payload"), kind.alias("content_type"))
+
+
+@query("parse_form_events", PRODUCT_SQL)
+def parse_form_events(t: Tables) -> DataFrame:
+    rows = events.parse_product_events(form_payloads(t), content_type="content_type")
+    return rows.select(
+        "k", "sku", "title", "price", "quantity", F.concat_ws(";", "tags").alias("tags"), "product_type", "vendor", "barcode", "tracked",
+        F.concat_ws(";", "images").alias("images"), F.size("metafields").alias("metafields"), "error",
+    )
+
+
 @query("unwrap_bulk", """
 SELECT p_partkey // 4 AS k, CASE WHEN (p_partkey // 4) % 5 = 4 THEN NULL ELSE p_partkey % 4 END::INTEGER AS item_index, CASE WHEN (p_partkey // 4) % 5 = 4 THEN NULL ELSE p_name END AS name, CASE WHEN (p_partkey // 4) % 5 = 4 THEN 'invalid_bulk_payload' END AS bulk_error
 FROM part WHERE (p_partkey // 4) % 5 < 3 OR p_partkey % 4 = 0""")

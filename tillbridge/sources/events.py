@@ -1,4 +1,4 @@
-"""Inbound JSON payloads to typed rows; bad values become an ``error`` column."""
+"""Inbound payloads, as JSON or forms, to typed rows; bad values become an ``error`` column."""
 
 from __future__ import annotations
 
@@ -87,6 +87,70 @@ def metafield_list(value: Column) -> Column:
     return F.filter(cleaned, lambda m: m["key"].isNotNull() & m["value"].isNotNull())
 
 
+FORM, MULTIPART, JSON_BODY = "application/x-www-form-urlencoded", "multipart/form-data", "application/json"
+BAD_ESCAPE = "%(?![0-9A-Fa-f]{2})"
+PAIRS = "array<struct<name:string,value:string>>"
+
+
+def unquoted(text: Column) -> Column:
+    """Plus signs and percent escapes of a form undone as UTF-8; a percent sign that begins no escape stays."""
+    return F.url_decode(F.regexp_replace(text, BAD_ESCAPE, "%25"))
+
+
+def form_pairs(body: Column) -> Column:
+    """Names and values of a URL-encoded form or query, in order; a name without a value has an empty one."""
+    fields = F.filter(F.split(F.coalesce(body, F.lit("")), "&"), lambda x: x != "")
+
+    def pair(field: Column) -> Column:
+        at = F.instr(field, "=")
+        name = F.when(at > 0, F.substring(field, F.lit(1), at - 1)).otherwise(field)
+        value = F.when(at > 0, F.substring(field, at + 1, F.length(field))).otherwise("")
+        return F.struct(unquoted(name).alias("name"), unquoted(value).alias("value"))
+
+    return F.transform(fields, pair)
+
+
+def multipart_pairs(body: Column, content_type: Column) -> Column:
+    """Names and values of the text parts of a multipart form, in order; file parts are left out."""
+    boundary = F.regexp_extract(content_type, '(?i)boundary="?([^";]+)', 1)
+    parts = F.filter(F.split(F.coalesce(body, F.lit("")), F.concat(F.lit("\\Q--"), boundary, F.lit("\\E"))), lambda x: F.contains(x, F.lit("\r\n\r\n")))
+
+    def pair(part: Column) -> Column:
+        at = F.instr(part, "\r\n\r\n")
+        head = F.substring(part, F.lit(1), at)
+        value = F.regexp_replace(F.substring(part, at + 4, F.length(part)), "\r\n$", "")
+        return F.struct(F.regexp_extract(head, '(?i)[; ]name="([^"]*)"', 1).alias("name"), value.alias("value"), F.contains(F.lower(head), F.lit("filename=")).alias("file"))
+
+    texts = F.filter(F.transform(parts, pair), lambda p: ~p["file"])
+    return F.transform(texts, lambda p: F.struct(p["name"].alias("name"), p["value"].alias("value")))
+
+
+def multimap(pairs: Column) -> Column:
+    """Names to values; a repeated name has the JSON list of its values. Bounded by one payload."""
+    names = F.array_distinct(F.transform(pairs, lambda p: p["name"]))
+
+    def values(name: Column) -> Column:
+        own = F.transform(F.filter(pairs, lambda p: p["name"] == name), lambda p: p["value"])
+        return F.when(F.size(own) > 1, F.to_json(own)).otherwise(F.get(own, F.lit(0)))
+
+    return F.map_from_arrays(names, F.transform(names, values))
+
+
+def payload_fields(payload: Column, content_type: Column | None = None, ignored: tuple[str, ...] = ()) -> Column:
+    """Fields of a JSON object or a form as texts, null when the body is neither.
+
+    Without a type, or with an unknown one, a body counts as JSON. ``ignored``
+    names form fields that are left out, such as credentials in a query.
+    """
+    json = F.from_json(payload, "map<string,string>")
+    if content_type is None:
+        return json
+    kind = F.lower(F.trim(F.substring_index(F.coalesce(content_type, F.lit("")), ";", 1)))
+    pairs = F.when(kind == FORM, form_pairs(payload)).when(kind == MULTIPART, multipart_pairs(payload, content_type))
+    pairs = F.filter(pairs, lambda p: ~p["name"].isin(*ignored)) if ignored else pairs
+    return F.when(kind.isin(FORM, MULTIPART), multimap(F.coalesce(pairs, F.array().cast(PAIRS)))).otherwise(json)
+
+
 def _first_error(*checks: tuple[Column, str]) -> Column:
     error = F.when(F.lit(False), F.lit(""))
     for bad, name in checks:
@@ -94,11 +158,18 @@ def _first_error(*checks: tuple[Column, str]) -> Column:
     return error
 
 
-def parse_product_events(rows: DataFrame, payload: str = "payload") -> DataFrame:
-    """Canonical product columns from JSON objects with any key spelling."""
-    parsed = rows.withColumn("_map", F.from_json(payload, "map<string,string>"))
+def parse_product_events(rows: DataFrame, payload: str = "payload", content_type: str | None = None, refuse_bad_escapes: bool = False) -> DataFrame:
+    """Canonical product columns from JSON objects, or forms, with any key spelling.
+
+    ``content_type`` names the column that tells forms from JSON. A percent sign
+    without two hex digits stays in the text, or makes an error row on request.
+    """
+    kind = None if content_type is None else F.col(content_type)
+    parsed = rows.withColumn("_map", payload_fields(F.col(payload), kind))
     parsed = parsed.withColumn("_folded", folded_keys(F.col("_map")))
     raw, folded = F.col("_map"), F.col("_folded")
+    bare = F.lit("") if kind is None else F.lower(F.trim(F.substring_index(F.coalesce(kind, F.lit("")), ";", 1)))
+    form, typed_other = bare.isin(FORM, MULTIPART), ~bare.isin("", JSON_BODY)
 
     def text(*names: str) -> Column:
         return _blank_to_null(pick(raw, folded, *names))
@@ -121,7 +192,8 @@ def parse_product_events(rows: DataFrame, payload: str = "payload") -> DataFrame
     single = text(*ONE_IMAGE)
     images = F.when(single.isNotNull() & ~F.array_contains(images, single), F.array_prepend(images, single)).otherwise(images)
     error = _first_error(
-        (raw.isNull() | ~F.trim(payload).startswith("{"), "invalid_product_payload"),
+        *([] if kind is None else [(form & F.lit(refuse_bad_escapes) & F.col(payload).rlike(BAD_ESCAPE), "invalid_form_escape"), (typed_other & raw.isNull(), "unsupported_content_type")]),
+        (raw.isNull() | (~form & ~F.trim(payload).startswith("{")), "invalid_product_payload"),
         (bad_price | bad_compare | bad_cost, "invalid_price"), (bad_stock, "invalid_quantity"),
         (bad_tracked | bad_shipped | bad_update, "invalid_boolean"),
     )
