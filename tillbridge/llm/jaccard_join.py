@@ -52,7 +52,7 @@ SUBSET = 2
 DEPTH = 4
 FREQUENT = 1 << 16
 BITS, SPARSE = 1024, 2000  # bits of the sketch of sets up to so many elements; four times both, and so on, for larger ones
-KEY_COST, ENTRY_COST = 1.0, 8.0
+KEY_COST, ENTRY_COST = 10.0, 1.0  # a key is made, shuffled and counted; a list entry read is one step of a join
 BINS_PER_OCTAVE = 4
 SPLIT_ROWS = 256
 SIGNED = "unnamed boolean, doc_id long, text_key long, n_shingles long, set_high long, set_low long, elements array<long>, counts array<long>"
@@ -192,9 +192,9 @@ def buckets(chosen: DataFrame, percent: int, boundary: int | None) -> tuple[Data
     ``boundary`` names the last bin of small sets; by default it is chosen by cost.
     """
     sized = chosen.withColumn("bin", cost_bin(F.col("n_shingles"))).withColumn("subsets", shared_at_least(percent) >= SUBSET)
-    entries = sized.select("node", "n_shingles", "bin", "subsets", F.posexplode(_prefix_of(1, percent)).alias("last", "element"))
+    entries = chosen.select("node", F.posexplode(_prefix_of(1, percent)).alias("last", "element"))
     lists = entries.groupBy("element").agg(F.count(F.lit(1)).alias("entries")).where("entries > 1")
-    entries = materialize(entries.join(lists, "element"), "lists")
+    entries = materialize(entries.join(lists, "element").join(sized.select("node", "n_shingles", "bin", "subsets"), "node"), "lists")
     if boundary is None:
         # one row per bin; sets without a second one in any list cost nothing to scan
         width = F.size(_prefix_of(SUBSET, percent))
