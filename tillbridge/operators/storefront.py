@@ -134,13 +134,16 @@ def plan_product_changes(payloads: DataFrame, online: DataFrame) -> DataFrame:
     )
 
 
-def reconcile_catalog(source: DataFrame, variants: DataFrame) -> DataFrame:
+def reconcile_catalog(source: DataFrame, variants: DataFrame, minimum: int | None = None) -> DataFrame:
     """Class of every online product against the till's SKU list.
 
-    ``source`` has (sku); ``variants`` has one row per online variant
+    With ``minimum`` a source of fewer distinct SKUs is refused before anything is
+    compared. ``source`` has (sku); ``variants`` has one row per online variant
     (product_id, status, marker, truncated, sku), sku null for a product
     without variants. Comparison ignores case.
     """
+    if minimum is not None:
+        refuse_incomplete_source(source, minimum)
     known = source.select(F.lower(F.trim("sku")).alias("folded")).where("folded <> ''").distinct()
     sku = F.nullif(F.trim("sku"), F.lit(""))
     marker = F.lower(F.nullif(F.trim("marker"), F.lit("")))

@@ -114,16 +114,16 @@ def non_sellable(t: Tables) -> DataFrame:
 BUILD_SQL = f"""
 {p.ITEMS_SQL}, {p.VENDORS_SQL}, {p.CHANGES_SQL}, {p.CELLS_SQL},
 qty AS (SELECT sku, sum(qty) AS cell_quantity FROM cells WHERE cell = '2 1' GROUP BY 1),
-joined AS (
+joined AS MATERIALIZED (
   SELECT i.*, coalesce(i.vendor, c.vendor, v.vendor) AS code, c.vendor AS change_code, c.price AS change_price, v.vend_sku, v.base_cost, cell_quantity,
     i.sku IS NULL OR descr IS NULL AS missing
   FROM items i LEFT JOIN pc c ON i.sku = c.sku LEFT JOIN vi v ON i.sku = v.sku LEFT JOIN qty q ON i.sku = q.sku),
-named AS (
+named AS MATERIALIZED (
   SELECT j.*, coalesce(a.company, pfield2, b.company, code) AS company, coalesce(j.price, change_price) AS final_price,
     coalesce(cost, base_cost) AS final_cost, greatest(0, greatest(qty, cell_quantity)) AS stock,
     CASE grp WHEN 'MS' THEN 'SUIT' WHEN 'SHO' THEN 'SHOES' ELSE grp END AS kind
   FROM joined j LEFT JOIN vendors a ON j.code = a.vendor_id LEFT JOIN vendors b ON j.change_code = b.vendor_id),
-built AS (
+built AS MATERIALIZED (
   SELECT *, CASE WHEN grp = 'RENTAL' THEN 'group:RENTAL' END AS non_sellable,
     CASE WHEN final_price > 0 THEN greatest(CASE WHEN price_r > final_price AND price_r <= final_price * 3 THEN price_r END) END AS compare_at FROM named)
 """
@@ -155,8 +155,8 @@ def build_products(t: Tables) -> DataFrame:
     return rows.select("sku", F.concat(F.lit("V"), F.regexp_replace("vendor", " ", "")).alias("vendor_flat"), *kept)
 
 
-@query("product_titles", f"""
-WITH {BUILD_SQL},
+TITLE_SQL = f"""
+{BUILD_SQL},
 words AS (
   SELECT sku, size, array_to_string(list_transform(string_split(kind, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS kind_title,
     array_to_string(list_transform(string_split(descr, ' '), lambda w: CASE WHEN length(w) <= 2 THEN upper(w) ELSE upper(w[1]) || lower(w[2:]) END), ' ') AS name_title,
@@ -164,8 +164,13 @@ words AS (
   FROM built WHERE NOT missing),
 led AS (
   SELECT *, CASE WHEN contains(lower(regexp_replace(name_title, '[^A-Za-z0-9]', '', 'g')), lower(regexp_replace(vendor_title, '[^A-Za-z0-9]', '', 'g'))) THEN name_title ELSE vendor_title || ' ' || name_title END AS lead FROM words),
-flat AS (SELECT *, lower(regexp_replace(lead, '[^A-Za-z0-9]', '', 'g')) AS plain FROM led)
-SELECT sku, kind_title AS product_type, concat_ws(' - ', lead, nullif(concat_ws(' / ', CASE WHEN NOT contains(plain, lower(shade)) THEN shade END, CASE WHEN NOT contains(plain, size) THEN size END), '')) AS title FROM flat""")
+flat AS (SELECT *, lower(regexp_replace(lead, '[^A-Za-z0-9]', '', 'g')) AS plain FROM led),
+titled AS (SELECT sku, kind_title, vendor_title, concat_ws(' - ', lead, nullif(concat_ws(' / ', CASE WHEN NOT contains(plain, lower(shade)) THEN shade END, CASE WHEN NOT contains(plain, size) THEN size END), '')) AS title FROM flat),
+whole AS (SELECT b.*, title, kind_title, vendor_title FROM built b JOIN titled t ON b.sku = t.sku WHERE NOT missing)
+"""
+
+
+@query("product_titles", f"WITH {TITLE_SQL} SELECT sku, kind_title AS product_type, title FROM whole")
 def product_titles(t: Tables) -> DataFrame:
     return products(t).where("NOT missing").select("sku", "product_type", "title")
 
@@ -251,31 +256,39 @@ def media_inputs(t: Tables) -> DataFrame:
     return rows.select("rec_no", F.size("m").alias("media"), F.concat_ws("|", F.col("m")[0]["filename"], F.col("m")[0]["alt"]).alias("first_media"))
 
 
-@query("item_metafields", f"""
-WITH {BUILD_SQL}
-SELECT sku, 'price' AS key, CAST(CAST(final_price AS DECIMAL(18,2)) AS VARCHAR) AS value, 'number_decimal' AS type FROM built WHERE NOT missing AND final_price IS NOT NULL
-UNION ALL SELECT sku, 'cost', CAST(cost AS VARCHAR), 'number_decimal' FROM built WHERE NOT missing AND cost IS NOT NULL
-UNION ALL SELECT sku, 'vendor_code', code, 'single_line_text_field' FROM built WHERE NOT missing AND code IS NOT NULL
-UNION ALL SELECT sku, 'selected_quantity', CAST(CAST(stock AS BIGINT) AS VARCHAR), 'number_integer' FROM built WHERE NOT missing
-UNION ALL SELECT sku, 'vendor_item_data', '{{"BASE_COST":"' || base_cost || '","SKU":"' || sku || '","VENDOR":"' || (SELECT vendor FROM vi WHERE vi.sku = built.sku) || '","VEND_SKU":"' || vend_sku || '"}}', 'json' FROM built WHERE NOT missing AND vend_sku IS NOT NULL""")
+# what a product says of itself: key, value in terms of ``whole``, type
+METAFIELD_SQL = (
+    ("sku", "sku", "single_line_text_field"), ("raw_description", "descr", "multi_line_text_field"), ("generated_title", "title", "single_line_text_field"),
+    ("vendor_name", "vendor_title", "single_line_text_field"), ("vendor_code", "code", "single_line_text_field"), ("vendor_item", "vend_sku", "single_line_text_field"),
+    ("department_code", "grp", "single_line_text_field"), ("product_type", "kind_title", "single_line_text_field"), ("size", "size", "single_line_text_field"), ("color", "color", "single_line_text_field"),
+    ("barcode", "alt_sku", "single_line_text_field"), ("pos_type", "item_type", "single_line_text_field"), ("price", "CAST(final_price AS DECIMAL(18,2))", "number_decimal"),
+    ("compare_at_price", "CAST(compare_at AS DECIMAL(18,2))", "number_decimal"), ("cost", "cost", "number_decimal"), ("selected_quantity", "CAST(stock AS BIGINT)", "number_integer"),
+    ("item_quantity", "greatest(0, qty)", "number_integer"), ("itemmqty_quantity", "CASE WHEN cell_quantity IS NOT NULL THEN CAST(greatest(0, cell_quantity) AS BIGINT) END", "number_integer"),
+    ("item_data", """'{' || concat_ws(',', '"ALT_SKU":"' || alt_sku || '"', '"COLOR":"' || color || '"', '"COST":"' || nullif(cost, 0) || '"', '"DESC":"' || descr || '"', '"GROUP":"' || grp || '"',
+      '"IMAGE":"' || image || '"', '"IMAGE2":"' || image2 || '"', '"PFIELD2":"' || pfield2 || '"', '"PRICE":"' || nullif(price, 0) || '"', '"PRICE_R":"' || nullif(price_r, 0) || '"', '"QTY":"' || nullif(qty, 0) || '"',
+      '"SIZE":"' || size || '"', '"SKU":"' || sku || '"', '"TYPE":"' || item_type || '"', '"VENDOR":"' || vendor || '"') || '}'""", "json"),
+    ("price_change_data", """CASE WHEN change_code IS NOT NULL THEN '{' || concat_ws(',', '"PRICE":"' || nullif(change_price, 0) || '"', '"SKU":"' || sku || '"', '"VENDOR":"' || change_code || '"') || '}' END""", "json"),
+    ("vendor_item_data", """'{"BASE_COST":"' || base_cost || '","SKU":"' || sku || '","VENDOR":"' || (SELECT vendor FROM vi WHERE vi.sku = whole.sku) || '","VEND_SKU":"' || vend_sku || '"}'""", "json"),
+)
+
+
+@query("item_metafields", f"WITH {TITLE_SQL}, entries AS (" + " UNION ALL ".join(
+    f"SELECT sku, '{key}' AS key, CAST({value} AS VARCHAR) AS value, '{kind}' AS type FROM whole" for key, value, kind in METAFIELD_SQL) + ") SELECT * FROM entries WHERE value IS NOT NULL AND value <> ''")
 def item_metafields(t: Tables) -> DataFrame:
     rows = products(t, BuildOptions(metafields=True)).where("NOT missing").select("sku", F.explode("metafields").alias("m"))
-    chosen = ("price", "cost", "vendor_code", "selected_quantity", "vendor_item_data")
-    return rows.select("sku", "m.key", "m.value", "m.type").where(F.col("key").isin(*chosen))
+    return rows.select("sku", "m.key", "m.value", "m.type")
 
 
-@query("description_html", f"""
-WITH {BUILD_SQL}
-SELECT sku, CASE WHEN grp IS NOT NULL THEN '<li><strong>Department:</strong> ' || grp || '</li>' ELSE '' END AS department_item,
-  final_price IS NOT NULL AND final_price <> 0 AS has_price, stock <> 0 AS has_quantity FROM built WHERE NOT missing""")
+DETAIL_SQL = (
+    ("SKU", "sku"), ("Vendor", "vendor_title"), ("Vendor Code", "code"), ("Vendor Item", "vend_sku"), ("Product Type", "kind_title"), ("Department", "grp"), ("Size", "size"), ("Color", "color"),
+    ("Barcode", "alt_sku"), ("Price", "CAST(final_price AS DECIMAL(18,2))"), ("Compare At Price", "CAST(compare_at AS DECIMAL(18,2))"), ("Quantity", "CAST(stock AS BIGINT)"), ("Cost", "cost"), ("Base Cost", "base_cost"),
+)
+
+
+@query("description_html", f"WITH {TITLE_SQL} SELECT sku, '<p>' || title || '</p>' || CASE WHEN lower(regexp_replace(descr, '[^A-Za-z0-9]', '', 'g')) <> lower(regexp_replace(title, '[^A-Za-z0-9]', '', 'g')) THEN '<p>POS name: ' || descr || '</p>' ELSE '' END || '<ul>' || concat_ws('', "
+       + ", ".join(f"'<li><strong>{label}:</strong> ' || CASE WHEN CAST({value} AS VARCHAR) NOT IN ('', '0', '0.00') THEN CAST({value} AS VARCHAR) END || '</li>'" for label, value in DETAIL_SQL) + ") || '</ul>' AS html FROM whole")
 def description_html(t: Tables) -> DataFrame:
-    rows = products(t, BuildOptions(html=True)).where("NOT missing")
-    html = F.col("description_html")
-    item = F.regexp_extract(html, "<li><strong>Department:</strong> [^<]*</li>", 0)
-    return rows.select(
-        "sku", item.alias("department_item"), F.contains(html, F.lit("<strong>Price:</strong>")).alias("has_price"),
-        F.contains(html, F.lit("<strong>Quantity:</strong>")).alias("has_quantity"),
-    )
+    return products(t, BuildOptions(html=True)).where("NOT missing").select("sku", F.col("description_html").alias("html"))
 
 
 @query("title_audit", f"""

@@ -231,30 +231,39 @@ def matrix_structure(t: Tables) -> DataFrame:
 
 
 @query("repair_eligibility", """
-WITH b AS (SELECT p_partkey AS k, 'P' || p_partkey AS base, p_partkey % 8 AS c FROM part WHERE p_partkey % 2 = 0)
-SELECT base, CASE WHEN k % 18 = 0 THEN 'blocked' WHEN c = 0 THEN 'repairable' WHEN c = 2 THEN CASE WHEN k % 5 = 0 THEN 'quantity_mismatch' ELSE 'already_correct' END ELSE 'blocked' END AS status,
-  CASE WHEN k % 18 = 0 THEN 'unknown_quantity' WHEN c = 4 THEN 'stock_not_zero' WHEN c = 6 THEN 'base_and_children_missing' END AS reason FROM b""")
+WITH b AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 20 = 17 THEN '' ELSE 'P' || p_partkey END AS base, p_partkey % 20 AS c FROM part)
+SELECT DISTINCT base, CASE WHEN c IN (0, 19) THEN 'repairable' WHEN c = 2 THEN 'already_correct' WHEN c = 18 THEN 'quantity_mismatch' ELSE 'blocked' END AS status,
+  CASE c WHEN 1 THEN 'unknown_quantity' WHEN 3 THEN 'child_equals_base' WHEN 4 THEN 'stock_not_zero' WHEN 5 THEN 'base_and_children_missing' WHEN 6 THEN 'several_products' WHEN 7 THEN 'not_managed'
+    WHEN 8 THEN 'truncated' WHEN 9 THEN 'other_variants' WHEN 10 THEN 'no_inventory' WHEN 11 THEN 'children_exist' WHEN 12 THEN 'not_single_variant' WHEN 13 THEN 'no_locations'
+    WHEN 14 THEN 'unavailable_at_location' WHEN 15 THEN 'stock_not_zero' WHEN 16 THEN 'too_many_variants' WHEN 17 THEN 'no_base_sku' END AS reason FROM b""")
 def repair_eligibility(t: Tables) -> DataFrame:
-    """Cases by part number: zero-stock base, complete grid, stocked base, nothing online."""
-    k = F.col("p_partkey")
-    part = t.part.where("p_partkey % 2 = 0").select(k, p.code("P", "p_partkey").alias("base"), (k % 8).alias("c"))
-    wanted = part.select(k, "base", "c", F.explode(F.array(F.lit(". 1 1"), F.lit(". 1 2"))).alias("tail")).select(
-        "p_partkey", "base", "c", F.concat("base", "tail").alias("sku"), F.when(k % 18 != 0, 3).alias("quantity"),
+    """Twenty cases by part number: each way to be refused, and the ways not to be. Grids have two variants, three at most are repaired."""
+    k, c = F.col("p_partkey"), F.col("c")
+    part = t.part.select(k, F.when(k % 20 == 17, "").otherwise(p.code("P", "p_partkey")).alias("base"), p.code("P", "p_partkey").alias("name"), (k % 20).alias("c"))
+    tails = F.array(*[F.lit(x) for x in (". 1 1", ". 1 2", ". 1 3", ". 1 4")])
+    wanted = part.select(k, "base", "name", "c", F.posexplode(F.slice(tails, F.lit(1), F.when(c == 16, 4).otherwise(2))).alias("n", "tail")).select(
+        k, "base", "name", "c", "n", F.when((c == 3) & (F.col("n") == 0), F.col("base")).otherwise(F.concat("name", "tail")).alias("sku"), F.when(c != 1, 3).alias("quantity"),
+    )
+    grids = c.isin(2, 6, 7, 8, 9, 10, 18) | ((c == 11) & (F.col("n") == 0))
+    children = wanted.where(grids).select(
+        F.when((c == 6) & (F.col("n") == 1), F.concat("name", F.lit("b"))).otherwise(F.col("name")).alias("product_id"), F.when(c == 7, "other").otherwise(F.col("base")).alias("managed_sku"),
+        (c == 8).alias("truncated"), F.col("sku").alias("variant_id"), "sku", F.col("sku").alias("item_id"), F.when(c == 18, 4).when(c != 10, 3).alias("quantity"),
     )
-    null = F.lit(None).cast("int")
-    children = wanted.where("c = 2").select(
-        F.col("base").alias("product_id"), F.col("base").alias("managed_sku"), F.lit(False).alias("truncated"), F.col("sku").alias("variant_id"), "sku", F.col("sku").alias("item_id"),
-        F.when(k % 5 == 0, 4).otherwise(3).alias("quantity"),
+    held = part.where(c.isin(0, 4, 11, 12, 13, 14, 15, 19))
+    own = held.select(
+        F.col("name").alias("product_id"), F.col("base").alias("managed_sku"), F.lit(False).alias("truncated"), F.col("name").alias("variant_id"), F.col("base").alias("sku"), F.col("name").alias("item_id"),
+        F.when(c == 15, 5).when(c != 14, 0).alias("quantity"),
     )
-    own = part.where("c IN (0, 4)").select(
-        F.col("base").alias("product_id"), F.col("base").alias("managed_sku"), F.lit(False).alias("truncated"), F.col("base").alias("variant_id"), F.col("base").alias("sku"), F.col("base").alias("item_id"), F.lit(0).alias("quantity"),
+    others = part.where(c.isin(9, 12)).select(
+        F.col("name").alias("product_id"), F.col("base").alias("managed_sku"), F.lit(False).alias("truncated"), F.concat(F.lit("X"), "name").alias("variant_id"), F.concat(F.lit("X"), "name").alias("sku"),
+        F.concat(F.lit("X"), "name").alias("item_id"), F.lit(0).alias("quantity"),
     )
     states = F.array(*[F.lit(s) for s in matrix.STOCK_STATES])
-    levels = part.where("c IN (0, 4)").select(
-        F.col("base").alias("item_id"), F.explode(F.array(F.lit("L1"), F.lit("L2"))).alias("location_id"), "c",
-    ).select("item_id", "location_id", "c", F.explode(states).alias("state"))
-    levels = levels.withColumn("quantity", F.when((F.col("c") == 4) & (F.col("state") == "committed"), 2).otherwise(0)).drop("c")
-    return matrix.repair_eligibility(wanted.select("base", "sku", "quantity"), own.unionByName(children), levels, "L1").select("base", "status", "reason")
+    places = F.slice(F.array(F.lit("L1"), F.lit("L2")), F.lit(1), F.when(c == 19, 1).otherwise(2))
+    levels = held.where(c != 13).select(F.col("name").alias("item_id"), "c", F.explode(places).alias("location_id")).select("item_id", "location_id", "c", F.explode(states).alias("state"))
+    levels = levels.withColumn("quantity", F.when((c == 4) & (F.col("state") == "committed"), 2).otherwise(0)).drop("c")
+    found = matrix.repair_eligibility(wanted.select("base", "sku", "quantity"), own.unionByName(children).unionByName(others), levels, "L1", most=3)
+    return found.select("base", "status", "reason")
 
 
 @query("repair_stage", """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillbridge.operators import customers, grid_plans, parts, repair
+from tillbridge.operators import customers, grid_plans, pages, parts, repair
 from tillbridge.plans import proxies as p
 from tillbridge.plans.registry import Tables, query
 
@@ -169,3 +169,11 @@ w AS (SELECT base, option, position, value, min(pos) AS first FROM o GROUP BY AL
 SELECT base, CAST(position AS INT) AS position, option, CAST(row_number() OVER (PARTITION BY base, option ORDER BY first) AS INT) AS value_position, value FROM w""")
 def grid_options(t: Tables) -> DataFrame:
     return grid_plans.product_options(grid(t)[1].where("option_values IS NOT NULL"))
+
+
+@query("stored_page", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM lineitem ORDER BY l_extendedprice, l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 50 OFFSET 2450")
+def stored_page(t: Tables) -> DataFrame:
+    """Page 50 of all line items by price; it opens the ranges that hold it."""
+    order = ["l_extendedprice", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    folder = pages.store_pages(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"), order)
+    return pages.read_page(t.spark, folder, page=50)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillbridge.functions.money import decimal_or_none, stock_quantity
 from tillbridge.operators import orders, reports
 from tillbridge.plans import inbox as order_inbox
 from tillbridge.plans import proxies as p
@@ -43,6 +44,26 @@ def dbf_scan(t: Tables) -> DataFrame:
     return named(dbf.read_dbf(t.spark, item_files(t)))
 
 
+@query("dbf_exact_numbers", """
+SELECT 'P' || p_partkey AS sku, CAST(CASE p_partkey % 4 WHEN 0 THEN CAST('12.3451' AS DECIMAL(38,4)) WHEN 1 THEN 100 WHEN 2 THEN CAST('123456789012345678' AS DECIMAL(38,4)) + p_partkey ELSE CAST(p_retailprice AS DECIMAL(18,2)) END AS DECIMAL(38,4)) AS exact,
+  CASE p_partkey % 4 WHEN 0 THEN '12.35' WHEN 1 THEN '100.00' WHEN 2 THEN CAST(123456789012345678 + p_partkey AS VARCHAR) || '.00' ELSE CAST(CAST(p_retailprice AS DECIMAL(18,2)) AS VARCHAR) END AS price,
+  CAST(CASE p_partkey % 3 WHEN 0 THEN 13 WHEN 1 THEN p_size END AS INTEGER) AS stock FROM part""")
+def dbf_exact_numbers(t: Tables) -> DataFrame:
+    """Numbers beyond what their fields declare: more decimals, an exponent, more digits, and text."""
+    k = F.col("p_partkey")
+    price = F.when(k % 4 == 0, "12.3451").when(k % 4 == 1, "1E2").when(k % 4 == 2, (F.lit(123456789012345678) + k).cast("string")).otherwise(p.money("p_retailprice").cast("string"))
+    quantity = F.when(k % 3 == 0, "13.5").when(k % 3 == 1, F.col("p_size").cast("string")).otherwise("n/a")
+    layout = [("SKU", "C", 16, 0), ("PRICE", "N", 19, 2), ("QTY", "N", 8, 0)]
+    path = scratch_path(t.spark, "dbf")
+    dbf.write_dbf(t.part.select(p.code("P", "p_partkey").alias("SKU"), price.alias("PRICE"), quantity.alias("QTY")), path, layout, "Item")
+    rows = dbf.read_exact_dbf(t.spark, path)
+    exact = F.col("PRICE").cast("decimal(38,4)")
+    return rows.select(
+        F.col("SKU").alias("sku"), exact.alias("exact"), F.bround(exact, 2).cast("decimal(38,2)").cast("string").alias("price"),
+        stock_quantity(decimal_or_none(F.col("QTY"))).alias("stock"),
+    )
+
+
 @query("core_export", """
 SELECT 'Item' AS table, (SELECT count(*) FROM part) AS records, least(1000, (SELECT count(*) FROM part)) AS rows_written, (SELECT count(*) FROM part) > 1000 AS truncated, '' AS sensitive_columns
 UNION ALL SELECT 'Customer', (SELECT count(*) FROM customer), least(1000, (SELECT count(*) FROM customer)), (SELECT count(*) FROM customer) > 1000, 'EMAIL;PHONE'""")

@@ -112,7 +112,7 @@ def catalog_classes(t: Tables) -> DataFrame:
     parts = t.part.where("p_partkey % 3 = 0").select(p.code("P", "p_partkey").alias("sku"))
     children = t.part.where("p_partkey % 5 = 0").select(F.concat(p.code("P", "p_partkey"), F.lit(". 2 1")).alias("sku"))
     source = parts.unionByName(children)
-    return storefront.reconcile_catalog(source, rows)
+    return storefront.reconcile_catalog(source, rows, minimum=20)
 
 
 @query("reconcile_catalog", f"WITH {CATALOG_SQL} SELECT * FROM cls")

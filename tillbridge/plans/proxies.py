@@ -265,8 +265,8 @@ cells AS (
 
 
 def sku_map(t: Tables) -> DataFrame:
-    """Distinct grid children of every tenth part, plus the parts themselves."""
-    grid = t.lineitem.where("l_partkey % 10 = 0").select(
+    """Distinct grid children of all parts, plus the parts themselves."""
+    grid = t.lineitem.select(
         F.concat(code("P", "l_partkey"), F.lit(". "), F.col("l_linenumber").cast("string"), F.lit(" "), (F.col("l_suppkey") % 3 + 1).cast("string")).alias("sku"),
         code("P", "l_partkey").alias("base"),
     ).distinct()
@@ -276,6 +276,6 @@ def sku_map(t: Tables) -> DataFrame:
 MAP_SQL = """
 sku_map AS (
   SELECT DISTINCT 'P' || l_partkey || '. ' || l_linenumber || ' ' || (l_suppkey % 3 + 1) AS sku, 'P' || l_partkey AS base
-  FROM lineitem WHERE l_partkey % 10 = 0
+  FROM lineitem
   UNION ALL SELECT 'P' || p_partkey, 'P' || p_partkey FROM part)
 """

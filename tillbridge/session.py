@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSession:
     """Session for tests and benchmarks on one machine."""
     return (
@@ -26,15 +29,16 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSes
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only in local mode."""
+    """The cluster's checkpoint folder; a temporary one, kept for the application, only in local mode."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master.partition("[")[0] != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="tillbridge-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL:  # the setting itself cannot be changed while a session runs
+        _LOCAL[application] = tempfile.mkdtemp(prefix="tillbridge-")
+    return _LOCAL[application]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

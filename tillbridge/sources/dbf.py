@@ -17,10 +17,11 @@ by default, but for reads that name their ``columns``, which ask by ``keepRaw``.
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import date, datetime
 from decimal import ROUND_HALF_EVEN, Context, Decimal
 
@@ -176,7 +177,24 @@ def check_strict(header: DbfHeader, size: int, path: str, layout: tuple[DbfField
         raise DbfError(f"{path} has no end marker or trailing bytes")
 
 
-def spark_type(field: DbfField, strict: bool) -> T.DataType:
+def number_kinds(options: dict) -> dict[str, tuple[int, int] | None]:
+    """(precision, scale) that option ``numbers`` gives a numeric field, or None for its text; ``*`` names all fields."""
+    return {name: None if kind == "text" else tuple(kind) for name, kind in json.loads(options.get("numbers", "{}")).items()}
+
+
+def given_kind(field: DbfField, numbers: dict) -> tuple[int, int] | str | None:
+    """What ``numbers`` says of a numeric field: (precision, scale), "text", or None for what the file declares."""
+    for name in (field.name, "*"):
+        if field.kind == "N" and name in numbers:
+            return numbers[name] or "text"
+    return None
+
+
+def spark_type(field: DbfField, strict: bool, given: tuple[int, int] | str | None = None) -> T.DataType:
+    if given == "text":
+        return T.StringType()
+    if given is not None:
+        return T.DecimalType(*given)
     if field.kind == "N":
         return T.DecimalType(min(38, max(field.width, field.decimals + 1)), field.decimals)
     if field.kind == "L":
@@ -189,7 +207,8 @@ def table_schema(fields: Iterable[DbfField], options: dict, stream: bool = False
     wanted = [c.strip() for c in options.get("columns", "").split(",") if c.strip()]
     keep_raw = options.get("keepraw", "false" if wanted else "true").lower() == "true"
     chosen = [f for f in fields if not wanted or f.name in wanted]
-    schema = T.StructType([T.StructField(f.name, spark_type(f, strict)) for f in chosen])
+    numbers = number_kinds(options)
+    schema = T.StructType([T.StructField(f.name, spark_type(f, strict, given_kind(f, numbers))) for f in chosen])
     if keep_raw and not strict:
         for f in chosen:
             if f.kind in "NL":
@@ -203,20 +222,23 @@ def _texts(block: np.ndarray, offset: int, width: int, encoding: str) -> np.ndar
     return np.char.decode(raw, encoding, "ignore")
 
 
-def decode_field(block: np.ndarray, field: DbfField, offset: int, encoding: str, strict: bool) -> tuple[pa.Array, pa.Array]:
-    """(typed values, text that did not parse) of one field."""
+def decode_field(block: np.ndarray, field: DbfField, offset: int, encoding: str, strict: bool, given: tuple[int, int] | str | None = None) -> tuple[pa.Array, pa.Array]:
+    """(typed values, text that did not parse) of one field; ``given`` is the type to use for a numeric one."""
     text = _texts(block, offset, field.width, encoding)
     text = np.char.rstrip(text, " \x00") if strict and field.kind == "C" else np.char.strip(text, " \t\r\n\x0b\x0c\x00\xa0\x85\x1c\x1d\x1e\x1f")
     column = pa.array(text.astype(object), pa.string())
     column = pc.if_else(pc.equal(column, ""), pa.scalar(None, pa.string()), column)
     nothing = pa.nulls(len(column), pa.string())
+    if given == "text":
+        return column, nothing
     if field.kind == "N":
+        kind = spark_type(field, strict, given)
+        field = replace(field, decimals=kind.scale)
         decimals = rf"(\.[0-9]{{0,{field.decimals}}})?" if field.decimals else r"(\.0*)?"
         if strict:
             decimals = rf"(\.[0-9]{{1,{field.decimals}}})?" if field.decimals else ""
         ok = pc.match_substring_regex(column, rf"^{'-?' if strict else '[+-]?'}[0-9]+{decimals}$")
         good = pc.if_else(ok, column, pa.scalar(None, pa.string()))
-        kind = spark_type(field, strict)
         plain = pc.replace_substring_regex(pc.replace_substring_regex(good, r"^\+", ""), r"\.0*$" if not field.decimals else r"\.$", "")
         values = plain.cast(pa.decimal128(38, field.decimals)).cast(pa.decimal128(kind.precision, kind.scale))
         if strict:
@@ -296,6 +318,7 @@ class RecordDecoder:
             return None
         block = block[rows]
         decoded: dict[str, tuple[pa.Array, pa.Array]] = {}
+        numbers = number_kinds(self.options)
         columns = []
         for target in schema:
             name = target.name
@@ -309,7 +332,7 @@ class RecordDecoder:
                 raw = name.startswith("_raw_") and name[5:] in by_name
                 source = name[5:] if raw else name
                 if source not in decoded:
-                    decoded[source] = decode_field(block, by_name[source], offsets[source], encoding, self.strict)
+                    decoded[source] = decode_field(block, by_name[source], offsets[source], encoding, self.strict, given_kind(by_name[source], numbers))
                     if self.strict and decoded[source][1].null_count != len(rows):
                         bad = next(x for x in decoded[source][1].to_pylist() if x is not None)
                         raise DbfError(f"{path}: invalid value in {source}: {bad!r}")
@@ -549,6 +572,41 @@ def read_dbf(spark: SparkSession, path: str, **options: str) -> DataFrame:
     return spark.read.format("dbf").options(**options).load(resolve(spark, path))
 
 
+def number_census(spark: SparkSession, path: str, **options: str) -> dict[str, tuple[int, int] | str]:
+    """The decimal type that holds every legal number of each numeric field exactly, or "text" beyond 38 digits.
+
+    One pass over the texts of the numeric fields of all files; a field's type is never smaller than it declares.
+    """
+    files = find_files(resolve(spark, path), options.get("table"))
+    fields = [f for f in header_of(files[0])[0].fields if f.kind == "N"] if files else []
+    wanted = [c.strip() for c in options.get("columns", "").split(",") if c.strip()]
+    fields = [f for f in fields if not wanted or f.name in wanted]
+    if not fields:
+        return {}
+    texts = read_dbf(spark, path, **{**options, "columns": ",".join(f.name for f in fields), "numbers": json.dumps({"*": "text"})})
+    found = []
+    for f in fields:
+        text = F.when(F.col(f.name).rlike(NUMBER), F.col(f.name))
+        whole = F.regexp_replace(F.regexp_extract(text, "^[+-]?([0-9]*)", 1), "^0+", "")
+        part = F.regexp_replace(F.regexp_extract(text, r"\.([0-9]*)", 1), "0+$", "")
+        power = F.coalesce(F.regexp_extract(text, "[eE]([+-]?[0-9]+)$", 1).try_cast("int"), F.lit(0))
+        found += [F.max(F.greatest(F.lit(0), F.length(whole) + power)).alias(f"{f.name}_whole"), F.max(F.greatest(F.lit(0), F.length(part) - power)).alias(f"{f.name}_part")]
+    seen = texts.agg(*found).first()
+    kinds: dict[str, tuple[int, int] | str] = {}
+    for f in fields:
+        declared = spark_type(f, False)
+        whole, part = seen[f"{f.name}_whole"] or 0, seen[f"{f.name}_part"] or 0
+        scale = max(declared.scale, part)
+        exact = max(whole + scale, 1)
+        kinds[f.name] = "text" if exact > 38 else (min(38, max(exact, declared.precision - declared.scale + scale)), scale)
+    return kinds
+
+
+def read_exact_dbf(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """Lenient read whose numbers keep all their digits, whatever the fields declare."""
+    return read_dbf(spark, path, **{**options, "numbers": json.dumps(number_census(spark, path, **options))})
+
+
 def read_selected(spark: SparkSession, path: str, key: str, keys: DataFrame, columns: list[str], **options: str) -> DataFrame:
     """Rows of the wanted keys, chosen columns only.
 
