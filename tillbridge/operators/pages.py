@@ -37,6 +37,9 @@ def read_page(spark: SparkSession, folder: str, page: int = 1, per_page: int = 5
     ranges = spark.read.parquet(f"{folder}/ranges")
     held = ranges.where((F.col("_first") < start + size) & (F.col("_first") + F.col("_rows") > start))
     parts = [r["_part"] for r in held.select("_part").collect()]  # the ranges of one page
-    rows = spark.read.parquet(f"{folder}/rows").where(F.col("_part").isin(parts))
+    if parts:
+        rows = spark.read.option("basePath", f"{folder}/rows").parquet(*[f"{folder}/rows/_part={k}" for k in parts])
+    else:
+        rows = spark.read.parquet(f"{folder}/rows").where("false")
     placed = rows.join(F.broadcast(held.select("_part", "_first")), "_part").withColumn("_at", F.col("_first") + F.col("_place"))
     return placed.where((F.col("_at") >= start) & (F.col("_at") < start + size)).orderBy("_at").drop("_at", "_first", "_place", "_part")
