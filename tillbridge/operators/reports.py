@@ -102,6 +102,45 @@ def flat_export(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns])
 
 
+# Columns of the exports.
+FEED_COLUMNS = (
+    "id", "source", "endpoint", "method", "sku", "title", "success", "message", "product_id", "variant_id", "received_at", "request_payload", "normalized_payload",
+)
+REQUEST_LOG_COLUMNS = (
+    "id", "shop_domain", "api_key_preview", "method", "path", "query_string", "status_code", "route_path", "request_body", "user_agent", "source_ip", "duration_ms", "created_at",
+)
+MANIFEST_COLUMNS = ("table", "path", "category", "records", "record_length", "field_count", "sensitive_fields", "fields", "error")
+
+
+def feed_report(events: DataFrame, limit: int = 1000) -> DataFrame:
+    """The newest feed events, every column as text."""
+    return flat_export(events.orderBy(F.desc("received_at"), F.desc("id")).limit(max(1, limit)), FEED_COLUMNS)
+
+
+def request_log_report(logs: DataFrame, limit: int = 2000) -> DataFrame:
+    """The newest requests, every column as text."""
+    return flat_export(logs.orderBy(F.desc("created_at"), F.desc("id")).limit(max(1, limit)), REQUEST_LOG_COLUMNS)
+
+
+def manifest_report(profile: DataFrame) -> DataFrame:
+    """The profile of a table archive, lists joined."""
+    return flat_export(joined_lists(profile, "fields", "sensitive_fields"), MANIFEST_COLUMNS)
+
+
+def reconciliation_report(classes: DataFrame, products: DataFrame, variants: DataFrame) -> DataFrame:
+    """product_id, title, status and joined SKUs of the products that a reconciliation wants archived.
+
+    classes (product_id, status, class); products (product_id, title); variants
+    (product_id, pos, sku), blank SKUs left out. A product's SKUs are one cell of the report.
+    """
+    candidates = classes.where(F.col("class") == "candidate").select("product_id", "status")
+    sku = F.trim("sku")
+    listed = variants.where(sku != "").join(candidates.select("product_id"), "product_id", "left_semi")
+    skus = listed.groupBy("product_id").agg(F.array_sort(F.collect_list(F.struct("pos", sku.alias("sku")))).alias("s"))
+    rows = candidates.join(products, "product_id", "left").join(skus.select("product_id", F.transform("s", lambda x: x["sku"]).alias("skus")), "product_id", "left")
+    return flat_export(joined_lists(rows, "skus"), ("product_id", "title", "status", "skus"))
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """Header in each file; quotes are doubled, blanks kept."""
     df.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)

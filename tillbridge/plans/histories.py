@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillbridge.operators import customers, grid_plans, pages, parts, repair
+from tillbridge.operators import customers, grid_plans, pages, parts, repair, reports
 from tillbridge.plans import proxies as p
 from tillbridge.plans.registry import Tables, query
 
@@ -177,3 +177,30 @@ def stored_page(t: Tables) -> DataFrame:
     order = ["l_extendedprice", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
     folder = pages.store_pages(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"), order)
     return pages.read_page(t.spark, folder, page=50)
+
+
+@query("feed_report", """
+SELECT CAST(event_id AS VARCHAR) AS id, event_type AS source, '/api/' || event_type AS endpoint, 'POST' AS method, CASE WHEN event_id % 3 <> 0 THEN 'P' || user_id ELSE '' END AS sku, '' AS title, CASE WHEN event_id % 4 = 0 THEN 'false' ELSE 'true' END AS success,
+  'm' || event_id AS message, CASE WHEN event_id % 5 = 0 THEN CAST(user_id AS VARCHAR) ELSE '' END AS product_id, '' AS variant_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS received_at, props AS request_payload, CASE WHEN event_id % 2 = 0 THEN props ELSE '' END AS normalized_payload
+FROM events ORDER BY date_trunc('second', ts) DESC, event_id DESC LIMIT 1000""")
+def feed_report(t: Tables) -> DataFrame:
+    k = F.col("event_id")
+    return reports.feed_report(t.events.select(
+        k.alias("id"), F.col("event_type").alias("source"), F.concat(F.lit("/api/"), "event_type").alias("endpoint"), F.lit("POST").alias("method"), F.when(k % 3 != 0, p.code("P", "user_id")).alias("sku"),
+        F.lit(None).cast("string").alias("title"), (k % 4 != 0).alias("success"), p.code("m", "event_id").alias("message"), F.when(k % 5 == 0, F.col("user_id")).alias("product_id"), F.lit(None).cast("long").alias("variant_id"),
+        p.iso(F.col("ts")).alias("received_at"), F.col("props").alias("request_payload"), F.when(k % 2 == 0, F.col("props")).alias("normalized_payload"),
+    ))
+
+
+@query("request_log_report", """
+SELECT CAST(event_id AS VARCHAR) AS id, 'shop' || (user_id % 3) AS shop_domain, CASE WHEN event_id % 3 = 0 THEN 'key-' || user_id ELSE '' END AS api_key_preview, 'GET' AS method, '/' || event_type AS path, '' AS query_string, CAST(200 + event_id % 3 * 100 AS VARCHAR) AS status_code,
+  '/' || event_type AS route_path, CASE WHEN event_id % 2 = 0 THEN props ELSE '' END AS request_body, '' AS user_agent, '' AS source_ip, CAST(user_id AS VARCHAR) AS duration_ms, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS created_at
+FROM events ORDER BY date_trunc('second', ts) DESC, event_id DESC LIMIT 2000""")
+def request_log_report(t: Tables) -> DataFrame:
+    k, none = F.col("event_id"), F.lit(None).cast("string")
+    path = F.concat(F.lit("/"), "event_type")
+    return reports.request_log_report(t.events.select(
+        k.alias("id"), F.concat(F.lit("shop"), (F.col("user_id") % 3).cast("string")).alias("shop_domain"), F.when(k % 3 == 0, p.code("key-", "user_id")).alias("api_key_preview"), F.lit("GET").alias("method"), path.alias("path"),
+        none.alias("query_string"), (200 + k % 3 * 100).alias("status_code"), path.alias("route_path"), F.when(k % 2 == 0, F.col("props")).alias("request_body"), none.alias("user_agent"), none.alias("source_ip"),
+        F.col("user_id").alias("duration_ms"), p.iso(F.col("ts")).alias("created_at"),
+    ))

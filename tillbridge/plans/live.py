@@ -108,6 +108,15 @@ def order_detail_file(t: Tables) -> DataFrame:
     return rows.select(*[F.col(c).alias(c.lower()) for c in ("ORDER_ID", "GEN_ID", "LINE_KEY", "LINE_NO", "QTY", "UNIT_PRICE", "SRC_VER")])
 
 
+@query("manifest_report", """
+SELECT 'products_inventory' AS category, CAST(sum(1) AS BIGINT) AS records, 'SKU;DESC;PRICE;QTY;SELLWEB;LAST_ACT' AS fields, '6' AS field_count, '76' AS record_length, '' AS sensitive_fields, '' AS error FROM part""")
+def manifest_report(t: Tables) -> DataFrame:
+    """The report of item files, their records summed: their number is that of the writing tasks."""
+    rows = reports.manifest_report(profile.profile_tables(t.spark, item_files(t)))
+    same = ("category", "fields", "field_count", "record_length", "sensitive_fields", "error")
+    return rows.groupBy(*same).agg(F.sum(F.col("records").cast("long")).alias("records")).where("records > 0")
+
+
 @query("dbf_strict_scan", f"{ITEM_SQL}, DATE '2024-02-29' AS last_act FROM part")
 def dbf_strict_scan(t: Tables) -> DataFrame:
     return named(dbf.read_dbf(t.spark, item_files(t), mode="strict", layout=dbf.layout_text(ITEM_LAYOUT)))

@@ -125,6 +125,18 @@ def reconcile_catalog_counts(t: Tables) -> DataFrame:
     return catalog_classes(t).groupBy("class").agg(F.count(F.lit(1)).alias("products"))
 
 
+@query("reconciliation_report", f"""
+WITH {CATALOG_SQL}, keyed AS (SELECT product_id, trim(sku) AS sku, row_number() OVER (PARTITION BY product_id ORDER BY pos) AS pos FROM (
+  SELECT DISTINCT l_partkey AS product_id, CASE WHEN l_partkey % 11 = 0 THEN ' ' ELSE 'P' || l_partkey || '. ' || l_linenumber || ' 1' END AS sku, l_linenumber AS pos FROM lineitem) WHERE trim(sku) <> ''),
+listed AS (SELECT product_id, string_agg(sku, ';' ORDER BY pos) AS skus FROM keyed GROUP BY 1)
+SELECT CAST(cls.product_id AS VARCHAR) AS product_id, coalesce(p_name, '') AS title, status, coalesce(skus, '') AS skus FROM cls LEFT JOIN part ON p_partkey = cls.product_id LEFT JOIN listed ON listed.product_id = cls.product_id WHERE class = 'candidate'""")
+def reconciliation_report(t: Tables) -> DataFrame:
+    k = F.col("l_partkey")
+    sku = F.when(k % 11 == 0, " ").otherwise(F.concat(p.code("P", "l_partkey"), F.lit(". "), F.col("l_linenumber").cast("string"), F.lit(" 1")))
+    variants = t.lineitem.select(k.alias("product_id"), F.col("l_linenumber").alias("pos"), sku.alias("sku")).distinct()
+    return reports.reconciliation_report(catalog_classes(t), t.part.select(F.col("p_partkey").alias("product_id"), F.col("p_name").alias("title")), variants)
+
+
 @query("search_catalog", """
 SELECT p_partkey, p_name AS title FROM part WHERE lower(p_type) = 'economy' AND (contains(lower(p_name), 'ring') OR contains('p' || p_partkey, 'ring')) ORDER BY p_partkey LIMIT 20 OFFSET 20""")
 def search_catalog(t: Tables) -> DataFrame:
