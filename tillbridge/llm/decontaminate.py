@@ -1,8 +1,8 @@
 """Benchmark decontamination with suffix arrays of the training text.
 
 The documents are dealt into shards (batches of a partition). A shard's suffix
-array sorts the places of its text by the words that follow. Every suffix of
-every benchmark item is binary-searched in it, all at once and word by word:
+array sorts the places of its text by the words that follow. Every suffix of a
+benchmark item that begins with a whole window is binary-searched in it, all at once and word by word:
 the interval of places that share its first k words shrinks as k grows, until it
 is empty or as long as a window: that interval gives all places where the window
 occurs. Hits of consecutive windows of an item at consecutive places are one
