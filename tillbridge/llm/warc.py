@@ -47,7 +47,6 @@ BUNDLE_BYTES = 256 << 20
 LEVEL = 3
 # Fixed values of the seekable format.
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC, FOOTER_BYTES = 0x184D2A5E, 0x8F92EAB1, 9
-INDEX_MAGIC = 0x184D2A5D  # another of the sixteen skippable frames
 READ_BYTES = 16 << 20
 VISIBLE = "".join(map(chr, range(0x21, 0x7F)))
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -149,7 +148,7 @@ class Bundle:
         self.end_frame()
         number = {start: k for k, start in enumerate(dict.fromkeys(r[2] for r in self.rows))}
         listed = zstandard.compress(json.dumps([(r[0], number[r[2]], r[5], r[6]) for r in self.rows]).encode(), LEVEL)
-        self.out.write(struct.pack("<II", INDEX_MAGIC, len(listed)) + listed)
+        self.out.write(struct.pack("<II", SKIPPABLE_MAGIC, len(listed)) + listed)
         table = b"".join(struct.pack("<II", *sizes) for sizes in self.frames) + struct.pack("<IBI", len(self.frames), 0, SEEKABLE_MAGIC)
         self.out.write(struct.pack("<II", SKIPPABLE_MAGIC, len(table)) + table)
         self.out.close()
@@ -179,7 +178,7 @@ def record_index(uri: str) -> list[tuple[int | None, int, int, int]]:
     files, path = open_uri(uri)
     with files.open_input_file(path) as source:
         magic, size = struct.unpack("<II", source.read_at(8, at))
-        if magic != INDEX_MAGIC:
+        if magic != SKIPPABLE_MAGIC or at + 16 + size + 8 * len(frames) + FOOTER_BYTES != source.size():  # the seek table follows
             raise ValueError(f"{uri} has no record index")
         return [tuple(x) for x in json.loads(zstandard.decompress(source.read_at(size, at + 8)))]
 
