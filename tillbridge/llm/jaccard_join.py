@@ -50,11 +50,11 @@ WIDTH = 3
 PERCENT = 90
 SUBSET = 2
 DEPTH = 4
-FREQUENT = 1 << 16
+FREQUENT = 1 << 19
 BITS, SPARSE = 1024, 2000  # bits of the sketch of sets up to so many elements; four times both, and so on, for larger ones
 KEY_COST, ENTRY_COST = 10.0, 1.0  # a key is made, shuffled and counted; a list entry read is one step of a join
 BINS_PER_OCTAVE = 4
-SPLIT_ROWS = 256
+SPLIT_ROWS = 1024
 SIGNED = "unnamed boolean, doc_id long, text_key long, n_shingles long, set_high long, set_low long, elements array<long>, counts array<long>"
 CHOSEN = "set_high long, set_low long, n_shingles long, prefix array<long>, sketch array<long>"
 
@@ -110,7 +110,8 @@ def _sign(width: int):
             halves = np.array([digest(x) for x in sets])
             signed = batch[["unnamed", "doc_id", "text_key"]].assign(n_shingles=[len(x) for x in sets], set_high=halves[:, 0], set_low=halves[:, 1])
             yield signed.assign(elements=pd.Series([None] * len(batch), dtype=object, index=batch.index), counts=pd.Series([None] * len(batch), dtype=object, index=batch.index))
-        yield pd.DataFrame([(True, 0, 0, -1, 0, 0, frequent.elements.view(np.int64), frequent.counts)], columns=names)
+        often = frequent.counts > 1
+        yield pd.DataFrame([(True, 0, 0, -1, 0, 0, frequent.elements[often].view(np.int64), frequent.counts[often])], columns=names)
 
     return run
 
@@ -149,8 +150,10 @@ def _choose(shared, width: int, percent: int):
                 found = shingles(text, width)
                 if not len(found) or 100 * len(found) < percent * (len(found) + 1):
                     continue
-                at = np.minimum(np.searchsorted(element, found), len(element) - 1)
-                known = np.where(element[at] == found, count[at], 0)
+                known = np.zeros(len(found), np.int64)
+                if len(element):
+                    at = np.minimum(np.searchsorted(element, found), len(element) - 1)
+                    known = np.where(element[at] == found, count[at], 0)
                 order = np.argsort(known, kind="stable")  # the set is sorted by hash
                 bits = sketch_bits(len(found))
                 parity = np.bincount((found % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
