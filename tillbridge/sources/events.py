@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tillbridge.functions.keys import folded_keys, is_stock_record, pick, resource_uri
 from tillbridge.functions.money import as_flag, as_number, as_whole
-from tillbridge.functions.text import first_nonempty
+from tillbridge.functions.text import first_nonempty, let
 from tillbridge.functions.times import parse_time
 from tillbridge.operators.orders import ADDRESS, LINE_ITEM, ORDER
 from tillbridge.operators.payloads import JSON, LINE
@@ -43,44 +43,51 @@ def _list_items(value: Column, kind: str = "array<string>") -> Column:
 
 def named_values(value: Column) -> Column:
     """Names in a comma list or a JSON array of texts or ``{name: ...}``."""
-    listed = F.transform(
-        _list_items(value),
-        lambda x: F.trim(F.when(x.startswith("{"), F.get_json_object(x, "$.name")).otherwise(x)),
-    )
-    split = F.transform(F.split(value, ","), lambda x: F.trim(x))
-    names = F.coalesce(listed, split, F.array().cast("array<string>"))
-    return F.filter(names, lambda x: x.isNotNull() & (x != ""))
+    def names(text: Column) -> Column:
+        listed = F.transform(
+            _list_items(text),
+            lambda x: F.trim(F.when(x.startswith("{"), F.get_json_object(x, "$.name")).otherwise(x)),
+        )
+        split = F.transform(F.split(text, ","), lambda x: F.trim(x))
+        return F.coalesce(listed, split, F.array().cast("array<string>"))
+
+    return F.filter(let(value, names), lambda x: x.isNotNull() & (x != ""))
 
 
 def image_urls(value: Column) -> Column:
-    listed = F.transform(
-        _list_items(value),
-        lambda x: F.trim(
-            F.when(
-                x.startswith("{"),
-                F.coalesce(F.nullif(F.get_json_object(x, "$.src"), F.lit("")), F.get_json_object(x, "$.url")),
-            ).otherwise(x)
-        ),
-    )
-    urls = F.coalesce(listed, F.transform(F.split(value, ","), lambda x: F.trim(x)), F.array().cast("array<string>"))
-    return F.filter(urls, lambda x: x.isNotNull() & (x != ""))
+    def urls(text: Column) -> Column:
+        listed = F.transform(
+            _list_items(text),
+            lambda x: F.trim(
+                F.when(
+                    x.startswith("{"),
+                    F.coalesce(F.nullif(F.get_json_object(x, "$.src"), F.lit("")), F.get_json_object(x, "$.url")),
+                ).otherwise(x)
+            ),
+        )
+        return F.coalesce(listed, F.transform(F.split(text, ","), lambda x: F.trim(x)), F.array().cast("array<string>"))
+
+    return F.filter(let(value, urls), lambda x: x.isNotNull() & (x != ""))
 
 
 def metafield_list(value: Column) -> Column:
     """Metafields given as an array, one object, or a plain map of values."""
     shape = "struct<namespace:string,key:string,value:string,type:string>"
-    many = _list_items(value, f"array<{shape}>")
-    is_object = F.trim(value).startswith("{")
-    one = F.when(is_object & (F.coalesce(F.get_json_object(value, "$.key"), F.lit("")) != ""), F.array(F.from_json(value, shape)))
-    plain = F.when(is_object, F.transform(
-        F.map_entries(F.from_json(value, "map<string,string>")),
-        lambda e: F.struct(
-            F.lit("custom").alias("namespace"), e["key"].alias("key"), e["value"].alias("value"),
-            F.when(e["value"].rlike(r"^[\[{]"), JSON).otherwise(LINE).alias("type"),
-        ),
-    ))
-    entries = F.coalesce(many, one, plain, F.array().cast(f"array<{shape}>"))
-    cleaned = F.transform(entries, lambda m: F.struct(
+
+    def entries(text: Column) -> Column:
+        many = _list_items(text, f"array<{shape}>")
+        is_object = F.trim(text).startswith("{")
+        one = F.when(is_object & (F.coalesce(F.get_json_object(text, "$.key"), F.lit("")) != ""), F.array(F.from_json(text, shape)))
+        plain = F.when(is_object, F.transform(
+            F.map_entries(F.from_json(text, "map<string,string>")),
+            lambda e: F.struct(
+                F.lit("custom").alias("namespace"), e["key"].alias("key"), e["value"].alias("value"),
+                F.when(e["value"].rlike(r"^[\[{]"), JSON).otherwise(LINE).alias("type"),
+            ),
+        ))
+        return F.coalesce(many, one, plain, F.array().cast(f"array<{shape}>"))
+
+    cleaned = F.transform(let(value, entries), lambda m: F.struct(
         F.coalesce(_blank_to_null(m["namespace"]), F.lit("custom")).alias("namespace"), _blank_to_null(m["key"]).alias("key"),
         F.nullif(m["value"], F.lit("")).alias("value"), F.coalesce(_blank_to_null(m["type"]), F.lit(LINE)).alias("type"),
     ))
@@ -102,10 +109,12 @@ def form_pairs(body: Column) -> Column:
     fields = F.filter(F.split(F.coalesce(body, F.lit("")), "&"), lambda x: x != "")
 
     def pair(field: Column) -> Column:
-        at = F.instr(field, "=")
-        name = F.when(at > 0, F.substring(field, F.lit(1), at - 1)).otherwise(field)
-        value = F.when(at > 0, F.substring(field, at + 1, F.length(field))).otherwise("")
-        return F.struct(unquoted(name).alias("name"), unquoted(value).alias("value"))
+        def parts(at: Column) -> Column:
+            name = F.when(at > 0, F.substring(field, F.lit(1), at - 1)).otherwise(field)
+            value = F.when(at > 0, F.substring(field, at + 1, F.length(field))).otherwise("")
+            return F.struct(unquoted(name).alias("name"), unquoted(value).alias("value"))
+
+        return let(F.instr(field, "="), parts)
 
     return F.transform(fields, pair)
 
@@ -127,13 +136,15 @@ def multipart_pairs(body: Column, content_type: Column) -> Column:
 
 def multimap(pairs: Column) -> Column:
     """Names to values; a repeated name has the JSON list of its values. Bounded by one payload."""
-    names = F.array_distinct(F.transform(pairs, lambda p: p["name"]))
+    def mapped(v: Column) -> Column:
+        def values(name: Column) -> Column:
+            own = F.transform(F.filter(v["pairs"], lambda p: p["name"] == name), lambda p: p["value"])
+            return let(own, lambda o: F.when(F.size(o) > 1, F.to_json(o)).otherwise(F.get(o, F.lit(0))))
 
-    def values(name: Column) -> Column:
-        own = F.transform(F.filter(pairs, lambda p: p["name"] == name), lambda p: p["value"])
-        return F.when(F.size(own) > 1, F.to_json(own)).otherwise(F.get(own, F.lit(0)))
+        return F.map_from_arrays(v["names"], F.transform(v["names"], values))
 
-    return F.map_from_arrays(names, F.transform(names, values))
+    named = let(pairs, lambda ps: F.struct(ps.alias("pairs"), F.array_distinct(F.transform(ps, lambda p: p["name"])).alias("names")))
+    return let(named, mapped)
 
 
 def payload_fields(payload: Column, content_type: Column | None = None, ignored: tuple[str, ...] = ()) -> Column:
@@ -151,6 +162,32 @@ def payload_fields(payload: Column, content_type: Column | None = None, ignored:
     return F.when(kind.isin(FORM, MULTIPART), multimap(F.coalesce(pairs, F.array().cast(PAIRS)))).otherwise(json)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt evenly over the cluster: a small file is one scan task, and a payload costs far more to parse than to move."""
+    spark = rows.sparkSession
+    return rows.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+class Picks:
+    """Values picked from a payload's maps, all in one expression; ``of`` names a value, ``added`` computes them.
+
+    Hundreds of lookups in one lambda are evaluated as they are: as generated
+    code they make methods too long for the virtual machine to compile.
+    """
+
+    def __init__(self, column: str = "_picks"):
+        self.column, self.wanted = column, {}
+
+    def of(self, *names: str) -> Column:
+        key = self.wanted.setdefault(names, f"v{len(self.wanted)}")
+        return F.col(f"{self.column}.{key}")
+
+    def added(self, rows: DataFrame, raw: Column, folded: Column) -> DataFrame:
+        maps = F.struct(raw.alias("raw"), folded.alias("folded"))
+        fields = let(maps, lambda v: F.struct(*[pick(v["raw"], v["folded"], *names).alias(key) for names, key in self.wanted.items()]))
+        return rows.withColumn(self.column, fields)
+
+
 def _first_error(*checks: tuple[Column, str]) -> Column:
     error = F.when(F.lit(False), F.lit(""))
     for bad, name in checks:
@@ -165,30 +202,32 @@ def parse_product_events(rows: DataFrame, payload: str = "payload", content_type
     without two hex digits stays in the text, or makes an error row on request.
     """
     kind = None if content_type is None else F.col(content_type)
-    parsed = rows.withColumn("_map", payload_fields(F.col(payload), kind))
+    parsed = spread(rows).withColumn("_map", payload_fields(F.col(payload), kind))
     parsed = parsed.withColumn("_folded", folded_keys(F.col("_map")))
-    raw, folded = F.col("_map"), F.col("_folded")
+    raw, picks = F.col("_map"), Picks()
+    value = picks.of
     bare = F.lit("") if kind is None else F.lower(F.trim(F.substring_index(F.coalesce(kind, F.lit("")), ";", 1)))
     form, typed_other = bare.isin(FORM, MULTIPART), ~bare.isin("", JSON_BODY)
 
     def text(*names: str) -> Column:
-        return _blank_to_null(pick(raw, folded, *names))
+        return _blank_to_null(value(*names))
 
-    categories = F.array_distinct(F.flatten(F.array(*[named_values(pick(raw, folded, c)) for c in CATEGORIES])))
+    listed = F.array_distinct(F.flatten(F.array(*[named_values(value(c)) for c in CATEGORIES])))
+    categories = F.col("_categories")
     labels = [F.concat(F.lit(f"{label}:"), text(*names)) for label, names in LABELS]
-    tags = F.array_distinct(F.concat(named_values(pick(raw, folded, "tags")), categories, F.array_compact(F.array(*labels))))
+    tags = F.array_distinct(F.concat(named_values(value("tags")), categories, F.array_compact(F.array(*labels))))
     titled = first_nonempty(F.try_element_at(raw, F.lit("Description")), F.try_element_at(raw, F.lit("DESCRIPTION")))
     generic = _blank_to_null(F.try_element_at(raw, F.lit("description")))
     title = F.coalesce(text(*TITLE), _blank_to_null(titled))
-    borrowed = title.isNull() & generic.isNotNull() & is_stock_record(raw, folded)
-    price, bad_price = as_number(F.coalesce(pick(raw, folded, *PRICE), pick(raw, folded, *SUGGESTED)))
-    compare, bad_compare = as_number(pick(raw, folded, *COMPARE_AT))
-    cost, bad_cost = as_number(pick(raw, folded, *COST))
-    stock, bad_stock = as_whole(F.coalesce(pick(raw, folded, "quantity", "qty"), pick(raw, folded, "stock_quantity")))
-    tracked, bad_tracked = as_flag(F.coalesce(pick(raw, folded, "tracked"), pick(raw, folded, "manage_stock", "manage stock")))
-    shipped, bad_shipped = as_flag(pick(raw, folded, "requires_shipping", "requires shipping"))
-    update, bad_update = as_flag(pick(raw, folded, *UPDATE))
-    images = image_urls(pick(raw, folded, *IMAGES))
+    borrowed = title.isNull() & generic.isNotNull() & is_stock_record(value)
+    price, bad_price = as_number(F.coalesce(value(*PRICE), value(*SUGGESTED)))
+    compare, bad_compare = as_number(value(*COMPARE_AT))
+    cost, bad_cost = as_number(value(*COST))
+    stock, bad_stock = as_whole(F.coalesce(value("quantity", "qty"), value("stock_quantity")))
+    tracked, bad_tracked = as_flag(F.coalesce(value("tracked"), value("manage_stock", "manage stock")))
+    shipped, bad_shipped = as_flag(value("requires_shipping", "requires shipping"))
+    update, bad_update = as_flag(value(*UPDATE))
+    images = image_urls(value(*IMAGES))
     single = text(*ONE_IMAGE)
     images = F.when(single.isNotNull() & ~F.array_contains(images, single), F.array_prepend(images, single)).otherwise(images)
     error = _first_error(
@@ -197,7 +236,7 @@ def parse_product_events(rows: DataFrame, payload: str = "payload", content_type
         (bad_price | bad_compare | bad_cost, "invalid_price"), (bad_stock, "invalid_quantity"),
         (bad_tracked | bad_shipped | bad_update, "invalid_boolean"),
     )
-    return parsed.select(
+    fields = [
         *rows.columns, text("sku").alias("sku"), F.when(borrowed, generic).otherwise(title).alias("title"),
         text("name").alias("name"), text("handle", "slug").alias("handle"),
         text("external_id", "id", "product_id").alias("external_id"),
@@ -209,8 +248,9 @@ def parse_product_events(rows: DataFrame, payload: str = "payload", content_type
         tags.alias("tags"), text("status").alias("status"), text(*BARCODE).alias("barcode"), price.alias("price"),
         compare.alias("compare_at_price"), cost.alias("cost"), stock.alias("quantity"), tracked.alias("tracked"),
         shipped.alias("requires_shipping"), images.alias("images"),
-        metafield_list(pick(raw, folded, "metafields", "metafield")).alias("metafields"), error.alias("error"),
-    )
+        metafield_list(value("metafields", "metafield")).alias("metafields"), error.alias("error"),
+    ]
+    return picks.added(parsed, raw, F.col("_folded")).withColumn("_categories", listed).select(*fields)
 
 
 def unwrap_bulk(rows: DataFrame, plural: str, payload: str = "payload") -> DataFrame:
@@ -237,49 +277,52 @@ def unwrap_bulk(rows: DataFrame, plural: str, payload: str = "payload") -> DataF
 
 
 def _parse_address(item: Column) -> Column:
-    raw = F.from_json(item, "map<string,string>")
-    folded = folded_keys(raw)
+    def fields(v: Column) -> Column:
+        def text(*names: str) -> Column:
+            return _blank_to_null(pick(v["raw"], v["folded"], *names))
 
-    def text(*names: str) -> Column:
-        return _blank_to_null(pick(raw, folded, *names))
+        return F.struct(
+            text("firstName", "first_name", "first name").alias("first_name"),
+            text("lastName", "last_name", "last name").alias("last_name"), text("company").alias("company"),
+            text("address1", "address_1", "address").alias("address1"), text("address2", "address_2").alias("address2"),
+            text("city").alias("city"), text("provinceCode", "province_code", "state").alias("province_code"),
+            text("zip", "zipcode", "postal_code").alias("zip"),
+            F.coalesce(text("countryCode", "country_code", "country"), F.lit("US")).alias("country_code"),
+            text("phone").alias("phone"),
+        )
 
-    return F.struct(
-        text("firstName", "first_name", "first name").alias("first_name"),
-        text("lastName", "last_name", "last name").alias("last_name"), text("company").alias("company"),
-        text("address1", "address_1", "address").alias("address1"), text("address2", "address_2").alias("address2"),
-        text("city").alias("city"), text("provinceCode", "province_code", "state").alias("province_code"),
-        text("zip", "zipcode", "postal_code").alias("zip"),
-        F.coalesce(text("countryCode", "country_code", "country"), F.lit("US")).alias("country_code"),
-        text("phone").alias("phone"),
-    )
+    keyed = let(F.from_json(item, "map<string,string>"), lambda raw: F.struct(raw.alias("raw"), folded_keys(raw).alias("folded")))
+    return let(keyed, fields)
 
 
 def parse_customer_events(rows: DataFrame, payload: str = "payload") -> DataFrame:
     """Canonical customer columns from JSON objects with any key spelling."""
-    parsed = rows.withColumn("_map", F.from_json(payload, "map<string,string>"))
+    parsed = spread(rows).withColumn("_map", F.from_json(payload, "map<string,string>"))
     parsed = parsed.withColumn("_folded", folded_keys(F.col("_map")))
-    raw, folded = F.col("_map"), F.col("_folded")
+    raw, picks = F.col("_map"), Picks()
+    value = picks.of
 
     def text(*names: str) -> Column:
-        return _blank_to_null(pick(raw, folded, *names))
+        return _blank_to_null(value(*names))
 
-    places = pick(raw, folded, "addresses", "address")
-    items = F.coalesce(_list_items(places), F.when(F.trim(places).startswith("{"), F.array(places)), F.array().cast("array<string>"))
+    places = value("addresses", "address")
+    items = let(places, lambda p: F.coalesce(_list_items(p), F.when(F.trim(p).startswith("{"), F.array(p)), F.array().cast("array<string>")))
     addresses = F.transform(F.filter(items, lambda x: x.startswith("{")), _parse_address)
-    exempt, bad_exempt = as_flag(pick(raw, folded, "taxExempt", "tax_exempt", "tax exempt"))
+    exempt, bad_exempt = as_flag(value("taxExempt", "tax_exempt", "tax exempt"))
     error = _first_error(
         (raw.isNull() | ~F.trim(payload).startswith("{"), "invalid_customer_payload"), (bad_exempt, "invalid_boolean")
     )
-    return parsed.select(
+    fields = [
         *rows.columns, text("source", "source_file").alias("source"),
         text("pos_customer_number", "customer_number", "customer number", "cust_num", "cust num", "id").alias("pos_customer_number"),
         text("firstName", "first_name", "first name").alias("first_name"),
         text("lastName", "last_name", "last name").alias("last_name"), text("email", "internet").alias("email"),
         text("phone", "phone_h", "phone_w").alias("phone"), text("company").alias("company"),
-        named_values(pick(raw, folded, "tags")).alias("tags"), exempt.alias("tax_exempt"), addresses.alias("addresses"),
+        named_values(value("tags")).alias("tags"), exempt.alias("tax_exempt"), addresses.alias("addresses"),
         text("note", "notes").alias("note"),
-        metafield_list(pick(raw, folded, "metafields", "metafield")).alias("metafields"), error.alias("error"),
-    )
+        metafield_list(value("metafields", "metafield")).alias("metafields"), error.alias("error"),
+    ]
+    return picks.added(parsed, raw, F.col("_folded")).select(*fields)
 
 
 _WEBHOOK = (
