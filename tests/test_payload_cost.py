@@ -27,3 +27,10 @@ def test_customer_addresses_are_parsed_once(spark):
     text = plan(spark, out)
     assert text.lower().count("from_json") <= 8  # the body, addresses as a list, one address, metafields
     assert "RoundRobin" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_form_pairs_are_decoded_once(spark):
+    df = spark.createDataFrame([(1, "sku=a&tags=x&Tags=y&tags=z&title=t+1", FORM)], "k int, payload string, kind string")
+    out = events.parse_product_events(df, content_type="kind")
+    assert rows(out, "sku", "title", F.concat_ws(";", "tags"), "error") == [("a", "t 1", "x;z", None)]
+    assert plan(spark, out).count("%25") <= 2  # a name and a value
