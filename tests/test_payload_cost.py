@@ -34,3 +34,11 @@ def test_form_pairs_are_decoded_once(spark):
     out = events.parse_product_events(df, content_type="kind")
     assert rows(out, "sku", "title", F.concat_ws(";", "tags"), "error") == [("a", "t 1", "x;z", None)]
     assert plan(spark, out).count("%25") <= 2  # a name and a value
+
+
+def test_product_fields_are_picked_once(spark):
+    body = '{"sku":"","SKU":" s ","Category 1":"c1, c2","category1":"","our sell price":"1.5","PRICE":"2","Department":"d"}'
+    out = events.parse_product_events(spark.createDataFrame([(body,)], "payload string"))
+    assert rows(out, "sku", "price", F.concat_ws(";", "tags"), "product_type") == [(None, 1.5, "c1;c2;Department:d", "d")]
+    assert plan(spark, out).count("element_at") < 600  # each of about 250 names is looked up once in a text of the plan
+    assert "RoundRobin" in out._jdf.queryExecution().executedPlan().toString()
