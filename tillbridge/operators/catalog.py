@@ -14,7 +14,7 @@ from tillbridge.functions.titles import (
     archive_title, group_product_type, plain_title_case, simplify_vendor, smart_title,
 )
 from tillbridge.operators import payloads
-from tillbridge.operators.ordering import first_wins, last_wins, order_key
+from tillbridge.operators.ordering import first_wins, last_wins, order_key, spread
 
 # What makes an item not sellable.
 NON_SELLABLE_GROUPS = ("ALT", "ALTCFT", "CMS", "COUPON", "CS", "GIFTCT", "HOLGC", "MSC", "RENTAL")
@@ -56,18 +56,22 @@ def dedupe_items(items: DataFrame, order: Sequence[str] = ARRIVAL) -> DataFrame:
     """Best row per SKU plus every row without a SKU.
 
     ``first_seen`` is the arrival key of the SKU's first row and ``copies``
-    its row count; rows without a SKU sort after the others.
+    its row count; rows without a SKU sort after the others. The aggregate
+    sorts its rows: they are dealt by arrival first, and each holds its
+    arrival key once, in its quality, as the only copy beside ``first_seen``.
     """
     sku = clean_text(F.col("SKU"))
+    rest = [c for c in items.columns if c not in order]
+    columns = [F.col(f"_best.{'quality' if c in order else 'rest'}.{c}").alias(c) for c in items.columns]
     keyed = (
-        items.where(sku.isNotNull())
+        spread(items.where(sku.isNotNull()), *order, per_core=16)
         .groupBy(sku.alias("_sku"))
         .agg(
-            F.max_by(F.struct(*items.columns), item_quality(items, order)).alias("_best"),
+            F.max(F.struct(item_quality(items, order).alias("quality"), F.struct(*rest).alias("rest"))).alias("_best"),
             F.min(order_key(order)).alias("first_seen"),
             F.count(F.lit(1)).alias("copies"),
         )
-        .select("_best.*", "first_seen", "copies", F.lit(False).alias("without_sku"))
+        .select(*columns, "first_seen", "copies", F.lit(False).alias("without_sku"))
     )
     blank = items.where(sku.isNull()).select(
         "*", order_key(order).alias("first_seen"), F.lit(1).cast("bigint").alias("copies"),

@@ -9,6 +9,7 @@ from tillbridge.functions.keys import folded_keys, is_stock_record, pick, resour
 from tillbridge.functions.money import as_flag, as_number, as_whole
 from tillbridge.functions.text import first_nonempty, let
 from tillbridge.functions.times import parse_time
+from tillbridge.operators.ordering import spread
 from tillbridge.operators.orders import ADDRESS, LINE_ITEM, ORDER
 from tillbridge.operators.payloads import JSON, LINE
 
@@ -162,12 +163,6 @@ def payload_fields(payload: Column, content_type: Column | None = None, ignored:
     return F.when(kind.isin(FORM, MULTIPART), multimap(F.coalesce(pairs, F.array().cast(PAIRS)))).otherwise(json)
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Rows dealt evenly over the cluster: a small file is one scan task, and a payload costs far more to parse than to move."""
-    spark = rows.sparkSession
-    return rows.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-
-
 class Picks:
     """Values picked from a payload's maps, all in one expression; ``of`` names a value, ``added`` computes them.
 
