@@ -13,7 +13,7 @@ from tillbridge.functions.contact import (
 from tillbridge.functions.money import decimal_or_none, nonzero_money_text, nonzero_or_text, till_money
 from tillbridge.functions.text import clean_text, first_nonempty, let, smart_title_case
 from tillbridge.operators.catalog import field
-from tillbridge.operators.ordering import order_key
+from tillbridge.operators.ordering import order_key, spread
 from tillbridge.operators.payloads import LINE, metafields
 
 MAX_ADDRESSES = 10
@@ -87,8 +87,11 @@ def shipping_addresses(rows: DataFrame, order: Sequence[str] = ("_rec_no",), mos
 def build_customers(rows: DataFrame, shipping: DataFrame | None = None, tags: Sequence[str] = ("POS Customer",)) -> DataFrame:
     """Project customer rows (with ``source``) to payloads.
 
-    ``skip`` is set for deleted rows and rows without any identity.
+    ``skip`` is set for deleted rows and rows without any identity. A row grows
+    many times when built, so rows are dealt over the cluster before.
     """
+    arrival = [c for c in ("source_rank", "_rec_no") if c in rows.columns]
+    rows = spread(rows, *arrival)
     def get(name: str) -> Column:
         return clean_text(field(rows, name).cast("string"))
 
@@ -144,7 +147,6 @@ def build_customers(rows: DataFrame, shipping: DataFrame | None = None, tags: Se
     ]
     no_identity = F.coalesce("_email", "_phone", "_first", "_last", "_company").isNull()
     skip = F.when(is_deleted(field(rows, "DELETED")), "deleted").when(no_identity, "missing_identity")
-    arrival = [c for c in ("source_rank", "_rec_no") if c in rows.columns]
     return base.select(
         "source", *arrival, F.col("_num").alias("pos_customer_number"), F.col("_first").alias("first_name"),
         F.col("_last").alias("last_name"), company.alias("company"), F.col("_email").alias("email"), phone.alias("phone"),
