@@ -1,8 +1,12 @@
 """Payload parsers compute each step once and deal their rows over the cluster."""
 
+from types import SimpleNamespace
+
 from conftest import rows
 from pyspark.sql import functions as F
 
+from tillbridge.functions.keys import folded_keys, pick
+from tillbridge.plans import intake
 from tillbridge.sources import events
 
 FORM = "application/x-www-form-urlencoded"
@@ -42,3 +46,19 @@ def test_product_fields_are_picked_once(spark):
     assert rows(out, "sku", "price", F.concat_ws(";", "tags"), "product_type") == [(None, 1.5, "c1;c2;Department:d", "d")]
     assert plan(spark, out).count("element_at") < 600  # each of about 250 names is looked up once in a text of the plan
     assert "RoundRobin" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_form_bodies_are_not_broadcast(spark):
+    part = spark.createDataFrame([(k, f"name {k}", f"brand {k}", "type", 5, 1.5) for k in (0, 1, 2, 2)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double")
+    out = intake.form_payloads(SimpleNamespace(part=part))
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["k"] for r in out.collect()) == [0, 1, 2, 2, 2, 2]
+
+
+def test_blank_values_are_left_out_once(spark):
+    bodies = spark.createDataFrame([('{"a":"","A ":null,"a!":"x","b":"y"}',), (None,)], "body string")
+    df = bodies.select(F.from_json("body", "map<string,string>").alias("m"))
+    assert rows(df.select(pick(F.col("m"), folded_keys(F.col("m")), "a", "missing").alias("v")), "v") == [(None,), (None,)]
+    assert rows(df.select(pick(F.col("m"), folded_keys(F.col("m")), "c", "B").alias("v")), "v") == [(None,), ("y",)]
+    text = plan(spark, events.parse_product_events(spark.createDataFrame([("{}",)], "payload string")))
+    assert text.count("element_at") < 300  # a lookup stood twice for each of its names
