@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillbridge.functions.keys import folded_keys, is_stock_record, pick, resource_uri
+from tillbridge.functions.keys import filled, folded_keys, is_stock_record, pick_filled, resource_uri
 from tillbridge.functions.money import as_flag, as_number, as_whole
 from tillbridge.functions.text import first_nonempty, let
 from tillbridge.functions.times import parse_time
@@ -178,8 +178,8 @@ class Picks:
         return F.col(f"{self.column}.{key}")
 
     def added(self, rows: DataFrame, raw: Column, folded: Column) -> DataFrame:
-        maps = F.struct(raw.alias("raw"), folded.alias("folded"))
-        fields = let(maps, lambda v: F.struct(*[pick(v["raw"], v["folded"], *names).alias(key) for names, key in self.wanted.items()]))
+        maps = F.struct(filled(raw).alias("raw"), filled(folded).alias("folded"))
+        fields = let(maps, lambda v: F.struct(*[pick_filled(v["raw"], v["folded"], *names).alias(key) for names, key in self.wanted.items()]))
         return rows.withColumn(self.column, fields)
 
 
@@ -274,7 +274,7 @@ def unwrap_bulk(rows: DataFrame, plural: str, payload: str = "payload") -> DataF
 def _parse_address(item: Column) -> Column:
     def fields(v: Column) -> Column:
         def text(*names: str) -> Column:
-            return _blank_to_null(pick(v["raw"], v["folded"], *names))
+            return _blank_to_null(pick_filled(v["raw"], v["folded"], *names))
 
         return F.struct(
             text("firstName", "first_name", "first name").alias("first_name"),
@@ -286,7 +286,7 @@ def _parse_address(item: Column) -> Column:
             text("phone").alias("phone"),
         )
 
-    keyed = let(F.from_json(item, "map<string,string>"), lambda raw: F.struct(raw.alias("raw"), folded_keys(raw).alias("folded")))
+    keyed = let(F.from_json(item, "map<string,string>"), lambda raw: F.struct(filled(raw).alias("raw"), filled(folded_keys(raw)).alias("folded")))
     return let(keyed, fields)
 
 
