@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillbridge.operators import orders
 from tillbridge.plans import proxies as p
@@ -54,7 +55,9 @@ def changes(t: Tables) -> DataFrame:
         "redacted": k % 29 == 0,
     }
     shipping = F.array(*[F.struct(text.alias("id"), F.lit(code).alias("code"), F.lit(title).alias("title"), text.alias("price"), text.alias("discounted_price")) for code, title in (("x", "Ground"), ("AIR", ""), ("", ""))])
-    order = F.struct(*[v.alias(n) for n, v in plain.items()], place.alias("billing_address"), place.alias("shipping_address"), lines.alias("line_items"), shipping.alias("shipping_lines")).cast(orders.ORDER)
+    fields = plain | {"billing_address": place, "shipping_address": place, "line_items": lines, "shipping_lines": shipping}
+    # cast field by field: of a cast struct no step can leave out what it does not read
+    order = F.struct(*[fields[f.name].cast(f.dataType).alias(f.name) for f in T.DataType.fromDDL(orders.ORDER)])
     topic = F.when(k % 23 == 0, "orders/delete").when(k % 2 == 0, "orders/create").otherwise("")
     return t.orders.select(
         k.alias("seq"), (k % 3 + 1).alias("version"), F.concat(F.lit(" O"), number).alias("order_id"), text.alias("order_name"), topic.alias("topic"), order.alias("order"),

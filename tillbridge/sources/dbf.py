@@ -217,16 +217,29 @@ def table_schema(fields: Iterable[DbfField], options: dict, stream: bool = False
     return schema.add("_reset", T.BooleanType()) if stream else schema
 
 
-def _texts(block: np.ndarray, offset: int, width: int, encoding: str) -> np.ndarray:
-    raw = np.ascontiguousarray(block[:, offset:offset + width]).view(f"S{width}").ravel()
-    return np.char.decode(raw, encoding, "ignore")
+BLANKS = " \t\r\n\x0b\x0c\x00\xa0\x85\x1c\x1d\x1e\x1f"
+ASCII = bytes(range(128))
+
+
+def _texts(block: np.ndarray, offset: int, width: int, encoding: str, right_only: bool) -> pa.Array:
+    """Texts of one field without blanks around them, or with those before them."""
+    raw = np.ascontiguousarray(block[:, offset:offset + width])
+    if not len(raw) or (raw.max() < 0x80 and ASCII.decode(encoding, "ignore").encode() == ASCII):
+        ends = np.arange(len(raw) + 1, dtype=np.int32) * width
+        text = pa.StringArray.from_buffers(len(raw), pa.py_buffer(ends), pa.py_buffer(raw))
+        if not right_only:
+            return pc.ascii_trim(text, "".join(c for c in BLANKS if c.isascii()))
+        for blank in ("\x00", " ", "\x00"):  # as numpy does below, whose texts never end with a zero
+            text = pc.ascii_rtrim(text, blank)
+        return text
+    text = np.char.decode(raw.view(f"S{width}").ravel(), encoding, "ignore")
+    text = np.char.rstrip(text, " \x00") if right_only else np.char.strip(text, BLANKS)
+    return pa.array(text.astype(object), pa.string())
 
 
 def decode_field(block: np.ndarray, field: DbfField, offset: int, encoding: str, strict: bool, given: tuple[int, int] | str | None = None) -> tuple[pa.Array, pa.Array]:
     """(typed values, text that did not parse) of one field; ``given`` is the type to use for a numeric one."""
-    text = _texts(block, offset, field.width, encoding)
-    text = np.char.rstrip(text, " \x00") if strict and field.kind == "C" else np.char.strip(text, " \t\r\n\x0b\x0c\x00\xa0\x85\x1c\x1d\x1e\x1f")
-    column = pa.array(text.astype(object), pa.string())
+    column = _texts(block, offset, field.width, encoding, strict and field.kind == "C")
     column = pc.if_else(pc.equal(column, ""), pa.scalar(None, pa.string()), column)
     nothing = pa.nulls(len(column), pa.string())
     if given == "text":
@@ -460,7 +473,8 @@ class WrittenFile(WriterCommitMessage):
     records: int
 
 
-def encode_column(column: pa.Array, field: DbfField) -> list[bytes]:
+def encode_values(column: pa.Array, field: DbfField) -> bytes:
+    """One column value by value, each filled to the field's width."""
     out = []
     for value in column.to_pylist():
         if field.kind == "L":
@@ -476,7 +490,23 @@ def encode_column(column: pa.Array, field: DbfField) -> list[bytes]:
             out.append(data.rjust(field.width))
         else:
             out.append(data[: field.width].ljust(field.width))
-    return out
+    return b"".join(out)
+
+
+def encode_column(column: pa.Array, field: DbfField) -> np.ndarray:
+    """Bytes of one column, a row per record; plain ASCII texts are fitted at once."""
+    shape = (len(column), field.width)
+    if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+        text = pc.fill_null(column.cast(pa.string()), "?" if field.kind == "L" else "")
+        plain = pc.all(pc.string_is_ascii(text), min_count=0).as_py()
+        if plain and (field.kind != "N" or (pc.max(pc.binary_length(text)).as_py() or 0) <= field.width):
+            if field.kind == "N":
+                text = pc.ascii_lpad(text, field.width)
+            else:
+                text = pc.utf8_slice_codeunits(pc.ascii_rpad(text, field.width), 0, field.width)
+            start, data = np.frombuffer(text.buffers()[1], np.int32)[text.offset] if len(text) else 0, text.buffers()[2]
+            return np.frombuffer(data or b"", np.uint8, shape[0] * shape[1], start).reshape(shape)
+    return np.frombuffer(encode_values(column, field), np.uint8).reshape(shape)
 
 
 def header_bytes(fields: tuple[DbfField, ...], records: int) -> bytes:
@@ -508,8 +538,8 @@ class DbfWriter(DataSourceArrowWriter):
         # the record count comes first in the file, so records are spooled next to it
         with fs.open_output_stream(body) as out:
             for batch in iterator:
-                columns = [encode_column(batch.column(f.name), f) for f in self.fields]
-                out.write(b"".join(b" " + b"".join(row) for row in zip(*columns)))
+                live = np.full((batch.num_rows, 1), LIVE, np.uint8)
+                out.write(np.hstack([live, *[encode_column(batch.column(f.name), f) for f in self.fields]]).tobytes())
                 records += batch.num_rows
         with fs.open_output_stream(part) as out, fs.open_input_stream(body) as spool:
             out.write(header_bytes(self.fields, records))
