@@ -127,6 +127,32 @@ def test_pieces_without_spaces():
             assert joined.tolist() == codec.segment(raw).tolist()
 
 
+def test_pieces_new_words_in_one_call(monkeypatch):
+    with open(pieces.MODEL, "rb") as source:
+        codec = pieces.Codec(source.read())
+    library, calls = codec.processor, []
+
+    class Counted:
+        def encode(self, given, **how):
+            calls.append([given] if isinstance(given, str) else given)
+            return library.encode(given, **how)
+
+    codec.processor = Counted()
+    texts = ["", " ", *(f"one two w{i} x{i}.\n  three▁four é漢 {'y' * 60}{i} " for i in range(500))]
+    found = codec.segments([codec.raw(t) for t in texts])
+    assert [f.tolist() for f in found] == library.encode(texts)
+    assert len(calls) == 1 and len(set(calls[0])) == len(calls[0])
+    assert pieces.as_lists(found).to_pylist() == [f.tolist() for f in found] and pieces.as_lists([]).to_pylist() == []
+    assert max(map(len, codec.kept)) <= pieces.KEPT_SIZE
+    monkeypatch.setattr(pieces, "KEPT_WORDS", 100)
+    calls.clear()
+    for i in range(50):  # a word of every text outlives the caches' turns, which keep the others few
+        text = "often " + " ".join(f"{i}q{j}" for j in range(20))
+        assert codec.segment(codec.raw(text)).tolist() == library.encode(text)
+    assert sum(word == codec.guard + " often" for call in calls for word in call) == 1
+    assert len(codec.kept) + len(codec.older) < 2 * 130
+
+
 def test_licenses(spark, odd, nothing, texts):
     for r in got(spark, "op3_license_scan"):
         words = WORD.findall(low(texts[r["doc_id"]]))

@@ -9,10 +9,10 @@ from each state at its left cut to each at its right one, matrices multiply
 associatively, and once the states at the cuts are known every chunk writes
 its own pieces. Results equal those of the whole text.
 
-A word (a run of spaces and what follows it) is encoded by the library and
-kept, as no piece of the model has a space after another sign; inside a chunk
-the words next to the cuts decide its matrix, and the whole chunk where it has
-no space at all.
+A word (a run of spaces and what follows it) is encoded by the library on its
+own, as no piece of the model has a space after another sign; the new words of
+several texts go to it in one call and are kept. Inside a chunk the words next
+to the cuts decide its matrix, and the whole chunk where it has no space at all.
 
 Defined results: null and empty texts have no pieces; U+2581 counts as a space,
 as in the library, and comes back as one; repeated rows give equal rows.
@@ -22,10 +22,12 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import sentencepiece
 from pyspark import SparkContext
 from pyspark.sql import DataFrame
@@ -39,8 +41,9 @@ CHUNK = 32_768
 BLOCK = 64
 KEPT_WORDS = 150_000
 KEPT_SIZE = 48
+TOGETHER = 50_000
 SPACE = "▁"
-WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+WORD = re.compile(" +[^ ]*|[^ ]+")
 NEVER = -np.inf
 
 
@@ -65,31 +68,64 @@ class Codec:
             elif self.processor.is_control(i):
                 self.bytes[i] = b""
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @staticmethod
     def raw(text: str) -> str:
         """The string that is segmented: a space before, spaces as U+2581."""
         return SPACE + text.replace(" ", SPACE) if text else ""
 
-    def _word(self, word: str) -> bytes:
-        ids = self.processor.encode(self.guard + word.replace(SPACE, " "), num_threads=1)[self.skipped:]
-        data = np.array(ids, np.int32).tobytes()
-        if len(word) <= KEPT_SIZE:
-            if len(self.kept) >= KEPT_WORDS:
-                self.kept.clear()
-            self.kept[word] = data
-        return data
+    def _encode(self, words: list[str]) -> dict[str, bytes]:
+        guarded = [self.guard + w for w in words]
+        if len(words) < 8:  # a call with a list starts a thread
+            found = [self.processor.encode(g, num_threads=1) for g in guarded]
+        else:
+            found = self.processor.encode(guarded, num_threads=1)
+        return {w: array("i", ids[self.skipped:]).tobytes() for w, ids in zip(words, found)}
+
+    def _look_up(self, words: set[str]) -> dict[str, bytes]:
+        """Piece numbers of each word; at least the last KEPT_WORDS short ones that were met are not encoded again."""
+        if len(self.kept) >= KEPT_WORDS:
+            self.older, self.kept = self.kept, {}
+        kept, older, held, new = self.kept, self.older, {}, []
+        for word in words:
+            data = kept.get(word)
+            if data is None:
+                data = older.get(word)
+                if data is None:
+                    new.append(word)
+                    continue
+                kept[word] = data
+            held[word] = data
+        if new:
+            encoded = self._encode(new)
+            held.update(encoded)
+            kept.update((w, data) for w, data in encoded.items() if len(w) <= KEPT_SIZE)
+        return held
+
+    def segments(self, raws: list[str]) -> list[np.ndarray]:
+        """Piece numbers of raw strings or of parts of them between piece ends."""
+        words = [WORD.findall(raw.replace(SPACE, " ")) for raw in raws]
+        held = self._look_up(set().union(*words))
+        return [np.frombuffer(b"".join(map(held.__getitem__, w)), np.int32) for w in words]
 
     def segment(self, raw: str) -> np.ndarray:
-        """Piece numbers of a raw string or of a part of one between piece ends."""
-        get = self.kept.get
-        return np.frombuffer(b"".join([get(w) or self._word(w) for w in WORD.findall(raw)]), np.int32)
+        return self.segments([raw])[0]
 
     def decode(self, ids) -> str:
         """The text of the numbers, without the space that encoding puts before it."""
         data = b"".join(map(self.bytes.__getitem__, ids))
         return data.decode(errors="replace")[1:] if data[:1] == b" " else data.decode(errors="replace")
 
+    def read_back(self, ids: list[np.ndarray], texts: list[str]) -> list[pa.Array]:
+        """Digest of what each row of numbers decodes to, and whether that is the text."""
+        digests, exact = [], []
+        for numbers, text in zip(ids, texts):
+            decoded = self.decode(numbers.tolist())
+            digests.append(hashlib.sha256(decoded.encode()).hexdigest())
+            exact.append(decoded == text)
+        return [pa.array(digests, pa.string()), pa.array(exact, pa.bool_())]
+
     def states(self, left: str, right: str) -> list[tuple[int, int]]:
         """(start, end) relative to a cut of all pieces that cover the sign after it, in a fixed order."""
         text, cut = left + right, len(left)
@@ -177,6 +213,25 @@ class Shared:
         return _codecs[self.key]
 
 
+def as_lists(ids: list[np.ndarray]) -> pa.ListArray:
+    """Arrays of piece numbers as one Arrow column, copied as buffers and not number by number."""
+    ends = np.cumsum([0, *map(len, ids)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
+
+
+def together(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in runs that end at TOGETHER code points."""
+    run, size = [], 0
+    for text in texts:
+        run.append(text)
+        size += len(text)
+        if size >= TOGETHER:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
+
+
 def multiply(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Max-plus product."""
     return (a[:, :, None] + b[None]).max(axis=1)
@@ -245,11 +300,12 @@ def _scan(giants: DataFrame, shared: Shared, chunk: int) -> DataFrame:
         path = best_states([_unpack(m) for m in ordered["matrix"]], int(ordered["entry"].iloc[0]), int(ordered["leave"].iloc[0]))
         return ordered.assign(entry=[a for a, _ in path], leave=[b for _, b in path])[["doc_id", "text_key", "chunk", "entry", "leave"]]
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = shared.codec()
         for batch in batches:
-            rows = zip(batch["before"], batch["body"], batch["after"], batch["entry"], batch["leave"])
-            yield batch[["doc_id", "text_key", "chunk"]].assign(pieces=[codec.backtrace(*r) for r in rows])
+            rows = zip(*(batch[name].to_pylist() for name in ("before", "body", "after", "entry", "leave")))
+            columns = [batch[name] for name in ("doc_id", "text_key", "chunk")] + [as_lists([codec.backtrace(*r) for r in rows])]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "chunk", "pieces"])
 
     small = held.select(*KEYS, "chunk", "block", "matrix")
     products = small.groupBy(*KEYS, "block").applyInPandas(combine, "doc_id long, text_key long, block int, matrix binary")  # BLOCK matrices a group
@@ -259,7 +315,7 @@ def _scan(giants: DataFrame, shared: Shared, chunk: int) -> DataFrame:
     states = inner.groupBy(*KEYS, "block").applyInPandas(settle, "doc_id long, text_key long, chunk int, entry int, leave int")
     same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.text_key") == F.col("b.text_key")) & (F.col("a.chunk") == F.col("b.chunk"))
     settled = held.alias("a").join(states.alias("b"), same).select("a.doc_id", "a.text_key", "a.chunk", "before", "body", "after", "entry", "leave")
-    written = settled.mapInPandas(write, "doc_id long, text_key long, chunk int, pieces array<int>")
+    written = settled.mapInArrow(write, "doc_id long, text_key long, chunk int, pieces array<int>")
     return written.groupBy(*KEYS).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "pieces"))), lambda c: c["pieces"])).alias("pieces"))
 
 
@@ -272,30 +328,32 @@ def round_trip(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mode
     bound_batches(docs.sparkSession)
     shared = Shared(docs.sparkSession.sparkContext, model)
 
-    def both(value: str) -> tuple:
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = shared.codec()
-        ids = codec.segment(Codec.raw(value))
-        decoded = codec.decode(ids.tolist())
-        return ids, hashlib.sha256(decoded.encode()).hexdigest(), decoded == value
+        for column in batches:
+            texts = [t or "" for t in column.to_pylist()]
+            ids = [i for run in together(texts) for i in codec.segments([Codec.raw(t) for t in run])]
+            yield pa.StructArray.from_arrays([as_lists(ids), *codec.read_back(ids, texts)], ["pieces", "decoded_sha256", "exact"])
 
-    fields = "pieces array<int>, decoded_sha256 string, exact boolean"
+    fields = "pieces: array<int>, decoded_sha256: string, exact: boolean"
     size = F.length(F.coalesce(F.col("text"), F.lit("")))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("n_chars", size.cast("long"))
     results = ["doc_id", "n_chars", "n_chunks", "n_pieces", "pieces", "decoded_sha256", "exact"]
-    short = rows.where(F.col("n_chars") <= chunk).select("doc_id", "n_chars", F.lit(1).cast("long").alias("n_chunks"), per_text(both, fields)(F.col("text")).alias("_x"))
+    short = rows.where(F.col("n_chars") <= chunk).select("doc_id", "n_chars", F.lit(1).cast("long").alias("n_chunks"), F.arrow_udf(both, f"struct<{fields}>")(F.col("text")).alias("_x"))
     short = short.select("*", "_x.*").withColumn("n_pieces", F.size("pieces").cast("long")).select(*results)
     # checkpointed by writing: the copies of a giant row are counted, its text is kept once
     giants = materialize(rows.where(F.col("n_chars") > chunk).groupBy("doc_id", F.xxhash64("text").alias("text_key")).agg(F.count(F.lit(1)).alias("copies"), F.first("text").alias("text"), F.first("n_chars").alias("n_chars")), "piece-giants")
 
-    def back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = shared.codec()
         for batch in batches:
-            texts = [codec.decode(ids.tolist()) for ids in batch["pieces"]]
-            yield batch.drop(columns="text").assign(decoded_sha256=[hashlib.sha256(t.encode()).hexdigest() for t in texts], exact=[a == b for a, b in zip(texts, batch["text"])])
+            ids = [row.values.to_numpy() for row in batch["pieces"]]
+            columns = [batch[name] for name in ("doc_id", "n_chars", "copies", "pieces")] + codec.read_back(ids, batch["text"].to_pylist())
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_chars", "copies", "pieces", "decoded_sha256", "exact"])
 
     a, b = giants.alias("a"), _scan(giants.select(*KEYS, "text"), shared, chunk).alias("b")
     same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.text_key") == F.col("b.text_key"))
-    long = a.join(b, same).select("a.doc_id", "a.n_chars", "a.copies", "a.text", "b.pieces").mapInPandas(back, f"doc_id long, n_chars long, copies long, {fields}")
+    long = a.join(b, same).select("a.doc_id", "a.n_chars", "a.copies", "a.text", "b.pieces").mapInArrow(back, f"doc_id: long, n_chars: long, copies: long, {fields}")
     long = long.select("*", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy"))
     long = long.withColumn("n_chunks", F.ceil((F.col("n_chars") + 1) / chunk).cast("long")).withColumn("n_pieces", F.size("pieces").cast("long")).select(*results)
     return short.unionByName(long)
