@@ -12,11 +12,12 @@ from pyspark.sql import types as T
 
 
 BATCH_BYTES = 16 << 20
+SMALL_BATCH_BYTES = 4 << 20  # where each word of a text becomes an object or two
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Arrow batches end at BATCH_BYTES, so that long texts do not meet by the ten thousand in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+def bound_batches(spark: SparkSession, limit: int = BATCH_BYTES) -> None:
+    """Arrow batches end at ``limit`` bytes, so that long texts do not meet by the ten thousand in a Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(limit))
 
 
 def per_text(fn: Callable[[str], tuple], fields: str) -> Callable[[Column], Column]:

@@ -14,6 +14,10 @@ window, are indexed: no window can match elsewhere, so nothing is lost.
 Benchmark items are read in blocks of at most ``BLOCK_WORDS`` words, each a
 broadcast of that size, and each block searches all documents.
 
+A shard is held as one number for each word and block. Words exist as strings
+only for ``PIECE_BYTES`` of one text at a time, and texts are taken from Arrow
+one by one, in batches of ``SMALL_BATCH_BYTES``.
+
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after A-Z are lower-cased. A window
 is ``WINDOW`` consecutive words, or all words of a shorter item. Defined results:
 null and empty texts have no words and no hits; an empty benchmark hits
@@ -25,17 +29,19 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillbridge.llm.common import bound_batches, replace_columns
+from tillbridge.llm.common import SMALL_BATCH_BYTES, bound_batches, replace_columns
 
 WINDOW = 10
 BLOCK_WORDS = 1_000_000
 SHARD_WORDS = 2_000_000
+PIECE_BYTES = 1 << 18
 # Bytes that separate words, once A-Z are lower-cased.
 SEPARATORS = [*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]
 _TABLE = bytes(32 if b in set(SEPARATORS) else b for b in range(256))
@@ -45,6 +51,16 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().translate(_TABLE).split()
 
 
+def pieces_of(text: str | None) -> Iterator[list[bytes]]:
+    """The words of a text, those of PIECE_BYTES (and the rest of the last word) at a time."""
+    data, at = (text or "").encode().lower().translate(_TABLE), 0
+    while at < len(data):
+        end = data.find(b" ", at + PIECE_BYTES)
+        end = len(data) if end < 0 else end
+        yield data[at:end].split()
+        at = end
+
+
 @dataclass
 class Queries:
     """A block of benchmark items as word numbers, with its suffixes that start a window."""
@@ -192,19 +208,40 @@ def _bound(text: np.ndarray, order: np.ndarray, low: np.ndarray, high: np.ndarra
         high[open_[~less]] = middle[~less]
 
 
-def judge_shard(queries: list[Queries], documents: list[list[bytes]]) -> list[tuple]:
+class Shard:
+    """Documents as word numbers of each block, 0 after each document."""
+
+    def __init__(self, queries: list[Queries]):
+        self.queries, self.sizes, self.size = queries, [], 0
+        self.parts: list[list[np.ndarray]] = [[] for _ in queries]
+
+    def add(self, text: str | None) -> None:
+        n = 0
+        for piece in pieces_of(text):
+            n += len(piece)
+            for q, parts in zip(self.queries, self.parts):
+                parts.append(np.fromiter(map(q.vocabulary.get, piece, repeat(0)), np.int32, len(piece)))
+        for parts in self.parts:
+            parts.append(np.zeros(1, np.int32))
+        self.sizes.append(n)
+        self.size += n
+
+    def numbers(self) -> Iterator[tuple[Queries, np.ndarray]]:
+        """Each block with its numbers, which the shard then gives up."""
+        for k, q in enumerate(self.queries):
+            ids = np.concatenate([np.zeros(0, np.int32), *self.parts[k]])
+            self.parts[k] = []
+            yield q, ids
+
+
+def judge_shard(shard: Shard) -> list[tuple]:
     """Per document: n_words, n_hit, n_items, items_sha256, contaminated, longest match, its item and first word."""
-    sizes = np.array([len(d) for d in documents], np.int64)
+    sizes = np.array(shard.sizes, np.int64)
     first = np.cumsum(sizes + 1) - sizes - 1
-    total = int((sizes + 1).sum())
-    cover = np.zeros(total + 1, np.int64)
-    items: list[set[str]] = [set() for _ in documents]
-    best: list[tuple] = [(0,)] * len(documents)  # minus the length, first word, item
-    for q in queries:
-        get = q.vocabulary.get
-        ids = np.zeros(total, np.int32)
-        for at, parts in zip(first, documents):
-            ids[at:at + len(parts)] = [get(w, 0) for w in parts]
+    cover = np.zeros(int((sizes + 1).sum()) + 1, np.int64)
+    items: list[set[str]] = [set() for _ in sizes]
+    best: list[tuple] = [(0,)] * len(sizes)  # minus the length, first word, item
+    for q, ids in shard.numbers():
         for a, b in search(q, ids):
             np.add.at(cover, b, 1)
             np.add.at(cover, b + q.windows[a], -1)
@@ -229,6 +266,7 @@ def judge_shard(queries: list[Queries], documents: list[list[bytes]]) -> list[tu
 
 
 RESULT = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match", "longest_item", "longest_at")
+KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.string(), pa.int64())
 FIELDS = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long, longest_item string, longest_at long"
 
 
@@ -241,25 +279,23 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int
     No shuffle: each shard is searched where it was read. Extra columns stay, but
     for those with the names of the results.
     """
-    bound_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession, SMALL_BATCH_BYTES)
     context = docs.sparkSession.sparkContext
     shared = [context.broadcast(q) for q in blocks(benchmark, window, block_words)]
 
-    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         queries = [b.value for b in shared]
         for texts in batches:
-            rows, shard, size = [], [], 0
+            rows, shard = [], Shard(queries)
             for value in texts:
-                shard.append(words(value))
-                size += len(shard[-1])
-                if size >= SHARD_WORDS:
-                    rows += judge_shard(queries, shard)
-                    shard, size = [], 0
-            rows += judge_shard(queries, shard) if shard else []
-            yield pd.DataFrame({n: pd.Series([r[i] for r in rows], dtype=object) for i, n in enumerate(RESULT)})
-
-    judge.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    marked = docs.withColumn("_found", F.pandas_udf(judge, FIELDS)(F.col(text)))
+                shard.add(value.as_py())
+                if shard.size >= SHARD_WORDS:
+                    rows += judge_shard(shard)
+                    shard = Shard(queries)
+            rows += judge_shard(shard)
+            yield pa.StructArray.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(KINDS)], list(RESULT))
+
+    marked = docs.withColumn("_found", F.arrow_udf(judge, FIELDS)(F.col(text)))
     return replace_columns(marked, {c: F.col(f"_found.{c}") for c in RESULT}).drop("_found")
 
 

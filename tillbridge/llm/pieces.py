@@ -33,7 +33,7 @@ from pyspark import SparkContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillbridge.llm.common import bound_batches, per_text
+from tillbridge.llm.common import SMALL_BATCH_BYTES, bound_batches, per_text
 from tillbridge.session import materialize
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -325,7 +325,7 @@ def round_trip(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mode
     Texts of up to ``chunk`` code points are encoded where they are read; longer
     ones go through the scan, copies of one row together.
     """
-    bound_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession, SMALL_BATCH_BYTES)
     shared = Shared(docs.sparkSession.sparkContext, model)
 
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
