@@ -88,10 +88,10 @@ SELECT oid AS order_id, 'gen-1' AS gen_id, trim(import_st) AS import_st, pos_ord
   CAST(CASE WHEN l.oid IS NULL THEN 2 ELSE line_count END AS DECIMAL(6,0)) AS line_count, coalesce(seq % 600 > 508, false) AS truncated
 FROM heads LEFT JOIN (SELECT oid, seq, line_count FROM last WHERE NOT removed) l USING (oid)""")
 def order_header_file(t: Tables) -> DataFrame:
-    """Headers published in their real layout and read back strictly."""
+    """Headers published in their real layout and read back strictly; a record has 3,409 bytes, mostly blank, so the files are compressed."""
     path = scratch_path(t.spark, "order-headers")
-    dbf.write_dbf(published_orders(t)[0], path, orders.HEADER_LAYOUT, "webhdr")
-    rows = dbf.read_dbf(t.spark, path, mode="strict", layout=dbf.layout_text(orders.HEADER_LAYOUT))
+    dbf.write_dbf(published_orders(t)[0], path, orders.HEADER_LAYOUT, "webhdr", compression="zstd")
+    rows = dbf.read_dbf(t.spark, path, mode="strict", layout=dbf.layout_text(orders.HEADER_LAYOUT), compression="zstd")
     return rows.select(*[F.col(c).alias(c.lower()) for c in ("ORDER_ID", "GEN_ID", "IMPORT_ST", "POS_ORD_NO", "ORDER_AT", "TOTAL", "LINE_COUNT", "TRUNCATED")])
 
 

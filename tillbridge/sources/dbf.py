@@ -8,7 +8,9 @@ file per task, renamed into place on commit.
 Options: ``path`` (file or folder), ``table`` (file stem, any case), ``columns``,
 ``encoding``, ``mode`` (lenient or strict), ``keepRaw``, ``splitRecords``,
 ``layout`` (``NAME:TYPE:WIDTH[:DECIMALS];...``; required to write, checked by
-strict reads), ``startingRecord`` (stream: ``end`` or a number).
+strict reads), ``startingRecord`` (stream: ``end`` or a number), ``compression``
+(``zstd``: files are written and found as ``.dbf.zst``, the same bytes in frames
+with a seek table, which record ranges are read from; blank fields cost no disk).
 
 Lenient numbers have the declared scale. Text that this does not hold as it is
 (more decimals, a larger number, no number) is in ``_raw_`` and the field's name:
@@ -21,6 +23,7 @@ import json
 import struct
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, replace
 from datetime import date, datetime
 from decimal import ROUND_HALF_EVEN, Context, Decimal
@@ -37,9 +40,12 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
+from tillbridge.sources.frames import FrameReader, FrameWriter
+
 VERSION, FIELD_END, FILE_END, LIVE, DELETED = 0x03, 0x0D, 0x1A, 0x20, 0x2A
 BATCH_RECORDS = 65_536
 SPLIT_RECORDS = 1_000_000
+PACKED = ".zst"
 
 
 class DbfError(ValueError):
@@ -84,8 +90,28 @@ def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
 
-def find_files(path: str, table: str | None = None) -> list[str]:
-    """DBF files under a path; a table name must mean one file."""
+@contextmanager
+def open_dbf(path: str) -> Iterator[pa.NativeFile | FrameReader]:
+    """The file for reading; of a compressed one, the plain file in it."""
+    fs, p = open_fs(path)
+    with fs.open_input_file(p) as handle:
+        if p.lower().endswith(PACKED):
+            try:
+                handle = FrameReader(handle, p)
+            except ValueError as problem:
+                raise DbfError(str(problem)) from None
+        yield handle
+
+
+def file_ending(compression: str | None) -> str:
+    if compression not in (None, "zstd"):
+        raise DbfError(f"compression {compression} is not known")
+    return f".dbf{PACKED}" if compression else ".dbf"
+
+
+def find_files(path: str, table: str | None = None, compression: str | None = None) -> list[str]:
+    """DBF files under a path, plain or compressed ones; a table name must mean one file."""
+    ending = file_ending(compression)
     fs, root = open_fs(path)
     info = fs.get_file_info(root)
     if info.type == pafs.FileType.File:
@@ -93,12 +119,12 @@ def find_files(path: str, table: str | None = None) -> list[str]:
     prefix = path.rstrip("/").removesuffix(root.rstrip("/"))  # what the listing leaves out of its paths
     found = sorted(
         (prefix + i.path for i in fs.get_file_info(pafs.FileSelector(root, recursive=True))
-         if i.type == pafs.FileType.File and i.path.lower().endswith(".dbf")),
+         if i.type == pafs.FileType.File and i.path.lower().endswith(ending)),
         key=str.lower,
     )
     if table:
-        stem = table.lower().removesuffix(".dbf")
-        found = [p for p in found if p.rsplit("/", 1)[-1].lower() == f"{stem}.dbf"]
+        stem = table.lower().removesuffix(ending).removesuffix(".dbf")
+        found = [p for p in found if p.rsplit("/", 1)[-1].lower() == f"{stem}{ending}"]
         if len(found) > 1:
             raise DbfError(f"several files named {table}: {found[:10]}")
     return found
@@ -157,9 +183,8 @@ def read_header(handle, path: str) -> DbfHeader:
 
 
 def header_of(path: str) -> tuple[DbfHeader, int]:
-    fs, p = open_fs(path)
-    with fs.open_input_file(p) as handle:
-        return read_header(handle, p), handle.size()
+    with open_dbf(path) as handle:
+        return read_header(handle, open_fs(path)[1]), handle.size()
 
 
 def check_strict(header: DbfHeader, size: int, path: str, layout: tuple[DbfField, ...] | None) -> None:
@@ -311,7 +336,7 @@ class RecordDecoder:
     def strict(self) -> bool:
         return self.options.get("mode", "lenient").lower() == "strict"
 
-    def decode(self, header: DbfHeader, data: bytes, first: int, path: str, schema: pa.Schema) -> pa.RecordBatch | None:
+    def decode(self, header: DbfHeader, data: bytes | memoryview, first: int, path: str, schema: pa.Schema) -> pa.RecordBatch | None:
         encoding = self.options.get("encoding", "cp1252" if self.strict else "latin1")
         block = np.frombuffer(data, np.uint8).reshape(-1, header.record_length)
         marker = block[:, 0]
@@ -353,8 +378,8 @@ class RecordDecoder:
         return pa.RecordBatch.from_arrays(columns, schema=schema)
 
     def read_range(self, part: RecordRange, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-        fs, p = open_fs(part.path)
-        with fs.open_input_file(p) as handle:
+        p = open_fs(part.path)[1]
+        with open_dbf(part.path) as handle:
             header = read_header(handle, p)
             handle.seek(header.header_length + part.start * header.record_length)
             at = part.start
@@ -363,7 +388,7 @@ class RecordDecoder:
                 whole = len(data) // header.record_length
                 if not whole:
                     break  # short file: stop at the last whole record
-                batch = self.decode(header, data[: whole * header.record_length], at, part.path, schema)
+                batch = self.decode(header, memoryview(data)[: whole * header.record_length], at, part.path, schema)
                 at += whole
                 if batch is not None:
                     yield batch
@@ -398,7 +423,7 @@ class DbfReader(DataSourceReader):
         strict = self.options.get("mode", "lenient").lower() == "strict"
         layout = parse_layout(self.options["layout"]) if strict and "layout" in self.options else None
         parts = []
-        for path in find_files(self.options["path"], self.options.get("table")):
+        for path in find_files(self.options["path"], self.options.get("table"), self.options.get("compression")):
             header, size = header_of(path)
             if strict:
                 check_strict(header, size, path, layout)
@@ -420,7 +445,7 @@ class DbfStreamReader(DataSourceStreamReader):
 
     def _counts(self) -> dict[str, int]:
         counts = {}
-        for path in find_files(self.options["path"], self.options.get("table")):
+        for path in find_files(self.options["path"], self.options.get("table"), self.options.get("compression")):
             header, size = header_of(path)
             whole = max(0, size - header.header_length) // max(1, header.record_length)
             counts[path] = min(header.records, whole)
@@ -524,6 +549,7 @@ class DbfWriter(DataSourceArrowWriter):
 
     def __init__(self, options: dict):
         self.options, self.fields = options, parse_layout(options["layout"])
+        self.packed, self.ending = bool(options.get("compression")), file_ending(options.get("compression"))
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WrittenFile:
         from pyspark import TaskContext
@@ -537,17 +563,26 @@ class DbfWriter(DataSourceArrowWriter):
         body, records = part + ".body", 0
         # the record count comes first in the file, so records are spooled next to it
         with fs.open_output_stream(body) as out:
+            spooled = FrameWriter(out) if self.packed else out
             for batch in iterator:
                 live = np.full((batch.num_rows, 1), LIVE, np.uint8)
-                out.write(np.hstack([live, *[encode_column(batch.column(f.name), f) for f in self.fields]]).tobytes())
+                spooled.write(np.hstack([live, *[encode_column(batch.column(f.name), f) for f in self.fields]]).tobytes())
                 records += batch.num_rows
+            if self.packed:
+                spooled.end_frame()
         with fs.open_output_stream(part) as out, fs.open_input_stream(body) as spool:
-            out.write(header_bytes(self.fields, records))
+            whole = FrameWriter(out) if self.packed else out
+            whole.write(header_bytes(self.fields, records))
+            if self.packed:
+                whole.end_frame()
+                whole.frames += spooled.frames  # copied as they are
             while chunk := spool.read(1 << 22):
                 out.write(chunk)
-            out.write(bytes([FILE_END]))
+            whole.write(bytes([FILE_END]))
+            if self.packed:
+                whole.end_file()
         fs.delete_file(body)
-        return WrittenFile(part, f"{root}/{stem}-{number:05d}-{uuid.uuid4().hex[:8]}.dbf", records)
+        return WrittenFile(part, f"{root}/{stem}-{number:05d}-{uuid.uuid4().hex[:8]}{self.ending}", records)
 
     def commit(self, messages: list[WrittenFile]) -> None:
         fs, _ = open_fs(self.options["path"])
@@ -572,7 +607,7 @@ class DbfDataSource(DataSource):
         options = self._plain()
         if "layout" in options:
             return parse_layout(options["layout"])
-        files = find_files(options["path"], options.get("table"))
+        files = find_files(options["path"], options.get("table"), options.get("compression"))
         if not files:
             raise DbfError(f"no DBF file in {options['path']}")
         return header_of(files[0])[0].fields
@@ -607,7 +642,7 @@ def number_census(spark: SparkSession, path: str, **options: str) -> dict[str, t
 
     One pass over the texts of the numeric fields of all files; a field's type is never smaller than it declares.
     """
-    files = find_files(resolve(spark, path), options.get("table"))
+    files = find_files(resolve(spark, path), options.get("table"), options.get("compression"))
     fields = [f for f in header_of(files[0])[0].fields if f.kind == "N"] if files else []
     wanted = [c.strip() for c in options.get("columns", "").split(",") if c.strip()]
     fields = [f for f in fields if not wanted or f.name in wanted]
@@ -653,9 +688,9 @@ def read_dbf_stream(spark: SparkSession, path: str, **options: str) -> DataFrame
     return spark.readStream.format("dbf").options(stream="true", **options).load(resolve(spark, path))
 
 
-def write_dbf(rows: DataFrame, path: str, layout: Iterable[tuple[str, str, int, int]], table: str = "part") -> None:
+def write_dbf(rows: DataFrame, path: str, layout: Iterable[tuple[str, str, int, int]], table: str = "part", **options: str) -> None:
     """Append fitted rows to a folder, one file per task."""
     register(rows.sparkSession)
     layout = list(layout)
     kept = rows.select(*[name for name, *_ in layout])
-    kept.write.format("dbf").option("layout", layout_text(layout)).option("table", table).mode("append").save(resolve(rows.sparkSession, path))
+    kept.write.format("dbf").option("layout", layout_text(layout)).option("table", table).options(**options).mode("append").save(resolve(rows.sparkSession, path))
